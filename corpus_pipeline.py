@@ -1,10 +1,51 @@
-"""Corpus pipeline: the stages in order; ``run`` applies them to ``documents``."""
+"""Corpus pipeline over ``documents``: quality rules, quality classifier, exact and near deduplication, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the next
+stage's ``docs``. All but the last return the columns of ``documents``. Extra columns pass through unchanged.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import exact_dedup, packing, quality_classifier, quality_rules, queries, simhash
+from tessera.llm._common import materialize
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or whose host does, go."""
+    return quality_rules.keep_good(docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below 0.3 go; it learns from ``labels`` of documents that came this far."""
+    return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked fingerprints the document with the smallest id stays."""
+    return simhash.keep_first(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of what is left, with their places in sequences of at most 1024 ids."""
+    return packing.pack_documents(docs, queries.byte_bpe_path())
+
+
+STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("exact_dedup", exact), ("simhash", near), ("best_fit_packing", pack)]
+
+#: Learned scores, fingerprints and tokens are beyond SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each one's result written before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
