@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, packing, quality_classifier, quality_rules, simhash, token_files, warc
+from . import chat, exact_dedup, language_id, packing, pieces, quality_classifier, quality_rules, simhash, token_files, warc
 
 
 def byte_bpe_path() -> str:
@@ -32,6 +32,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(table(spark, sf_dir, "conversations").select(*own.columns).unionByName(own))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), language_id.held_out()
     return language_id.identify(docs, ~held).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
@@ -63,6 +69,7 @@ def queries() -> dict:
         "op1_simhash": op1_simhash,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_chat_format": op3_chat_format,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_language_id": op5_language_id,
         "op6_token_files": op6_token_files,
         "op7_warc": op7_warc,
