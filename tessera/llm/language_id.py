@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def counted(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def has_letter(column: pa.Array) -> np.ndarray:
     """Whether a text has a letter of any script; null has none."""
-    plain = pa.compute.fill_null(pa.compute.match_substring_regex(column, r"\pL"), False)
+    plain = pc.fill_null(pc.match_substring_regex(column, r"\pL"), False)
     return plain.to_numpy(zero_copy_only=False).astype(bool)
 
 
