@@ -28,6 +28,7 @@ RADIUS = 3
 WORDS = 3
 CHUNK = 16_384
 TILE = 128
+SALTS = 16
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -289,11 +290,12 @@ def simhash(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, chunk: in
     rows = materialize(with_fingerprints(docs, words), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = materialize(components(link_edges(distinct.select("fp"), radius, chunk)), "components")
-    joined = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # Components of one fingerprint keep its own least id; the others are summed up and joined by root.
-    shared = joined.where("root <> fp").select("root").distinct()
-    named = joined.join(shared, "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
-    known = joined.join(named, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    member = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
+    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    # A component may hold many fingerprints: they find its name by root and salt.
+    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = member.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("fp", "component_id")
+    known = distinct.join(told, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
