@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CHUNK_BYTES, crc_of_id, slices, text_buffer
+from ._common import CHUNK_BYTES, crc_of_id, free_name, slices, text_buffer
 
 SLOTS, DIM, NONZERO, WINDOW, HIDDEN = 1 << 15, 64, 6, 2, 24
 #: Labelled rows that the model is fitted on at most, and their text bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 4096, 24 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 4096, 16 << 20
+#: Neighbouring slots that are added up at once in training.
+PAIRS = 1 << 18
 #: Weight of a slot: FREQUENT / (FREQUENT + its share of the sample).
 FREQUENT = 1e-3
 KEEP = 0.3
@@ -95,16 +97,17 @@ def index_vectors(seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
 def context_vectors(docs: list[np.ndarray], seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """Unit context vectors of all slots and how often each occurs. ``docs`` holds slots in text order."""
     place, sign = index_vectors(seed)
-    flat = np.concatenate(docs) if docs else np.zeros(0, dtype=np.int64)
-    of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    flat = np.concatenate(docs) if docs else np.zeros(0, dtype=np.int32)
+    of = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
     counts = np.bincount(flat, minlength=2 * SLOTS)
     vectors = np.zeros(2 * SLOTS * DIM)
     for gap in range(1, WINDOW + 1):
         near = np.flatnonzero(of[gap:] == of[:-gap])
         for a, b in ((flat[near], flat[near + gap]), (flat[near + gap], flat[near])):
-            pair, n = np.unique(a * (2 * SLOTS) + b, return_counts=True)
-            x, y = pair // (2 * SLOTS), pair % (2 * SLOTS)
-            vectors += np.bincount((x[:, None] * DIM + place[y]).ravel(), (sign[y] * n[:, None]).ravel(), minlength=len(vectors))
+            pair, n = np.unique(a.astype(np.int64) * (2 * SLOTS) + b, return_counts=True)
+            for k in range(0, len(pair), PAIRS):
+                x, y = pair[k : k + PAIRS] // (2 * SLOTS), pair[k : k + PAIRS] % (2 * SLOTS)
+                vectors += np.bincount((x[:, None] * DIM + place[y]).ravel(), (sign[y] * n[k : k + PAIRS, None]).ravel(), minlength=len(vectors))
     vectors = vectors.reshape(-1, DIM)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return (vectors / np.where(norm > 0, norm, 1)).astype(np.float32), counts
@@ -143,6 +146,8 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     z = (x - mean) / scale
     share = float(np.clip(y[train].mean() if len(train) else 0.5, 1e-3, 1 - 1e-3))
     p = [rng.normal(0, np.sqrt(2 / z.shape[1]), (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), np.array(np.log(share / (1 - share)))]
+    if not len(train):
+        p[2], p[3] = np.zeros(HIDDEN), np.array(0.0)
     m, v, t = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], 0
     for epoch in range(epochs if len(train) else 0):
         for rows in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
@@ -214,7 +219,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: F.Column, label: st
     got = picked.mapInArrow(run, "o long, label int, words array<int>, shapes array<int>").toArrow().sort_by("o")
     out, y = [], []
     for w, s, label_ in zip(got["words"], got["shapes"], got["label"].to_pylist(), strict=True):
-        out.append((np.asarray(w.values).astype(np.int64), np.asarray(s.values).astype(np.int64)))
+        out.append((np.asarray(w.values), np.asarray(s.values)))
         y.append(label_)
         words_left -= len(out[-1][0])
         if words_left < 0:
@@ -256,4 +261,5 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """Rows of ``docs`` with a score of ``keep`` or more, with their columns."""
-    return with_score(docs, train(docs, labels, learned()), "__score").where(F.col("__score") >= keep).select(*docs.columns)
+    name = free_name(docs, "__score")
+    return with_score(docs, train(docs, labels, learned()), name).where(F.col(name) >= keep).select(*docs.columns)
