@@ -52,6 +52,14 @@ def purge_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or it with as many underscores as it takes to differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def crc_of_id(column: str = "doc_id") -> F.Column:
     """CRC-32 of the decimal text of an id, the fold key of the learning operators."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import free_name, materialize
 
 SALTS = 32
 SPACE = r"[\x20\x09-\x0D]+"
@@ -56,8 +56,9 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
 
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """Rows of ``docs`` that stay, with their columns."""
-    kept = exact_dedup(docs, salts).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    name = free_name(docs, "__kept_id")
+    kept = exact_dedup(docs, salts).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 ORACLE = r"""

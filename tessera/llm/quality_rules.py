@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, slices, text_buffer
+from ._common import free_name, materialize, slices, text_buffer
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -132,12 +132,13 @@ def quality_rules(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame
 
 def keep_good(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """Rows of ``docs`` that pass, with their columns; texts aren't shuffled."""
-    marked = annotate(docs).withColumns({"__host": host_of(F.col("source")), "__failed": failed()})
-    flags = marked.select(F.col("__host").alias("host"), F.col("__failed").alias("base_failed"))
-    bad = materialize(judge_hosts(flags, max_rate).where("rejected").select(F.col("host").alias("__host")), "rejected-hosts")
+    rules, host, fails = (free_name(docs, n) for n in ("__rules", "__host", "__failed"))
+    marked = annotate(docs, name=rules).withColumns({host: host_of(F.col("source")), fails: failed(rules)})
+    flags = marked.select(F.col(host).alias("host"), F.col(fails).alias("base_failed"))
+    bad = materialize(judge_hosts(flags, max_rate).where("rejected").select(F.col("host").alias(host)), "rejected-hosts")
     if bad.count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
-    return marked.where("not __failed").join(bad, "__host", "left_anti").select(*docs.columns)
+    return marked.where(~F.col(fails)).join(bad, host, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

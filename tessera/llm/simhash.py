@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, slices, text_buffer
+from ._common import free_name, materialize, slices, text_buffer
 
 RADIUS = 3
 WORDS = 3
@@ -301,5 +301,6 @@ def simhash(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, chunk: in
 
 def keep_first(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """Rows of ``docs`` that are first in their component, with their columns; rows without an id stay."""
-    first = simhash(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__first_id")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long") == F.col("__first_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    name = free_name(docs, "__first_id")
+    first = simhash(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(first, docs["doc_id"].cast("long") == F.col(name), "left_semi").unionByName(docs.where("doc_id is null"))

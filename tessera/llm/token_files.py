@@ -194,7 +194,9 @@ def write_files(table: DataFrame, lengths: np.ndarray, path: str, width: int, pa
         if doc_ids:
             yield pa.RecordBatch.from_arrays([pa.array([lead + chunk(doc_ids, sizes, np.concatenate(parts))], pa.binary())], ["value"])
 
-    rows = table.where("ids is not null").select("doc_id", "n", "ids").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
+    # Rows of one id may be many: the hash lets them spread over partitions, in one order.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.xxhash64("ids")]
+    rows = table.where("ids is not null").select("doc_id", "n", "ids").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
 
 
@@ -239,9 +241,11 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = files.mapInArrow(run, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
     rows = materialize(rows, "token-digest")
-    # One row for each file: the files ascend, so ids before a file are those of the files with smaller first ids.
-    totals = rows.groupBy("file").agg(F.min_by(F.struct("doc_id"), F.col("start")).alias("first"), F.sum("n_tokens").alias("n"))
-    earlier = Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each file: the files ascend, so ids before a file are those of the files with smaller first ids, and
+    # of those that begin and end with the same id.
+    ends = [f(F.struct("doc_id"), F.col("start")).alias(n) for f, n in ((F.min_by, "first"), (F.max_by, "last"))]
+    totals = rows.groupBy("file").agg(*ends, F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("first", "last", "file").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     return rows.join(totals, "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
