@@ -57,7 +57,7 @@ def fit_svm(df: DataFrame, config: Config) -> L.SvmModel:
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
     mine = F.filter(of, lambda p: (F.split(p, ",")[0].cast("int") == index) | (F.split(p, ",")[1].cast("int") == index))
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = (int(k) for k in key[0].split(","))
         pdf = pdf.sort_values("id")
         x, y = _arrays(pdf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,9 +16,6 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 def decode(files: DataFrame) -> DataFrame:
     """``path, image`` of rows of the binary-file source, for uncompressed 8-bit PPM images (the image source itself
     can't be a stream)."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("origin string, height int, width int, nChannels int, mode int, data binary")
     def run(path: pd.Series, content: pd.Series) -> pd.DataFrame:
         rows = []
