@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that a Python kernel takes at once; a single longer text is taken alone and whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a kernel.
+BATCH_BYTES = 4 << 20
 
 _own_root: dict[str, str] = {}
 _made: list[str] = []
@@ -60,6 +63,13 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches bounded by bytes as well as rows, whatever the rows' sizes are. The
+    setting is the session's and says nothing about results."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def crc_of_id(column: str = "doc_id") -> F.Column:
     """CRC-32 of the decimal text of an id, the fold key of the learning operators."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

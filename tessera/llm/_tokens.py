@@ -23,7 +23,7 @@ from ._common import text_buffer
 
 SHORT = 16
 #: Chunks that a worker remembers before it starts anew.
-MEMO_CHUNKS = 2_000_000
+MEMO_CHUNKS = 600_000
 
 _definite = np.zeros(256, dtype=bool)  # bytes that surely start a character that is neither white space nor an added token
 _definite[0x21:0x7F] = True

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CHUNK_BYTES, crc_of_id, slices, text_buffer
+from ._common import crc_of_id, map_batches, slices, text_buffer
 
 BUCKETS, DIM = 1 << 15, 16
 SIZES = (3, 4)
@@ -156,11 +156,11 @@ def training_rows(docs: DataFrame, learn: F.Column, label: str = "lang", rows: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", CHUNK_BYTES // 4):
+            for part in slices(batch, "text"):
                 found = counted(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("o"), part.column("label"), pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))], ["o", "label", "buckets", "counts"])
 
-    got = picked.mapInArrow(run, "o long, label string, buckets array<int>, counts array<int>").toArrow().sort_by("o").slice(0, rows)
+    got = map_batches(picked, run, "o long, label string, buckets array<int>, counts array<int>").toArrow().sort_by("o").slice(0, rows)
     pairs = [(np.asarray(b.values), np.asarray(c.values)) for b, c in zip(got["buckets"], got["counts"], strict=True)]
     return pairs, got["label"].to_pylist()
 
@@ -177,14 +177,14 @@ def identify(docs: DataFrame, learn: F.Column, sample_rows: int = SAMPLE_ROWS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in slices(batch, "text", CHUNK_BYTES // 4):
+            for part in slices(batch, "text"):
                 text = part.column("text")
                 p, known = predict(text, own), has_letter(text)
                 best, score = p.argmax(axis=1), np.where(known, p.max(axis=1), 0.0)
                 lang = [own.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known & (score >= own.threshold))], ["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def held_out(column: str = "doc_id") -> F.Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialize, slices
+from ._common import CHUNK_BYTES, map_batches, materialize, slices
 from ._tokens import memo
 
 #: Pieces that share a window when pieces are ranked.
@@ -81,7 +81,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = memo(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 * CHUNK_BYTES):
                 ids, bounds = encoder.encode(part.column("text"), end_id)
                 total = np.diff(bounds)
                 pieces = -(-total // capacity)
@@ -94,7 +94,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity:
                 crc = [zlib.crc32(raw[a : a + n]) for a, n in zip(at.tolist(), (length * 4).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()).take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut, PIECES)
 
 
 def slots(patterns: list[tuple[int, dict[int, int]]]) -> pd.DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CHUNK_BYTES, slices
+from ._common import map_batches, slices
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -343,11 +343,11 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)
         for batch in batches:
-            for part in slices(batch, "text", CHUNK_BYTES // 4):
+            for part in slices(batch, "text"):
                 ids, bounds = own.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids array<int>")
 
 
 def decode_documents(coded: DataFrame, model: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import free_name, materialize, slices, text_buffer
+from ._common import free_name, map_batches, materialize, slices, text_buffer
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -90,7 +90,7 @@ def annotate(docs: DataFrame, text: str = "text", name: str = "__rules") -> Data
                 yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, name])
 
     schema = docs.select(*docs.columns).schema.add(name, T.StructType([T.StructField(f, T.LongType()) for f in fields]))
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def failed(name: str = "__rules") -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, materialize, slices, text_buffer
+from ._common import free_name, map_batches, materialize, slices, text_buffer
 
 RADIUS = 3
 WORDS = 3
@@ -148,7 +148,7 @@ def with_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fingerprints(part.column("text"), words).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 def byte_counts(fp: np.ndarray) -> np.ndarray:
@@ -253,7 +253,7 @@ def link_edges(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    return left.join(right, "unit", "left").select("unit", "left", "same", "right").mapInArrow(run, "a long, b long")
+    return map_batches(left.join(right, "unit", "left").select("unit", "left", "same", "right"), run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialize, scratch_path, slices
+from ._common import CHUNK_BYTES, map_batches, materialize, scratch_path, slices
 from ._tokens import memo
 
 MAGIC = b"TSRAHUF1"
@@ -140,7 +140,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         encoder = memo(tokenizer)
         counts = np.zeros(encoder.encoder.get_vocab_size(), dtype="<u8")
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 * CHUNK_BYTES):
                 ids, bounds = encoder.encode(part.column("text"), end_id)
                 counts += np.bincount(ids, minlength=len(counts)).astype("<u8")
                 width = ids.dtype.itemsize
@@ -149,7 +149,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["doc_id", "n", "ids", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, ids binary, counts binary")
 
 
 def global_counts(table: DataFrame) -> np.ndarray:
@@ -197,7 +197,7 @@ def write_files(table: DataFrame, lengths: np.ndarray, path: str, width: int, pa
     # Rows of one id may be many: the hash lets them spread over partitions, in one order.
     order = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.xxhash64("ids")]
     rows = table.where("ids is not null").select("doc_id", "n", "ids").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
+    map_batches(rows, run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
 
 
 #: Stands for a null id in the files.

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, scratch_path
+from ._common import map_batches, materialize, scratch_path
 
 DICTIONARY_MAGIC, MARK_MAGIC = 0x184D2A5D, 0x184D2A5E
 MARK = struct.pack("<II", MARK_MAGIC, 1)
@@ -110,7 +110,7 @@ def write_archives(rows: DataFrame, path: str, dictionary: bytes, level: int = L
                 lead = b""
                 yield pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], ["value"])
 
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
+    map_batches(rows, run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
 
 
 def read_records(content: bytes) -> Iterator[bytes]:
