@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CHUNK_BYTES, crc_of_id, free_name, slices, text_buffer
+from ._common import crc_of_id, free_name, map_batches, slices, text_buffer
 
 SLOTS, DIM, NONZERO, WINDOW, HIDDEN = 1 << 15, 64, 6, 2, 24
 #: Labelled rows that the model is fitted on at most, and their text bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 4096, 16 << 20
 #: Neighbouring slots that are added up at once in training.
-PAIRS = 1 << 18
+PAIRS = 1 << 16
 #: Weight of a slot: FREQUENT / (FREQUENT + its share of the sample).
 FREQUENT = 1e-3
 KEEP = 0.3
@@ -91,7 +91,7 @@ def slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def index_vectors(seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """Positions and signs of the non-zero entries of each slot's index vector."""
     rng = np.random.default_rng(seed)
-    return rng.integers(0, DIM, (2 * SLOTS, NONZERO)), rng.choice(np.array([-1.0, 1.0], dtype=np.float32), (2 * SLOTS, NONZERO))
+    return rng.integers(0, DIM, (2 * SLOTS, NONZERO), dtype=np.int32), rng.choice(np.array([-1.0, 1.0], dtype=np.float32), (2 * SLOTS, NONZERO))
 
 
 def context_vectors(docs: list[np.ndarray], seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -100,17 +100,18 @@ def context_vectors(docs: list[np.ndarray], seed: int = 42) -> tuple[np.ndarray,
     flat = np.concatenate(docs) if docs else np.zeros(0, dtype=np.int32)
     of = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
     counts = np.bincount(flat, minlength=2 * SLOTS)
-    vectors = np.zeros(2 * SLOTS * DIM)
+    vectors = np.zeros(2 * SLOTS * DIM, dtype=np.float32)
     for gap in range(1, WINDOW + 1):
-        near = np.flatnonzero(of[gap:] == of[:-gap])
-        for a, b in ((flat[near], flat[near + gap]), (flat[near + gap], flat[near])):
-            pair, n = np.unique(a.astype(np.int64) * (2 * SLOTS) + b, return_counts=True)
-            for k in range(0, len(pair), PAIRS):
-                x, y = pair[k : k + PAIRS] // (2 * SLOTS), pair[k : k + PAIRS] % (2 * SLOTS)
-                vectors += np.bincount((x[:, None] * DIM + place[y]).ravel(), (sign[y] * n[k : k + PAIRS, None]).ravel(), minlength=len(vectors))
+        for k in range(0, len(flat) - gap, PAIRS):
+            one, two = flat[k : k + PAIRS + gap][:-gap], flat[k + gap : k + gap + PAIRS]
+            near = of[k : k + PAIRS + gap][:-gap] == of[k + gap : k + gap + PAIRS]
+            one, two = one[near].astype(np.int64), two[near].astype(np.int64)
+            for x, y in ((one, two), (two, one)):
+                np.add.at(vectors, (x[:, None] * DIM + place[y]).ravel(), sign[y].ravel())
     vectors = vectors.reshape(-1, DIM)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return (vectors / np.where(norm > 0, norm, 1)).astype(np.float32), counts
+    vectors /= np.where(norm > 0, norm, 1)
+    return vectors, counts
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -120,11 +121,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 60, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 42) -> Model:
     """Train on (word slots, shape slots) of texts and 0/1 labels. Every sixth row calibrates only."""
     rng = np.random.default_rng(seed)
-    words, word_n = context_vectors([w for w, _ in docs], seed)
-    shapes, shape_n = context_vectors([s for _, s in docs], seed + 1)
-    vectors = np.concatenate([words[:SLOTS], shapes[SLOTS:]])
-    counts = np.concatenate([word_n[:SLOTS], shape_n[SLOTS:]])
-    total = max(1, int(word_n.sum()))
+    vectors, counts = context_vectors([d for pair in docs for d in pair], seed)  # words beside words, shapes beside shapes
+    total = max(1, int(counts[:SLOTS].sum()))
     # A slot must be seen twice: in use, words of other documents are as strange as those seen once here.
     seen = counts > 1
     weight = np.where(seen, FREQUENT / (FREQUENT + counts / total), 0).astype(np.float32)
@@ -207,7 +205,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: F.Column, label: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", CHUNK_BYTES // 4):
+            for part in slices(batch, "text"):
                 words, shapes, per = slots(part.column("text"))
                 ends = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (words, shapes)]
@@ -216,7 +214,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: F.Column, label: st
     if not ids:
         return [], np.zeros(0)
     words_left = limit // 4
-    got = picked.mapInArrow(run, "o long, label int, words array<int>, shapes array<int>").toArrow().sort_by("o")
+    got = map_batches(picked, run, "o long, label int, words array<int>, shapes array<int>").toArrow().sort_by("o")
     out, y = [], []
     for w, s, label_ in zip(got["words"], got["shapes"], got["label"].to_pylist(), strict=True):
         out.append((np.asarray(w.values), np.asarray(s.values)))
@@ -237,11 +235,11 @@ def with_score(docs: DataFrame, model: Model, name: str = "score", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, CHUNK_BYTES // 4):
+            for part in slices(batch, text):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(part.column(text), shared.value), pa.float64())], [*part.schema.names, name])
 
     schema = docs.select(*docs.columns).schema.add(name, "double")
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def learned(column: str = "doc_id") -> F.Column:
