@@ -35,6 +35,8 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Words a worker remembers before it starts anew.
 MEMO_WORDS = 500_000
+#: Text bytes that are taken at once: the more new words of one length, the fewer passes.
+SLICE_BYTES = 4 << 20
 _NONE = np.iinfo(np.int64).max
 _word = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
@@ -229,8 +231,8 @@ class Coder:
 
     # The pass over positions
 
-    def segment(self, words: list[str]) -> list[np.ndarray]:
-        """Ranks (negative: unknown characters) of words of one length."""
+    def segment(self, words: list[str]) -> np.ndarray:
+        """Ranks (negative: unknown characters) of words of one length, a row a word, the rest of a row ``_NONE``."""
         chars = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.uint64).reshape(len(words), -1)
         n, length = chars.shape
         prefix = self._prefix_hashes(chars)
@@ -263,43 +265,44 @@ class Coder:
                     best[rows, j], last[rows, j], back[rows, j] = value[rows], piece[rows], size
             lost = np.flatnonzero((last[:, j] == _NONE) | (last[:, j] < 0))
             last[lost, j], back[lost, j], best[lost, j] = -1 - chars[lost, j - 1].astype(np.int64), 1, np.where(best[lost, j] == -np.inf, 0, best[lost, j])
-        out, at = [], np.full(n, length)
-        rows = np.arange(n)
-        steps = []
-        while (at > 0).any():
-            steps.append(np.where(at > 0, last[rows, at], _NONE))
-            at = np.where(at > 0, at - back[rows, at], 0)
-        table = np.array(steps[::-1]).T if steps else np.zeros((n, 0), dtype=np.int64)
-        for row in table:
-            out.append(row[row != _NONE])
-        return out
+        at, rows, steps = np.full(n, length), np.arange(n), []
+        while len(rows):
+            step = np.full(n, _NONE, dtype=np.int64)
+            step[rows] = last[rows, at[rows]]
+            steps.append(step)
+            at[rows] -= back[rows, at[rows]]
+            rows = rows[at[rows] > 0]
+        return np.array(steps[::-1]).T if steps else np.zeros((n, 0), dtype=np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        found: dict[str, np.ndarray | list[int]] = {}
-        groups: dict[int, list[str]] = {}
+        byte, single, groups = self.vocabulary.byte, {}, {}
         for w in words:
             if self.vocabulary.kind == BPE and (w.startswith(SPACE * 2) or len(w) > 256):
-                found[w] = self.merge_one_by_one(w)
+                single[w] = self.merge_one_by_one(w)
             else:
                 groups.setdefault(len(w), []).append(w)
+        names, counts, ids = [], [], []
         for group in groups.values():
             step = max(1, 400_000 // max(1, len(group[0]) * 8))
             for k in range(0, len(group), step):
                 part = group[k : k + step]
-                found.update(zip(part, self.segment(part), strict=True))
-        byte = self.vocabulary.byte
-        lists = []
-        for w in words:
-            ranks = np.asarray(found[w], dtype=np.int64)
-            if len(ranks) and ranks.min() < 0:
-                lists.append([i for r in ranks.tolist() for i in ([int(self.id[r])] if r >= 0 else [byte[b] for b in chr(-1 - r).encode()])])
-            else:
-                lists.append(self.id[ranks])
-        count = np.array([len(x) for x in lists], dtype=np.int64)
-        self.place.update(zip(words, range(len(self.first), len(self.first) + len(words)), strict=True))
+                table = self.segment(part)
+                own, odd = table != _NONE, (table < 0).any(axis=1)
+                for i in np.flatnonzero(odd).tolist():
+                    single[part[i]] = table[i][own[i]].tolist()
+                names += part if not odd.any() else [w for w, o in zip(part, odd.tolist(), strict=True) if not o]
+                counts.append(own[~odd].sum(axis=1))
+                ids.append(self.id[table[~odd][own[~odd]]])
+        for w, ranks in single.items():
+            coded = [i for r in ranks for i in ([int(self.id[r])] if r >= 0 else [byte[b] for b in chr(-1 - r).encode()])]
+            names.append(w)
+            counts.append([len(coded)])
+            ids.append(coded)
+        count = np.concatenate([np.asarray(c, dtype=np.int64) for c in counts])
+        self.place.update(zip(names, range(len(self.first), len(self.first) + len(names)), strict=True))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, *[np.asarray(x, dtype=np.int32) for x in lists]])
+        self.ids = np.concatenate([self.ids, *[np.asarray(x, dtype=np.int32) for x in ids]])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn and the n + 1 offsets; null and empty texts have none."""
@@ -343,7 +346,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 ids, bounds = own.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 

@@ -146,6 +146,7 @@ def test_unigram_mode_finds_the_best_sum():
     own = pieces.Coder(MODEL, pieces.UNIGRAM)
     for word in ["▁the", "▁hello", "▁international", "▁abcabc"]:
         ranks = own.segment([word])[0]
+        assert (ranks >= 0).all()
         best = [0.0] + [-np.inf] * len(word)
         for j in range(1, len(word) + 1):
             for i in range(max(0, j - own.longest), j):
