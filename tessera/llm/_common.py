@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,7 +30,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         app = spark.sparkContext.applicationId
         if app not in _own_root:
-            _own_root[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+            folder = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, folder, True)
+            _own_root[app] = "file://" + folder
         root = _own_root[app]
     return root.rstrip("/")
 
