@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, packing, quality_classifier, quality_rules, queries, simhash
+from tessera.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules, queries
 from tessera.llm._common import materialize
 
 
@@ -28,8 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints the document with the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Of linked documents (five-word Jaccard similarity of 0.8 or more) the one with the smallest id stays."""
+    return near_dedup.keep_first(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

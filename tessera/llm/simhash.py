@@ -103,9 +103,10 @@ def bit_counts(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.add.reduceat(sums.view(np.uint8).reshape(-1, 64).astype(np.int64), np.cumsum(parts) - parts, axis=0)
 
 
-def fingerprints(column: pa.Array, words: int = WORDS) -> np.ndarray:
-    """64-bit fingerprints of whole texts. A-Z are lower-cased; shingles are runs of ``words`` words, joined by spaces,
-    repeats included; a text with fewer words is one shingle; one without words has fingerprint zero."""
+def shingle_hashes(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of whole texts, and how many each text has. A-Z are lower-cased; shingles are runs of
+    ``words`` words, joined by spaces, repeats included; a text with fewer words is one shingle; one without words has
+    none."""
     raw, offsets = text_buffer(column)
     data = _lower[raw[: offsets[-1]]]
     space = _space[data]
@@ -126,20 +127,29 @@ def fingerprints(column: pa.Array, words: int = WORDS) -> np.ndarray:
     begin = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
     shingles = np.where(per_doc >= words, per_doc - words + 1, np.minimum(per_doc, 1))
     doc_first = np.cumsum(per_doc) - per_doc
-    bounds = np.concatenate([[0], np.cumsum(shingles)])
+    bounds = np.cumsum(shingles) - shingles
     of = np.repeat(np.arange(len(per_doc)), shingles)
     head = doc_first[of] + np.arange(len(of)) - bounds[of]
     tail = head + np.minimum(per_doc[of], words) - 1
-    out = np.zeros(len(per_doc), dtype=np.uint64)
+    return xxh64(text, begin[head], stop[tail] - begin[head]) if len(of) else np.zeros(0, dtype=np.uint64), shingles
+
+
+def majorities(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Fingerprints of runs of ``shingles`` hashes: the bits that more than half of a run's hashes have. Zero for none."""
+    out = np.zeros(len(shingles), dtype=np.uint64)
     full = np.flatnonzero(shingles)
     if len(full):
-        hashes = xxh64(text, begin[head], stop[tail] - begin[head])
-        counts = bit_counts(hashes, np.concatenate([bounds[full], bounds[-1:]]))
+        counts = bit_counts(hashes, np.concatenate([[0], np.cumsum(shingles[full])]))
         bits = 2 * counts > shingles[full][:, None]
         out[full] = np.packbits(bits, axis=1).view(">u8").ravel()
     return out
 
 
+def fingerprints(column: pa.Array, words: int = WORDS) -> np.ndarray:
+    """64-bit fingerprints of whole texts, over ``shingle_hashes``."""
+    return majorities(*shingle_hashes(column, words))
+
+
 def with_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed long) of each row."""
 

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, simhash
+from tessera.llm import exact_dedup, near_dedup, simhash
 
 
 def normal(text):
@@ -128,3 +128,78 @@ def test_a_clique_gives_a_forest():
 def test_fingerprints_of_odd_texts():
     texts = ["", None, " ", "A", "a b", "Ab  c\n", "é À x y", "z" * 100 + " " + "q" * 70 + " e", " x y z w "]
     assert simhash.fingerprints(pa.array(texts)).tolist() == [fingerprint(t) for t in texts]
+
+
+def shingles(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def brute_first(rows):
+    """Ids that stay if all pairs of rows with five-word Jaccard similarity of 0.8 or more are linked."""
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(d)
+    return {min(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize("chunk", [7, 1000])
+def test_near_copies_match_brute_force(spark, chunk):
+    """Texts of all sizes with edits that leave more or less than the similarity; chains of edits; a large group."""
+    rng, rows = random.Random(11), []
+    words = [f"w{i}" for i in range(4000)]
+    for _ in range(60):
+        text = [rng.choice(words) for _ in range(rng.choice([10, 14, 30, 80, 300]))]
+        for _ in range(rng.randint(1, 4)):
+            rows.append((rng.getrandbits(40), " ".join(text)))
+            for _ in range(rng.randint(0, max(1, len(text) // 40))):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            text = text[rng.randint(0, len(text) // 8) :]
+    base = [rng.choice(words) for _ in range(120)]
+    for i in range(60):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"Edit{i}"
+        rows.append((rng.getrandbits(40), "  ".join(copy)))
+    rows += [(1, None), (2, " "), (3, "one two"), (4, "One two"), (5, "one three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_first(rows)
+    assert len(want) < len(rows) - 100
+    assert {r["doc_id"] for r in near_dedup.keep_first(docs, chunk=chunk).collect()} == want
+
+
+def test_large_groups_of_near_copies_are_not_all_pairs(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows = [(i, " ".join(base[: rng.randrange(92, 101)] + [f"x{i}"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    listed = []
+    kept = near_dedup.compared
+
+    def compared(nodes, chunk):
+        found = kept(nodes, chunk)
+        listed.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_dedup, "compared", compared)
+    assert [r["doc_id"] for r in near_dedup.keep_first(docs).collect()] == [0]
+    assert listed[0] < 4 * len(rows)
+
+
+def test_near_copies_of_odd_tables(hostile, empty):
+    assert near_dedup.keep_first(empty).count() == 0
+    kept = near_dedup.keep_first(hostile)
+    assert kept.columns == hostile.columns
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert ids.count(None) == 2 and {1, 4, 5, 7, 8, 9} <= set(ids) and not {2, 3, 6} & set(ids)
