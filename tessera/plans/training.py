@@ -70,8 +70,7 @@ def fit_svm(df: DataFrame, config: Config) -> L.SvmModel:
 
 
 def fit_mlp(df: DataFrame, config: Config) -> L.MlpModel:
-    """Fit on ``label, features`` in one task."""
-    _guard(df)
+    """Fit on ``label, features`` of all rows, in batches, in one task that holds them."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = _arrays(pdf.sort_values("id"))

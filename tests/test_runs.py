@@ -140,3 +140,13 @@ def test_feature_names():
 def test_heat_map():
     image = heat_map(np.array([[10, 0], [123, 4]]))
     assert image.shape == (97, 97, 3) and png(image).startswith(b"\x89PNG")
+
+
+def test_networks_take_more_rows_than_kernel_machines(spark):
+    rows = training.MAX_FIT_ROWS + 100
+    df = spark.range(rows).selectExpr("id", "if(id % 2 = 0, 'a', 'b') as label", "array(cast(id % 2 as float), cast(id % 7 as float)) as features")
+    model = training.fit_mlp(df, Config(None, None, ann_hidden_layer_sizes=(4,), ann_max_iter=2))
+    assert model.classes == ["a", "b"]
+    assert model.scaler.mean[0] == pytest.approx(0.5)
+    with pytest.raises(ValueError, match="more than"):
+        training.fit_svm(df, Config(None, None))
