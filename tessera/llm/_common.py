@@ -24,10 +24,19 @@ _own_root: dict[str, str] = {}
 _made: list[str] = []
 
 
+def configure(spark: SparkSession) -> None:
+    """Session settings that queries and pipeline stages want; they say nothing about results. Arrow batches are bounded
+    by bytes as well as rows, so that a kernel's memory doesn't depend on the rows' sizes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session (``spark.checkpoint.dir``); one of our own only where that is unset."""
+    """The shared folder of the session (``spark.checkpoint.dir``). Where that is unset, a local master gets a folder of
+    our own and any other an error: executors of a cluster can't see each other's temporary folders."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_root:
             folder = tempfile.mkdtemp(prefix="tessera-")
@@ -48,15 +57,58 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     nothing is computed twice, and a lost executor costs only a re-read."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing will read any more."""
+    if table._scratch in _made:
+        _made.remove(table._scratch)
+        _delete(table.sparkSession, table._scratch)
+
+
+def scratch_mark() -> int:
+    """How many scratch tables there are; what is made later can be purged alone."""
+    return len(_made)
 
 
-def purge_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables of this process. Call when no DataFrame from these operators is needed any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+def purge_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the scratch tables made by this process after ``since``, but those that ``keep`` still reads. Call when no
+    other DataFrame from these operators is needed any more."""
+    read = keep.inputFiles() if keep is not None else []
+    needed = {p for p in _made[since:] if any(f"/{p.rpartition('/')[2]}/" in f for f in read)}
+    for path in [p for p in _made[since:] if p not in needed]:
+        _made.remove(path)
+        _delete(spark, path)
+
+
+#: Keys that count as hot at most, and over how many groups each one's rows are dealt.
+HOT_KEYS, SALTS = 1024, 128
+
+
+def skew_join(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, spread: list[str], how: str = "left") -> DataFrame:
+    """``rows`` joined with ``facts`` (one row for each ``key``, ``count`` of whose ``rows`` have it, ``total`` in all). Keys
+    with more than ``total / HOT_KEYS`` rows, of which there can't be more than ``HOT_KEYS``, are broadcast as such; their
+    rows, and rows without a key, are dealt over ``SALTS`` groups by a hash of the columns ``spread``, and their fact is
+    repeated for each group. So no key's rows meet in one task, and what is broadcast is bounded at any size."""
+    salt, hot = free_name(rows, "__salt"), free_name(rows, "__hot")
+    big = F.col(count) > max(total // HOT_KEYS, 1)
+    marked = rows.join(F.broadcast(facts.where(big).select(key, F.lit(True).alias(hot))), key, "left")
+    dealt = marked.withColumn(salt, F.when(F.col(hot) | F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(0).cast("int")).drop(hot)
+    told = facts.withColumn(salt, F.explode(F.when(big, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(told, [key, salt], how).drop(salt)
+
+
+def quoted(names: list[str]) -> list[F.Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -68,12 +120,49 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with batches bounded by bytes as well as rows, whatever the rows' sizes are. The
-    setting is the session's and says nothing about results."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """``df.mapInArrow(run, schema)``. ``configure`` bounds the batches' bytes; kernels cut them with ``slices`` anyway."""
     return df.mapInArrow(run, schema)
 
 
+def with_column(docs: DataFrame, text: str, name: str, kind: T.DataType, compute: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """All columns of ``docs``, whatever their names are, and ``name``: what ``compute`` makes of the column ``text``."""
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    at = [c.lower() for c in docs.columns].index(text.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, plain[at]):
+                column = part.column(at)
+                yield pa.RecordBatch.from_arrays([*part.columns, compute(column.cast(pa.string()) if column.type != pa.string() else column)], [*plain, "added"])
+
+    fields = [T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields, strict=True)]
+    return map_batches(docs.toDF(*plain), run, T.StructType([*fields, T.StructField("added", kind)])).toDF(*docs.columns, name)
+
+
+def hash_bound(share: float) -> int:
+    """The signed 64-bit number that a share of all hashes doesn't exceed."""
+    return (1 << 63) - 1 if share >= 1 else int((2 * max(share, 0.0) - 1) * ((1 << 63) - 1))
+
+
+def bounded_sample(rows: DataFrame, salt: int, most: int, limit: int, few: bool = False) -> DataFrame:
+    """``o, size, label, text`` of at most ``most`` ids and ``limit`` text bytes in all, in the order ``o`` of a hash of the
+    id. ``rows`` has ``doc_id, label, text``; an id that repeats gives its shortest text, smallest label and first text.
+    Texts of more than a 64th of ``limit`` are no candidates, and one that would pass the limit is left out, so that long
+    texts neither end nor fill the sample. The driver sees ids' hashes and sizes only. ``few`` says that ``rows`` has few ids
+    anyway, so that they needn't be counted first."""
+    o = F.xxhash64("doc_id", F.lit(salt))
+    small = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= limit // 64))
+    n = 0 if few else small.agg(F.approx_count_distinct("doc_id")).first()[0]
+    near = small.where(o <= hash_bound(1.2 * most / max(n, 1))).select("doc_id", F.struct(F.octet_length("text").alias("size"), "label", "text").alias("r"))
+    one = materialize(near.groupBy("doc_id").agg(F.min("r").alias("r")).select(o.alias("o"), "r.*"), "sample")
+    chosen, used = [], 0
+    for row in one.select("o", "size").orderBy("o", "size").limit(most).collect():
+        if used + row["size"] <= limit:
+            used += row["size"]
+            chosen.append((row["o"],))
+    return one.join(F.broadcast(rows.sparkSession.createDataFrame(chosen, "o long").distinct()), "o", "left_semi")
+
+
 def crc_of_id(column: str = "doc_id") -> F.Column:
     """CRC-32 of the decimal text of an id, the fold key of the learning operators."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

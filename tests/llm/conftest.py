@@ -29,7 +29,7 @@ def hostile(spark):
 
     df = spark.createDataFrame(hostile_rows(), DOCS)
     # extra columns whose names operators use inside
-    for name in ("fp", "content", "digest", "salt", "__rules", "__host", "__failed", "__score", "__kept_id", "__first_id", "host", "piece", "ids", "length"):
+    for name in ("fp", "content", "digest", "salt", "__rules", "__host", "__failed", "__score", "__kept_id", "__first_id", "host", "piece", "ids", "length", "a.b", "__salt", "__hot", "__rank", "_rank", "label", "o"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 
