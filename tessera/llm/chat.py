@@ -5,9 +5,11 @@ consecutive outputs compared: what the longer one adds is the turn's span, and a
 the shorter one betrays a template that rewrites history. Inside a span the text is located by rendering the turn with
 two probe texts that differ in every character: what their spans share at both ends belongs to the template.
 
-Conversations arrive as streams of rows in turn order, so one of any length takes bounded memory. Beyond ``WINDOW``
-turns the prefix is restarted from its last turn, and that turn's span, rendered at the new place, must be the old
-one; a template for which it isn't is reported like one that rewrites history.
+Every prefix is rendered whole, however long the conversation is, so that what is found doesn't depend on a number of
+turns. That takes time quadratic in the turns. A template that promises that a turn's span doesn't depend on turns further
+back than ``reach`` (an attribute of the template; none is assumed) is rendered with that many turns before the new one,
+and the promise is checked at each step: the last turn's span, rendered without what was dropped, must be the old one.
+Conversations arrive as streams of rows in turn order, so with such a template one of any length takes bounded memory.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Template = Callable[[list[tuple[str, str]]], str]
-WINDOW = 64
 _PROBES = ("\x01", "\x02")
 _special = re.compile(r"[\\<>\[\]]")
 _turn = re.compile(r"<s>\[((?:[^\\\]]|\\.)*)\]\n((?:[^\\<>\[\]]|\\.)*)</s>\n", re.DOTALL)
@@ -42,6 +43,17 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
+def turnwise(reach: int) -> Callable[[Template], Template]:
+    """Mark a template by its promise that the span of a turn depends on at most ``reach`` turns before it."""
+
+    def mark(template: Template) -> Template:
+        template.reach = reach
+        return template
+
+    return mark
+
+
+@turnwise(0)
 def marked_template(turns: list[tuple[str, str]]) -> str:
     """``<s>[role]`` and a line feed, the text, ``</s>`` and a line feed for each turn, roles and texts escaped."""
     return "".join(f"<s>[{escape(role)}]\n{escape(text)}</s>\n" for role, text in turns)
@@ -55,17 +67,19 @@ class Span(NamedTuple):
 
 
 class Renderer:
-    """Locates turns one by one in the output of a template."""
+    """Locates turns one by one in the output of a template. ``turns`` and ``output`` are the prefix that is rendered
+    again with the next turn: all of it, or its end if the template has a ``reach``."""
 
-    def __init__(self, template: Template, window: int = WINDOW):
-        self.template, self.window = template, window
+    def __init__(self, template: Template):
+        self.template, self.reach = template, getattr(template, "reach", None)
         self.turns: list[tuple[str, str]] = []
         self.output, self.dropped = template([]), 0
+        self.chars = len(self.output)
 
     def _added(self, role: str, text: str) -> str:
         longer = self.template([*self.turns, (role, text)])
         if not longer.startswith(self.output):
-            raise HistoryRewritten(f"turn {len(self.turns) + 1} changes what was rendered before it")
+            raise HistoryRewritten(f"turn {self.dropped + len(self.turns) + 1} changes what was rendered before it")
         return longer[len(self.output) :]
 
     def add(self, role: str, text: str) -> Span:
@@ -73,21 +87,26 @@ class Renderer:
         segment, (one, two) = self._added(role, text), (self._added(role, p) for p in _PROBES)
         head = len(os.path.commonprefix([one, two]))
         tail = len(os.path.commonprefix([one[head:][::-1], two[head:][::-1]]))
-        span = Span(lead + segment, self.dropped + len(self.output) - len(lead), len(lead) + head, len(lead) + len(segment) - tail)
+        span = Span(lead + segment, self.chars - len(lead), len(lead) + head, len(lead) + len(segment) - tail)
+        self.chars += len(segment)
         self.turns.append((role, text))
         self.output += segment
-        if len(self.turns) > self.window:
-            total = self.dropped + len(self.output)
-            self.turns, self.output = [], self.template([])
-            if self._added(role, text) != segment:
-                raise HistoryRewritten("the span of a turn depends on turns far before it")
-            self.turns, self.output = [(role, text)], self.output + segment
-            self.dropped = total - len(self.output)
+        if self.reach is not None and len(self.turns) > max(self.reach, 1):
+            self._forget(segment)
         return span
 
+    def _forget(self, segment: str) -> None:
+        """Go on with the last ``reach`` turns, one at least, if they give the last turn the span it has."""
+        drop = len(self.turns) - max(self.reach, 1)
+        self.dropped, self.turns = self.dropped + drop, self.turns[drop:]
+        before = self.template(self.turns[:-1])
+        self.output = self.template(self.turns)
+        if self.output != before + segment:
+            raise HistoryRewritten("the span of a turn depends on turns further back than the template's reach")
+
 
-def spans(turns: Iterator[tuple[str, str]], template: Template = marked_template, window: int = WINDOW) -> Iterator[Span]:
-    renderer = Renderer(template, window)
+def spans(turns: Iterator[tuple[str, str]], template: Template = marked_template) -> Iterator[Span]:
+    renderer = Renderer(template)
     for role, text in turns:
         yield renderer.add(role, text)
 
@@ -110,31 +129,32 @@ def _ordered(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _segments(batches: Iterator[pa.RecordBatch], template: Template, window: int) -> Iterator[tuple]:
+def _segments(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[tuple]:
     """(conv_id, number, role, span) of rows that come sorted by conversation and turn."""
     renderer, current, number = None, None, 0
     for batch in batches:
         for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
             if renderer is None or conv != current:
-                renderer, current, number = Renderer(template, window), conv, 0
+                renderer, current, number = Renderer(template), conv, 0
             yield conv, number, role, renderer.add(role, text)
             number += 1
 
 
-def format_turns(conversations: DataFrame, template: Template = marked_template, train_on: tuple[str, ...] = ("assistant",), window: int = WINDOW) -> DataFrame:
+def format_turns(conversations: DataFrame, template: Template = marked_template, train_on: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """``conv_id, number, segment, start, loss_start, loss_end``: the segments of a conversation, joined in the order
     of ``number``, are its formatted text; the loss mask is [loss_start, loss_end) in it, null for turns outside
     ``train_on``.
 
     Null texts and roles are empty strings. Turns of one conversation with the same number are ordered by role and
     text, null numbers come first, repeated rows are turns of their own, and rows without ``conv_id`` are one
-    conversation. Other columns are ignored. An empty table gives no rows."""
+    conversation. Other columns are ignored. An empty table gives no rows. Texts of any length are taken whole. A template
+    that rewrites history ends the job with ``HistoryRewritten``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         schema = pa.schema([("conv_id", pa.int64()), ("number", pa.int64()), ("segment", pa.string()), ("start", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
         emit = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-        for conv, number, role, s in _segments(batches, template, window):
+        for conv, number, role, s in _segments(batches, template):
             loss = (s.start + s.text_start, s.start + s.text_end) if role in train_on else (None, None)
             out.append((conv, number, s.segment, s.start, *loss))
             if len(out) >= 1000:
@@ -169,7 +189,7 @@ class _Digest:
         return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
-def format_digests(conversations: DataFrame, train_on: tuple[str, ...] = ("assistant",), window: int = WINDOW) -> DataFrame:
+def format_digests(conversations: DataFrame, train_on: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, read back from the segments of
     ``marked_template``, one row for each conversation. Nulls, ties and empty tables as in ``format_turns``."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -179,7 +199,7 @@ def format_digests(conversations: DataFrame, train_on: tuple[str, ...] = ("assis
         rows: list[tuple] = []
         digest, current = None, None
         emit = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        for conv, number, role, span in _segments(batches, marked_template, window):
+        for conv, number, role, span in _segments(batches, marked_template):
             if number == 0:
                 if digest:
                     rows.append((current, *digest.row()))
