@@ -21,17 +21,21 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_batches, materialize, scratch_path
+from ._common import hash_bound, map_batches, materialize, scratch_path, skew_join
 
 DICTIONARY_MAGIC, MARK_MAGIC = 0x184D2A5D, 0x184D2A5E
 MARK = struct.pack("<II", MARK_MAGIC, 1)
 #: Payloads below this size are always stored.
 MIN_REVISIT_BYTES = 100
-#: Records that the dictionary is built from at most, and their bytes; bytes of the dictionary.
-SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 8 << 20, 64 << 10
+#: Slices of records that the dictionary is built from at most, bytes of each, and bytes of the dictionary.
+SAMPLE_SLICES, SLICE_BYTES, DICTIONARY_BYTES = 1000, 8 << 10, 64 << 10
+#: Payload bytes of an archive, and what a record without payload counts for.
+FILE_BYTES, RECORD_BYTES = 64 << 20, 512
+#: Groups over which rows that repeat one payload without an id are dealt.
+SALTS = 64
 DATE = "2000-01-01T00:00:00Z"
 LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -77,28 +81,58 @@ def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b"".join(samples)[-size:]
 
 
-def sampled_records(pages: DataFrame, records: int = SAMPLE_RECORDS, limit: int = SAMPLE_BYTES) -> list[bytes]:
-    """A bounded sample by a hash of the id: records of at most ``limit / records`` bytes, in the order of the hash."""
-    small = pages.where(F.octet_length("payload") <= limit // records)
-    n = small.count()
-    order = F.xxhash64("page_id", F.lit(7))
-    bound = (1 << 63) - 1 if n <= records else int((2 * min(1.0, 1.2 * records / n) - 1) * ((1 << 63) - 1))
-    rows = small.where(order <= bound).select("page_id", "url", "payload", "digest", order.alias("o")).orderBy("o", "page_id").limit(records).collect()
-    return [record(r["page_id"], r["url"], bytes(r["payload"]), r["digest"], None, len(r["payload"])) for r in rows]
+def sampled_records(rows: DataFrame, told: DataFrame, n: int, most: int = SAMPLE_SLICES, width: int = SLICE_BYTES) -> list[bytes]:
+    """Slices of records for the dictionary: at most ``most`` of ``width`` payload bytes, the first of a record with its
+    headers. ``rows`` is ``with_payload``'s, ``told`` names the revisits, ``n`` rows are stored whole. Records of any size are
+    candidates, chosen by a hash of id and address; if there are fewer than ``most``, long ones give more slices, from
+    their beginning on. They are cut on the executors, so the driver gets at most ``most * width`` bytes and headers."""
+    o = F.xxhash64("page_id", "url", F.lit(7))
+    near = rows.where(o <= hash_bound(1.2 * most / max(n, 1))).withColumn("o", o).join(told, KEY, "left_anti")
+    last = F.least(F.lit(max(1, most // max(n, 1)) - 1), F.floor(F.col("size") / width).cast("int"))
+    cut = near.withColumn("k", F.explode(F.sequence(F.lit(0), last)))
+    cut = cut.select("page_id", "url", F.lower(F.hex("digest")).alias("digest"), "o", "k", "size", F.substring("payload", F.col("k") * width + 1, F.lit(width)).alias("part"))
+    picked = cut.orderBy("o", "page_id", "digest", "k").limit(most).collect()
+    head = lambda r: record(r["page_id"], r["url"], b"", r["digest"], None, r["size"])[:-4]  # noqa: E731  without the end mark
+    return [(b"" if r["k"] else head(r)) + bytes(r["part"]) for r in picked]
 
 
-def prepare(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """``page_id, url, payload, digest, refers_to``: the payload is null for revisits."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    first = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    rows = rows.join(first, "digest", "left").withColumn("refers_to", F.when(again, F.col("first_id")))
-    return rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "size", "refers_to")
+#: What tells rows apart that have one verdict: id (empty for none), digest, and a salt for rows without an id.
+KEY = ["own", "digest", "salt"]
+
 
+def own_key() -> Column:
+    return F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("own")
 
-def write_archives(rows: DataFrame, path: str, dictionary: bytes, level: int = LEVEL) -> None:
-    """Write ``prepare``'s rows, one archive for each partition that has rows."""
+
+def with_payload(pages: DataFrame) -> DataFrame:
+    """``page_id, url, payload, digest, size`` of each page; null html is empty."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    return rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload").cast("long"))
+
+
+def revisits(slim: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """``page_id, digest, refers_to``, distinct, of pages that revisit another, from rows ``page_id, digest, size`` (a table).
+    Payloads take no part; rows of a common digest are dealt over many tasks."""
+    again = slim.where(F.col("size") >= min_bytes)
+    first = again.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    pairs = again.select("page_id", "digest").distinct()
+    found = skew_join(pairs, first, "digest", "n", slim.count(), ["page_id"], "inner")
+    return found.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to")
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES, level: int = LEVEL) -> None:
+    """Write the records of ``pages`` to archives of about ``file_bytes`` payload bytes, one for each partition. Payloads are
+    shuffled once, by id and digest (and address, where there is no id)."""
+    rows = with_payload(pages)
+    slim = materialize(rows.select("page_id", "digest", "size"), "warc-digests")
+    n, total = slim.agg(F.count("*"), F.sum(F.col("size") + RECORD_BYTES)).first()
+    told = revisits(slim, min_bytes)
+    told = told.withColumn("salt", F.explode(F.when(F.col("page_id").isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    told = materialize(told.select(own_key(), "digest", "salt", "refers_to"), "warc-revisits")
+    rows = rows.withColumn("salt", F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url"), F.lit(SALTS))).otherwise(0).cast("int")).withColumn("own", own_key())
+    dictionary = build_dictionary(sampled_records(rows, told, n - told.where("salt = 0").count()))
+    dealt = rows.repartition(max(1, -(-(total or 0) // file_bytes)), *KEY).join(told, KEY, "left")
+    out = dealt.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), F.lower(F.hex("digest")).alias("digest"), "size", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
@@ -110,7 +144,7 @@ def write_archives(rows: DataFrame, path: str, dictionary: bytes, level: int = L
                 lead = b""
                 yield pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], ["value"])
 
-    map_batches(rows, run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
+    map_batches(out, run, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
 
 
 def read_records(content: bytes) -> Iterator[bytes]:
@@ -157,17 +191,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def archive_pages(pages: DataFrame, path: str | None = None, min_bytes: int = MIN_REVISIT_BYTES, file_rows: int = 4096) -> str:
+def archive_pages(pages: DataFrame, path: str | None = None, min_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> str:
     """Write one record for each row of ``pages`` (``page_id, url, html``; other columns are ignored) to archives of
-    about ``file_rows`` records; returns the folder. Null html is empty. Of equal payloads of ``min_bytes`` or more the
+    about ``file_bytes`` payload bytes; returns the folder. Null html is empty. Of equal payloads of ``min_bytes`` or more the
     smallest page id is the response; rows that repeat that id are responses too. Rows without an id revisit like
-    others; their group's response is the smallest id, and groups without any id are all responses. An empty table
-    gives a folder without records."""
+    others; their group's response is the smallest id, and groups without any id are all responses. Payloads of any
+    length are stored whole. An empty table gives a folder without records."""
     path = path or scratch_path(pages.sparkSession, "warc")
-    rows = materialize(prepare(pages, min_bytes), "warc-rows")
-    dictionary = build_dictionary(sampled_records(rows.where("payload is not null")))
-    n = rows.count()
-    write_archives(rows.repartition(max(1, -(-n // file_rows)), F.xxhash64("page_id", F.col("digest"))), path, dictionary)
+    write_archives(pages, path, min_bytes, file_bytes)
     return path
 
 
