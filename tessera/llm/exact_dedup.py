@@ -55,7 +55,10 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
 
 
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Rows of ``docs`` that stay, with their columns."""
+    """Rows of ``docs`` that stay, with their columns, whatever other columns are called. Null and empty texts are equal to
+    each other; a row stays if its id is the smallest of a group of equal texts, so rows that repeat id and text stay
+    together, and a row whose id stays for another text of that id stays too; of groups without any id all stay. Texts of
+    any length are compared whole; an empty table gives no rows."""
     name = free_name(docs, "__kept_id")
     kept = exact_dedup(docs, salts).where("kept").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_semi")

@@ -9,8 +9,8 @@ get the same answer, so the combination is taken as often as the counts allow at
 bounded by the capacity (a length limits a combination less than capacity / length times), not by the corpus.
 
 Pieces then take the slots of their length in turn. The turn of a piece is its rank within its length, from windows
-over small hashed buckets of each length plus the sizes of the buckets before, so no length, however common, meets in
-one task.
+over hashed buckets of each length plus the sizes of the buckets before. A length has at most ``BUCKETS`` buckets, so no
+window over sizes holds more rows than that, and no length, however common, meets in one task.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import CHUNK_BYTES, map_batches, materialize, slices
+from ._common import CHUNK_BYTES, free_name, map_batches, materialize, quoted, slices
 from ._tokens import memo
 
-#: Pieces that share a window when pieces are ranked.
-BUCKET_ROWS = 256
+#: Pieces that share a window when pieces are ranked, as long as a length has no more than ``BUCKETS`` windows.
+BUCKET_ROWS, BUCKETS = 256, 4096
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -112,20 +112,24 @@ def slots(patterns: list[tuple[int, dict[int, int]]]) -> pd.DataFrame:
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows that have ``doc_id, piece, length`` (1 <= length <= capacity). The
-    input must be stable (a table), as it is read twice. Each row takes part once; an empty input gives no rows."""
+    """Add ``sequence_id`` and ``offset`` to rows that have ``doc_id, piece, length`` (1 <= length <= capacity, or a
+    ValueError). The input must be stable (a table), as it is read twice. Each row takes part once, rows that repeat ids and
+    rows with null ids too; an empty input gives no rows. Other columns stay as they are, whatever their names, but
+    columns named ``sequence_id`` or ``offset`` give way to the new ones."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(not 1 <= n <= capacity for n in histogram):
         raise ValueError(f"a piece must have 1 to {capacity} ids")
     table = slots(plan(histogram, capacity))
-    small = spark.createDataFrame([(int(k), -(-int(n) // bucket_rows)) for k, n in histogram.items()] or [(0, 1)], "length long, _buckets long")
-    placed = pieces.join(F.broadcast(small), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_buckets")))
-    key = ["length", "_bucket"]
-    sizes = placed.groupBy(*key).agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "piece")) - 1).join(sizes, key).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    buckets, bucket, before, rank, place_ = (free_name(pieces, f"__{n}") for n in ("buckets", "bucket", "before", "rank", "place"))
+    small = spark.createDataFrame([(int(k), min(BUCKETS, -(-int(n) // bucket_rows))) for k, n in histogram.items()] or [(0, 1)], f"length long, {buckets} long")
+    placed = pieces.join(F.broadcast(small), "length").withColumn(bucket, F.pmod(F.xxhash64("doc_id", "piece"), F.col(buckets)))  # a row a length
+    key = ["length", bucket]
+    sizes = placed.groupBy(*key).agg(F.count("*").alias(before))
+    earlier = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*key, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "piece")) - 1
+    ranked = placed.withColumn(rank, turn).join(sizes, key).withColumn(rank, F.col(rank) + F.col(before))
     lengths, lows = table["length"].to_numpy(), table["low"].to_numpy()
     _, ks, bases, offsets = (table[c].to_numpy() for c in ("high", "k", "base", "offset"))
     span = int(lows.max(initial=0)) + 1 + max([0, *histogram.values()])
@@ -138,13 +142,16 @@ def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = BUCKET_ROWS
         j = r - lows[at]
         return pd.DataFrame({"sequence_id": bases[at] + j // ks[at], "offset": offsets[at] + j % ks[at] * n})
 
-    out = ranked.withColumn("_place", place("length", "_rank"))
-    return out.select(*pieces.columns, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
+    out = ranked.withColumn(place_, place("length", rank))
+    kept = quoted([c for c in pieces.columns if c not in ("sequence_id", "offset")])
+    return out.select(*kept, F.col(f"{place_}.sequence_id").alias("sequence_id"), F.col(f"{place_}.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """Pack all documents (``doc_id``, ``text``; other columns are ignored) into sequences of at most ``capacity``
-    ids. Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row for each piece."""
+    ids. Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row for each piece. Null and empty
+    texts are the end id alone, a text of any length is taken whole, repeated rows and null ids are packed like others, an
+    empty table gives no rows."""
     return pack(materialize(tokenized_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
 
 
