@@ -33,6 +33,8 @@ from ._tokens import memo
 MAGIC = b"TSRAHUF1"
 MAX_BITS = 18
 BLOCK = 256
+#: Files whose starts are summed up in one window.
+FILE_RUN = 4096
 #: Ids in a chunk at least, unless the file ends.
 CHUNK_IDS = 1 << 20
 
@@ -226,7 +228,8 @@ def read_file(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of each document, decoded from the files at ``path``."""
+    """``doc_id, start, n_tokens, ids_crc32`` of each document, decoded from the files at ``path``,
+    which ``write_files`` wrote. Null ids come back as nulls; a folder without documents gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,13 +244,19 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = files.mapInArrow(run, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
     rows = materialize(rows, "token-digest")
-    # One row for each file: the files ascend, so ids before a file are those of the files with smaller first ids, and
-    # of those that begin and end with the same id.
-    ends = [f(F.struct("doc_id"), F.col("start")).alias(n) for f, n in ((F.min_by, "first"), (F.max_by, "last"))]
-    totals = rows.groupBy("file").agg(*ends, F.sum("n_tokens").alias("n"))
-    earlier = Window.orderBy("first", "last", "file").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    return rows.join(totals, "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(file_starts(rows), "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def file_starts(rows: DataFrame, run: int = FILE_RUN) -> DataFrame:
+    """``file, base``: the ids before each file, from rows ``file, n_tokens``. Files ascend by the part number in their
+    names. Sums run over runs of ``run`` files, and over the runs' totals."""
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", "n", number.alias("k"), F.floor(number / run).alias("run"))
+    inside = Window.partitionBy("run").orderBy("k", "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row for each run of files
+    runs = totals.groupBy("run").agg(F.sum("n").alias("n")).select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    own = totals.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return own.join(runs, "run").select("file", (F.col("first") + F.col("own")).alias("base"))
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, file_bytes: int = 8 << 20) -> tuple[str, np.ndarray]:
