@@ -8,8 +8,6 @@ condemn them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import free_name, map_batches, materialize, slices, text_buffer
+from ._common import free_name, materialize, quoted, skew_join, text_buffer, with_column
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -25,9 +23,6 @@ MAX_REPEAT_PERCENT = 20
 MAX_HOST_RATE = 0.5
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (2.0, 1000.0)
-#: Rejected hosts that are sent to all executors at most; more are joined by key.
-BROADCAST_HOSTS = 10_000
-
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 _space = np.zeros(256, dtype=bool)
@@ -82,15 +77,11 @@ def annotate(docs: DataFrame, text: str = "text", name: str = "__rules") -> Data
     """All columns of ``docs`` and a struct of ``STATS``; the text stays where it is."""
     fields = [x.split()[0] for x in STATS.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text):
-                stats = text_stats(part.column(text))
-                struct = pa.StructArray.from_arrays([pa.array(stats[f], pa.int64()) for f in fields], fields)
-                yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, name])
+    def struct(column: pa.Array) -> pa.Array:
+        stats = text_stats(column)
+        return pa.StructArray.from_arrays([pa.array(stats[f], pa.int64()) for f in fields], fields)
 
-    schema = docs.select(*docs.columns).schema.add(name, T.StructType([T.StructField(f, T.LongType()) for f in fields]))
-    return map_batches(docs, run, schema)
+    return with_column(docs, text, name, T.StructType([T.StructField(f, T.LongType()) for f in fields]), struct)
 
 
 def failed(name: str = "__rules") -> Column:
@@ -125,20 +116,28 @@ def quality_rules(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), host_of(F.col("source")).alias("host"))
     stats = annotate(base).select("doc_id", "host", "__rules.*", failed().alias("base_failed"))
     stats = materialize(stats, "rule-stats")
-    hosts = judge_hosts(stats, max_rate).select("host", F.col("rate").alias("host_rate"), "rejected")
+    hosts = judge_hosts(stats, max_rate).select("host", "n", F.col("rate").alias("host_rate"), "rejected")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("rejected"), F.lit(False))
-    return stats.join(hosts, "host", "left").select("doc_id", *[x.split()[0] for x in STATS.split(", ")], "base_failed", kept.alias("kept"), F.round("host_rate", 6).alias("host_rate"))
+    told = skew_join(stats, hosts, "host", "n", stats.count(), ["doc_id", "n_words", "word_chars"])
+    return told.select("doc_id", *[x.split()[0] for x in STATS.split(", ")], "base_failed", kept.alias("kept"), F.round("host_rate", 6).alias("host_rate"))
 
 
 def keep_good(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Rows of ``docs`` that pass, with their columns; texts aren't shuffled."""
+    """Rows of ``docs`` that pass, with their columns, whatever other columns are called. Null and empty texts have no
+    words and go; rows without a source are judged by the base rules alone; texts of any length count whole; repeated rows
+    share a verdict and all count for their host; an empty table gives no rows.
+
+    Texts go through the rules once: rows are written with their host and verdict, those that fail without their text, and
+    hosts are counted from that table."""
     rules, host, fails = (free_name(docs, n) for n in ("__rules", "__host", "__failed"))
     marked = annotate(docs, name=rules).withColumns({host: host_of(F.col("source")), fails: failed(rules)})
-    flags = marked.select(F.col(host).alias("host"), F.col(fails).alias("base_failed"))
-    bad = materialize(judge_hosts(flags, max_rate).where("rejected").select(F.col("host").alias(host)), "rejected-hosts")
-    if bad.count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
-    return marked.where(~F.col(fails)).join(bad, host, "left_anti").select(*docs.columns)
+    own = [F.when(~F.col(fails), c).alias(n) if n.lower() == "text" else c for n, c in zip(docs.columns, quoted(docs.columns), strict=True)]
+    marked = materialize(marked.select(*own, host, fails), "rule-verdicts")
+    hosts = judge_hosts(marked.select(F.col(host).alias("host"), F.col(fails).alias("base_failed")), max_rate)
+    count, bad = free_name(docs, "__n"), free_name(docs, "__rejected")
+    hosts = hosts.where("rejected").select(F.col("host").alias(host), F.col("n").alias(count), F.col("rejected").alias(bad))
+    told = skew_join(marked.where(~F.col(fails)), hosts, host, count, marked.count(), ["doc_id", "text"])
+    return told.where(F.col(bad).isNull()).select(*quoted(docs.columns))
 
 
 ORACLE = r"""
