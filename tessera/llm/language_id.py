@@ -19,12 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_of_id, map_batches, slices, text_buffer
+from ._common import bounded_sample, crc_of_id, map_batches, slices, text_buffer
 
 BUCKETS, DIM = 1 << 15, 16
 SIZES = (3, 4)
-#: Labelled rows that the model is fitted on at most.
-SAMPLE_ROWS = 2048
+#: Labelled documents that the model is fitted on at most, and their text bytes. A document's features are at most two
+#: numbers for each byte of text, so what the driver holds of the sample is bounded too.
+SAMPLE_ROWS, SAMPLE_BYTES = 2048, 16 << 20
 UNKNOWN = "und"
 
 _fold = np.arange(256, dtype=np.uint8)
@@ -145,14 +146,11 @@ def predict(column: pa.Array, model: Model) -> np.ndarray:
     return softmax((total / np.maximum(size, 1)[:, None] + model.bias) / model.temperature)
 
 
-def training_rows(docs: DataFrame, learn: F.Column, label: str = "lang", rows: int = SAMPLE_ROWS) -> tuple[list, list[str]]:
-    """Features and labels of at most ``rows`` rows with a label for which ``learn`` holds, in the order of a hash of
-    the id. Features are made on the executors from whole texts; a row sends at most ``BUCKETS`` numbers."""
-    usable = docs.where(learn & F.col(label).isNotNull() & F.col("text").isNotNull())
-    n = usable.count()
-    bound = (1 << 63) - 1 if n <= rows else int((2 * min(1.0, rows / n) - 1) * ((1 << 63) - 1))
-    order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(11))
-    picked = usable.where(order <= bound).select(order.alias("o"), F.col(label).cast("string").alias("label"), F.col("text").cast("string").alias("text"))
+def training_rows(docs: DataFrame, learn: F.Column, label: str = "lang", rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> tuple[list, list[str]]:
+    """Features and labels of a ``bounded_sample`` of the rows with a label for which ``learn`` holds. Features are made on
+    the executors from whole texts."""
+    usable = docs.where(learn & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("string").alias("label"), F.col("text").cast("string").alias("text"))
+    picked = bounded_sample(usable, 11, rows, limit).select("o", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +158,7 @@ def training_rows(docs: DataFrame, learn: F.Column, label: str = "lang", rows: i
                 found = counted(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("o"), part.column("label"), pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))], ["o", "label", "buckets", "counts"])
 
-    got = map_batches(picked, run, "o long, label string, buckets array<int>, counts array<int>").toArrow().sort_by("o").slice(0, rows)
+    got = map_batches(picked, run, "o long, label string, buckets array<int>, counts array<int>").toArrow().sort_by("o")
     pairs = [(np.asarray(b.values), np.asarray(c.values)) for b, c in zip(got["buckets"], got["counts"], strict=True)]
     return pairs, got["label"].to_pylist()
 
