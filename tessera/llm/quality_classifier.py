@@ -1,11 +1,11 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 Words, and their shapes (runs of lower-case, upper-case, other letters, digits and each mark), are hashed to slots. A
-slot's index vector is sparse and ternary, from a hash. Its context vector sums the index vectors of the slots beside
-it in the training sample, which is random indexing; slots never seen have the zero vector and count as unseen. A
-document is the mean of its words' and of its shapes' normalised vectors, weighted down for frequent slots, with the
-shares of unseen slots and of words that repeat the word before. A network of one hidden layer (ReLU) and one output is trained with Adam; its probabilities are
-calibrated by a temperature on rows kept from the training.
+slot's index vector is sparse and ternary, from a hash. Its context vector sums the index vectors of the slots beside it
+in every document, which is random indexing: each task adds up a table of fixed size, and the tables are added up by slot.
+A document is the mean of its words' and of its shapes' normalised context vectors, words weighted down by how frequent
+their slots are in the corpus. A network of one hidden layer (ReLU) and one output is trained with Adam on a bounded
+sample of labelled documents; its probabilities are calibrated by a temperature on rows kept from the training.
 
 The first layer is linear in the pooled vectors, so scoring a document is a mean over rows of a (slot, hidden) table.
 """
@@ -19,15 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import crc_of_id, free_name, map_batches, slices, text_buffer
+from ._common import bounded_sample, crc_of_id, free_name, hash_bound, map_batches, quoted, slices, text_buffer, with_column
 
 SLOTS, DIM, NONZERO, WINDOW, HIDDEN = 1 << 15, 64, 6, 2, 24
-#: Labelled rows that the model is fitted on at most, and their text bytes.
+#: Labelled documents that the network is fitted on at most, and their text bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 4096, 16 << 20
-#: Neighbouring slots that are added up at once in training.
+#: Neighbouring slots that are added up at once.
 PAIRS = 1 << 16
-#: Weight of a slot: FREQUENT / (FREQUENT + its share of the sample).
+#: Weight of a word slot: FREQUENT / (FREQUENT + its share of the corpus).
 FREQUENT = 1e-3
 KEEP = 0.3
 
@@ -37,11 +38,28 @@ _shape = np.arange(256, dtype=np.uint8)
 _shape[0x61:0x7B], _shape[0x41:0x5B], _shape[0x30:0x3A], _shape[0x80:] = ord("a"), ord("A"), ord("0"), ord("a")
 
 
+class Corpus(NamedTuple):
+    """What all documents say of the slots."""
+
+    vectors: np.ndarray  # (2 * SLOTS, DIM): unit context vectors, zero for slots that don't occur
+    weight: np.ndarray  # of each slot in a document's mean
+
+
+class Network(NamedTuple):
+    mean: np.ndarray  # of the pooled vectors, which are centred and scaled
+    scale: np.ndarray
+    first: np.ndarray  # (2 * DIM, HIDDEN)
+    bias: np.ndarray
+    out: np.ndarray
+    out_bias: float
+    temperature: float
+
+
 class Model(NamedTuple):
+    """A network with its first layer multiplied by the vectors."""
+
     table: np.ndarray  # (2 * SLOTS, HIDDEN): what a word slot, then a shape slot, adds to the hidden layer
-    weight: np.ndarray  # of each slot in the mean
-    seen: np.ndarray
-    shares: np.ndarray  # (3, HIDDEN): weights of the shares of unseen words, unseen shapes and repeating words
+    weight: np.ndarray
     bias: np.ndarray
     out: np.ndarray
     out_bias: float
@@ -94,53 +112,84 @@ def index_vectors(seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, DIM, (2 * SLOTS, NONZERO), dtype=np.int32), rng.choice(np.array([-1.0, 1.0], dtype=np.float32), (2 * SLOTS, NONZERO))
 
 
-def context_vectors(docs: list[np.ndarray], seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Unit context vectors of all slots and how often each occurs. ``docs`` holds slots in text order."""
-    place, sign = index_vectors(seed)
-    flat = np.concatenate(docs) if docs else np.zeros(0, dtype=np.int32)
-    of = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
-    counts = np.bincount(flat, minlength=2 * SLOTS)
-    vectors = np.zeros(2 * SLOTS * DIM, dtype=np.float32)
+def add_contexts(sums: np.ndarray, flat: np.ndarray, of: np.ndarray, seed: int = 42) -> None:
+    """Add to each slot's row of ``sums`` the index vectors of the slots beside its occurrences in ``flat``, the slots of
+    texts in turn; ``of`` numbers the texts."""
+    place, sign = _indices(seed)
+    total = sums.reshape(-1)
     for gap in range(1, WINDOW + 1):
         for k in range(0, len(flat) - gap, PAIRS):
             one, two = flat[k : k + PAIRS + gap][:-gap], flat[k + gap : k + gap + PAIRS]
             near = of[k : k + PAIRS + gap][:-gap] == of[k + gap : k + gap + PAIRS]
-            one, two = one[near].astype(np.int64), two[near].astype(np.int64)
+            one, two = one[near], two[near]
             for x, y in ((one, two), (two, one)):
-                np.add.at(vectors, (x[:, None] * DIM + place[y]).ravel(), sign[y].ravel())
-    vectors = vectors.reshape(-1, DIM)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors /= np.where(norm > 0, norm, 1)
-    return vectors, counts
+                np.add.at(total, (x[:, None] * DIM + place[y]).ravel(), sign[y].ravel())
+
+
+_made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _indices(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    if seed not in _made:
+        _made[seed] = index_vectors(seed)
+    return _made[seed]
+
+
+def corpus_of(slot: np.ndarray, n: np.ndarray, sums: np.ndarray) -> Corpus:
+    """Unit vectors and weights from the sums and counts of the slots that occur."""
+    vectors, weight = np.zeros((2 * SLOTS, DIM), np.float32), np.zeros(2 * SLOTS, np.float32)
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    vectors[slot] = sums / np.where(norm > 0, norm, 1)
+    words = slot < SLOTS
+    share = n / max(1, int(n[words].sum()))
+    weight[slot] = np.where(words, FREQUENT / (FREQUENT + share), 1)  # shapes are few and telling
+    return Corpus(vectors, weight)
+
+
+def corpus_statistics(docs: DataFrame) -> Corpus:
+    """Context vectors and slot counts over the whole texts of all rows of ``docs``. A task keeps one table of ``2 * SLOTS``
+    rows and sends those in use; they are added up by slot, and the driver gets one row for each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros((2 * SLOTS, DIM), np.int32), np.zeros(2 * SLOTS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, shapes, per = slots(part.column("text"))
+                of = np.repeat(np.arange(len(per)), per)
+                for flat in (words, shapes):
+                    add_contexts(sums, flat, of)
+                    counts += np.bincount(flat, minlength=2 * SLOTS)
+        used = np.flatnonzero(counts)
+        for k in range(0, len(used), 4096):
+            at = used[k : k + 4096]
+            ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * DIM)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at]), pa.ListArray.from_arrays(ends, pa.array(sums[at].reshape(-1)))], ["slot", "n", "v"])
+
+    parts = map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "slot int, n long, v array<int>")
+    total = parts.groupBy("slot").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("v")[k]).cast("float") for k in range(DIM)]).alias("v"))
+    got = total.toArrow().combine_chunks()
+    sums = got["v"].combine_chunks().flatten().to_numpy().reshape(-1, DIM) if len(got) else np.zeros((0, DIM))
+    return corpus_of(got["slot"].to_numpy(), got["n"].to_numpy(), sums)
+
+
+def pooled(words: np.ndarray, shapes: np.ndarray, corpus: Corpus) -> np.ndarray:
+    """The features of a document: weighted means of its words' and of its shapes' vectors, zeros without any."""
+    mean = lambda part, w: (w[:, None] * corpus.vectors[part]).sum(axis=0) / max(float(w.sum()), 1e-9)
+    return np.concatenate([mean(part, corpus.weight[part]) for part in (words, shapes)])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 60, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 42) -> Model:
-    """Train on (word slots, shape slots) of texts and 0/1 labels. Every sixth row calibrates only."""
+def fit(x: np.ndarray, labels: np.ndarray, epochs: int = 60, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 42) -> Network:
+    """Train on features of documents and 0/1 labels. Every sixth row calibrates only."""
     rng = np.random.default_rng(seed)
-    vectors, counts = context_vectors([d for pair in docs for d in pair], seed)  # words beside words, shapes beside shapes
-    total = max(1, int(counts[:SLOTS].sum()))
-    # A slot must be seen twice: in use, words of other documents are as strange as those seen once here.
-    seen = counts > 1
-    weight = np.where(seen, FREQUENT / (FREQUENT + counts / total), 0).astype(np.float32)
-    weight[SLOTS:] = seen[SLOTS:]  # shapes are few and telling
-    y = np.asarray(labels, dtype=np.float32)
-
-    def pooled(part: np.ndarray) -> np.ndarray:
-        w = weight[part]
-        return (w[:, None] * vectors[part]).sum(axis=0) / max(float(w.sum()), 1e-9)
-
-    def shares(w: np.ndarray, s: np.ndarray) -> list[float]:
-        return [1 - seen[w].mean(), 1 - seen[s].mean(), (w[1:] == w[:-1]).sum() / len(w)] if len(w) else [1, 1, 0]
-
-    x = np.array([np.concatenate([pooled(w), pooled(s), shares(w, s)]) for w, s in docs], dtype=np.float32).reshape(len(docs), 2 * DIM + 3)
-    order = rng.permutation(len(docs))
-    held, train = (order[::6], np.setdiff1d(order, order[::6])) if len(docs) >= 60 else (order, order)
-    scale = x[train].std(axis=0) + 1e-3 if len(train) else np.ones(x.shape[1], np.float32)
-    mean = x[train].mean(axis=0) if len(train) else np.zeros(x.shape[1], np.float32)
+    x, y = np.asarray(x, dtype=np.float64).reshape(len(labels), 2 * DIM), np.asarray(labels, dtype=np.float64)
+    order = rng.permutation(len(x))
+    held, train = (order[::6], np.setdiff1d(order, order[::6])) if len(x) >= 60 else (order, order)
+    scale = x[train].std(axis=0) + 1e-3 if len(train) else np.ones(x.shape[1])
+    mean = x[train].mean(axis=0) if len(train) else np.zeros(x.shape[1])
     z = (x - mean) / scale
     share = float(np.clip(y[train].mean() if len(train) else 0.5, 1e-3, 1 - 1e-3))
     p = [rng.normal(0, np.sqrt(2 / z.shape[1]), (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), np.array(np.log(share / (1 - share)))]
@@ -165,10 +214,13 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
         grid = np.geomspace(0.2, 20, 200)
         loss = [-(soft * np.log(_sigmoid(logits / g)) + (1 - soft) * np.log(_sigmoid(-logits / g))).mean() for g in grid]
         temperature = float(grid[int(np.argmin(loss))])
-    w1 = p[0] / scale[:, None]
-    bias = p[1] - mean @ w1
-    table = np.concatenate([vectors[:SLOTS] @ w1[:DIM], vectors[SLOTS:] @ w1[DIM : 2 * DIM]]).astype(np.float32)
-    return Model(table * weight[:, None], weight, seen.astype(np.float32), w1[2 * DIM :], bias, p[2], float(p[3]), temperature)
+    return Network(mean, scale, p[0], p[1], p[2], float(p[3]), temperature)
+
+
+def fold(network: Network, corpus: Corpus) -> Model:
+    first = network.first / network.scale[:, None]
+    table = np.concatenate([corpus.vectors[:SLOTS] @ first[:DIM], corpus.vectors[SLOTS:] @ first[DIM:]])
+    return Model((table * corpus.weight[:, None]).astype(np.float32), corpus.weight, network.bias - network.mean @ first, network.out, network.out_bias, network.temperature)
 
 
 def score(column: pa.Array, model: Model) -> np.ndarray:
@@ -176,70 +228,45 @@ def score(column: pa.Array, model: Model) -> np.ndarray:
     words, shapes, per = slots(column)
     hidden = np.tile(model.bias, (len(per), 1))
     some = np.flatnonzero(per)
-    first = (np.cumsum(per) - per)[some]
-    hidden[per == 0] += model.shares[:2].sum(axis=0)
     if len(some):
-        again = np.zeros(len(words))
-        again[1:] = words[1:] == words[:-1]
-        again[first] = 0
-        hidden[some] += (np.add.reduceat(again, first) / per[some])[:, None] * model.shares[2]
-    for k, part in enumerate((words, shapes)):
-        if len(some):
+        first = (np.cumsum(per) - per)[some]
+        for part in (words, shapes):
             total = np.add.reduceat(model.weight[part], first, dtype=np.float64)
             hidden[some] += np.add.reduceat(model.table[part], first, axis=0, dtype=np.float64) / np.maximum(total, 1e-9)[:, None]
-            new = 1 - np.add.reduceat(model.seen[part], first, dtype=np.float64) / per[some]
-            hidden[some] += new[:, None] * model.shares[k]
     return _sigmoid((np.maximum(hidden, 0) @ model.out + model.out_bias) / model.temperature)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "quality", rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> tuple[list, np.ndarray]:
-    """Slots and labels of at most ``rows`` labelled documents for which ``learn`` holds and of ``limit`` text bytes, in
-    the order of a hash of the id. Slots are made on the executors from whole texts."""
+def training_rows(docs: DataFrame, labels: DataFrame, learn: F.Column, corpus: Corpus, label: str = "quality", rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a ``bounded_sample`` of the labelled documents for which ``learn`` holds. Labels are chosen
+    first, by the same hash of the id, so that only their documents are read out; features are made on the executors."""
     own = labels.where(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
-    n = own.count()
     order = F.xxhash64("doc_id", F.lit(13))
-    bound = (1 << 63) - 1 if n <= rows else int((2 * min(1.0, rows / n) - 1) * ((1 << 63) - 1))
-    own = own.withColumn("o", order).where(F.col("o") <= bound)
-    ids = [r["doc_id"] for r in own.orderBy("o").limit(rows).select("doc_id").collect()]
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(order <= bound).join(F.broadcast(own.orderBy("o").limit(rows)), "doc_id").select("o", "label", "text")
+    near = own.where(order <= hash_bound(2 * rows / max(own.count(), 1))).orderBy(order).limit(2 * rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    picked = bounded_sample(texts.join(F.broadcast(near), "doc_id"), 13, rows, limit, few=True).select("o", "label", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words, shapes, per = slots(part.column("text"))
-                ends = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (words, shapes)]
-                yield pa.RecordBatch.from_arrays([part.column("o"), part.column("label"), *lists], ["o", "label", "words", "shapes"])
-
-    if not ids:
-        return [], np.zeros(0)
-    words_left = limit // 4
-    got = map_batches(picked, run, "o long, label int, words array<int>, shapes array<int>").toArrow().sort_by("o")
-    out, y = [], []
-    for w, s, label_ in zip(got["words"], got["shapes"], got["label"].to_pylist(), strict=True):
-        out.append((np.asarray(w.values), np.asarray(s.values)))
-        y.append(label_)
-        words_left -= len(out[-1][0])
-        if words_left < 0:
-            break
-    return out, np.array(y)
+                ends = np.concatenate([[0], np.cumsum(per)])
+                x = [pooled(words[a:b], shapes[a:b], shared.value) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("o"), part.column("label"), pa.array(x, pa.list_(pa.float32()))], ["o", "label", "x"])
+
+    got = map_batches(picked, run, "o long, label int, x array<float>").toArrow().sort_by("o")
+    return np.array(got["x"].to_pylist(), dtype=np.float32).reshape(-1, 2 * DIM), got["label"].to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "quality") -> Model:
-    return fit(*training_rows(docs, labels, learn, label))
+    corpus = corpus_statistics(docs)
+    return fold(fit(*training_rows(docs, labels, learn, corpus, label)), corpus)
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
     """All columns of ``docs`` and the score of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS rows of HIDDEN numbers, twice
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(part.column(text), shared.value), pa.float64())], [*part.schema.names, name])
-
-    schema = docs.select(*docs.columns).schema.add(name, "double")
-    return map_batches(docs, run, schema)
+    return with_column(docs, text, name, T.DoubleType(), lambda column: pa.array(score(column, shared.value), pa.float64()))
 
 
 def learned(column: str = "doc_id") -> F.Column:
@@ -248,7 +275,8 @@ def learned(column: str = "doc_id") -> F.Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of each row of ``docs`` (``doc_id, text``; other columns are ignored).
+    """``doc_id, held_out, score, predicted`` of each row of ``docs`` (``doc_id, text``; other columns are ignored). Vectors
+    are of all texts, the network of at most ``SAMPLE_ROWS`` labelled ones.
     Labels are ``doc_id, quality``; null labels and ids are left out, a repeated id has its smallest label. Null and
     empty texts have the score of a text without words. Repeated rows are returned repeatedly. Without labels every
     score is the same; an empty table gives no rows."""
@@ -258,6 +286,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFram
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Rows of ``docs`` with a score of ``keep`` or more, with their columns."""
+    """Rows of ``docs`` with a score of ``keep`` or more, with their columns, whatever other columns are called. Nulls,
+    empty texts, repeated rows, labels and empty tables as in ``classify``; texts of any length count whole."""
     name = free_name(docs, "__score")
-    return with_score(docs, train(docs, labels, learned()), name).where(F.col(name) >= keep).select(*docs.columns)
+    return with_score(docs, train(docs, labels, learned()), name).where(F.col(name) >= keep).select(*quoted(docs.columns))
