@@ -8,9 +8,11 @@ differing bits, so a tile pair whose count ranges are further apart holds no lin
 
 Distribution. Distinct fingerprints (copies share one) are dealt into cells by the population counts of their two
 halves, and big cells into chunks of at most about ``CHUNK`` fingerprints. A task's unit is a pair of chunks of cells
-within the radius: two packed rows of at most a few hundred kilobytes, joined by the unit's number. Each unit gives the
-edges of a spanning forest of its links, fewer than it has fingerprints, so a group of near copies never becomes a list
-of all its pairs. Forests are merged by alternating large-star and small-star contractions until nothing changes.
+within the radius: two packed rows of at most a few hundred kilobytes, joined by the unit's number; units are dealt to
+tasks by the comparisons they make, not by bytes. Each unit gives the edges of a spanning forest of its links, fewer than
+it has fingerprints, so a group of near copies never becomes a list of all its pairs. Forests are merged by alternating
+large-star and small-star contractions until nothing changes. Joins on a fingerprint, a hub or a component deal the rows
+of hot keys over many tasks (``skew_join``).
 """
 
 from __future__ import annotations
@@ -19,16 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import free_name, map_batches, materialize, slices, text_buffer
+from ._common import free_name, map_batches, materialize, release, skew_join, slices, text_buffer
 
 RADIUS = 3
 WORDS = 3
 CHUNK = 16_384
 TILE = 128
-SALTS = 16
+#: Comparisons that a task of units is meant to make.
+TASK_WORK = 1 << 31
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -263,27 +266,40 @@ def link_edges(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    return map_batches(left.join(right, "unit", "left").select("unit", "left", "same", "right"), run, "a long, b long")
+    work = sum(min(counts[c], chunk * chunks[c]) * counts[d] for c, _, _, ds in near for d in ds) // 2
+    tasks = unit_tasks(spark, sum(chunks[c] * chunks[d] for c, _, _, ds in near for d in ds), work)
+    units = left.repartition(tasks, "unit").join(right.repartition(tasks, "unit"), "unit", "left")
+    return map_batches(units.select("unit", "left", "same", "right"), run, "a long, b long")
+
+
+def unit_tasks(spark: SparkSession, units: int, work: int) -> int:
+    """Tasks for a number of units that make ``work`` comparisons together."""
+    return max(1, min(units, max(2 * spark.sparkContext.defaultParallelism, -(-work // TASK_WORK))))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of all nodes that occur in edges ``a, b``, by large-star and small-star steps until no edge
-    changes. Each step keeps at most one edge for each edge it has, hubs are one aggregated row, and each step is
-    written to the shared folder."""
+    changes. Each step keeps at most one edge for each edge it has and is written to the shared folder, in place of the
+    step before. A hub's edges meet its least neighbour in many tasks."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def star(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+        return skew_join(rows, least, "u", "n", total, ["v"], "inner")
+
     last = state(edges)
     while last[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = star(both.where("v > u"), least, 2 * last[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), "cc")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        release(edges)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = star(large, least, last[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = materialize(small.where("u <> v").distinct(), "cc")
+        release(large)
         now = state(edges)
         if now == last:
             break
@@ -298,19 +314,21 @@ def simhash(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, chunk: in
     any other. Null ids are no candidates for ``component_id`` (null if a component has no other). Repeated rows are
     returned repeatedly. An empty table gives no rows."""
     rows = materialize(with_fingerprints(docs, words), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    n, total = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     roots = materialize(components(link_edges(distinct.select("fp"), radius, chunk)), "components")
-    member = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
-    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    # A component may hold many fingerprints: they find its name by root and salt.
-    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    told = member.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("fp", "component_id")
-    known = distinct.join(told, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp").select("fp", "root", "least")
+    # Components may hold many fingerprints, and fingerprints many rows.
+    named = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many"))
+    told = skew_join(member, named, "root", "many", n, ["fp"], "inner").select("fp", "component_id")
+    known = distinct.join(told, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return skew_join(rows, known, "fp", "n", total, ["doc_id"], "inner").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """Rows of ``docs`` that are first in their component, with their columns; rows without an id stay."""
+    """Rows of ``docs`` that are first in their component, with their columns, whatever other columns are called. Rows
+    without an id stay, and so do all rows of an id that is first. Null and empty texts are copies of each other, texts of
+    any length count whole, an empty table gives no rows."""
     name = free_name(docs, "__first_id")
     first = simhash(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(first, docs["doc_id"].cast("long") == F.col(name), "left_semi").unionByName(docs.where("doc_id is null"))
