@@ -5,31 +5,39 @@ Two documents are linked if the Jaccard similarity of their sets of five-word sh
 have 128 bits, of which ``RADIUS`` may differ and ``FIRST`` of the first 64: wide enough for that similarity, narrow
 enough that few unrelated pairs have to be checked.
 
-All pairs of distinct sets are accounted for by tiled exact comparison. Sets whose sizes differ by more than a fourth
-can't be similar enough, so documents are dealt into cells by size, and a unit is a pair of chunks of cells within that
-ratio. First, every set is compared with the leader of those that share a least hash with it: links found there put large
-groups of near copies together, so that the comparison, which leaves out pairs already together, doesn't list all their
-pairs. Each pair that is left is checked on the whole sets.
+All pairs of distinct sets are accounted for by tiled exact comparison of fingerprints, with tile pairs skipped whose
+population counts differ beyond the radius. Sets whose sizes differ by more than a fourth can't be similar enough, so
+documents are dealt into cells by size, cells into chunks that hold a bounded number of hashes, and a unit is a pair of
+chunks of cells within that ratio. Units are worked through twice: with fingerprints alone, to tell which rows have a
+candidate in it, and then with the whole sets of those rows. There each candidate is checked, unless links found before
+put both sides together already; what leaves a unit are the links of a spanning forest. So no list of pairs is ever
+written, whether a group's members are similar enough or just not. First of all, every set is compared with the leader of
+those that share a least hash with it, which puts large groups of near copies together in linear time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, map_batches, materialize, slices
-from .simhash import CHUNK, components, majorities, shingle_hashes
+from ._common import free_name, map_batches, materialize, skew_join, slices
+from .simhash import Forest, components, majorities, shingle_hashes, unit_tasks
 
 WORDS = 5
 #: Differing bits of the first 64, and of all 128.
 FIRST, RADIUS = 20, 36
 #: Least hashes of a set under as many orders.
 LEAST = 4
-TILE, BLOCK = 128, 8192
+#: Rows of a chunk at most, of a tile, and of the block it is compared with at once.
+CHUNK, TILE, BLOCK = 4096, 128, 8192
+#: Hashes of the sets of a chunk at most, or one set.
+CHUNK_HASHES = 1 << 21
 #: Cells of sizes: each a quarter of the way to the greatest ratio of similar sets, 5 / 4.
 STEPS = 4
 
@@ -86,40 +94,106 @@ def with_prints(docs: DataFrame, sets: bool) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, schema).withColumn("key", F.xxhash64("a", "b", "n", "total"))
 
 
-def candidates(one: list[np.ndarray], two: list[np.ndarray] | None, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of keys within the radius and the ratio of sizes and not together yet, of two chunks or of one chunk, each
-    given as keys, halves of fingerprints, sizes and groups."""
-    two_ = one if two is None else two
-    order = np.argsort(two_[3], kind="stable")
-    key, a, b, n, root = (x[order] for x in two_)
-    for start in range(0, len(one[0]), tile):
-        key_, a_, b_, n_, root_ = (x[start : start + tile] for x in one)
-        low, high = np.searchsorted(5 * n, 4 * int(n_.min()), "left"), np.searchsorted(4 * n, 5 * int(n_.max()), "right")
-        for at in range(low, high, BLOCK):
-            stop = min(at + BLOCK, high)
-            hit = np.flatnonzero(np.bitwise_count(a_[:, None] ^ a[at:stop]) <= FIRST)
-            x, y = hit // (stop - at), at + hit % (stop - at)
-            near = np.bitwise_count(a_[x] ^ a[y]) + np.bitwise_count(b_[x] ^ b[y]) <= RADIUS
+class Side(NamedTuple):
+    """Rows of a chunk, in the order of the population counts of ``a``."""
+
+    key: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    n: np.ndarray
+    root: np.ndarray
+    pop: np.ndarray
+    order: np.ndarray  # places of the rows before they were sorted
+
+
+def side(key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, root: np.ndarray) -> Side:
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    pop = np.bitwise_count(a).astype(np.int64)
+    order = np.argsort(pop, kind="stable")
+    return Side(key[order], a[order], b[order], n[order].astype(np.int64), root[order], pop[order], order)
+
+
+def candidates(one: Side, two: Side | None, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in ``one``, in ``two``) of pairs within the radius and the ratio of sizes and not together yet, of two chunks
+    or of one."""
+    other = one if two is None else two
+    for start in range(0, len(one.key), tile):
+        stop = start + tile
+        low, high = np.searchsorted(other.pop, one.pop[start] - FIRST, "left"), np.searchsorted(other.pop, one.pop[start:stop][-1] + FIRST, "right")
+        for at in range(start if two is None else low, high, BLOCK):
+            end = min(at + BLOCK, high)
+            hit = np.flatnonzero(np.bitwise_count(one.a[start:stop, None] ^ other.a[at:end]) <= FIRST)
+            x, y = start + hit // (end - at), at + hit % (end - at)
+            near = np.bitwise_count(one.a[x] ^ other.a[y]) + np.bitwise_count(one.b[x] ^ other.b[y]) <= RADIUS
             x, y = x[near], y[near]
-            good = (root_[x] != root[y]) & (5 * np.minimum(n_[x], n[y]) >= 4 * np.maximum(n_[x], n[y]))
+            nx, ny = one.n[x], other.n[y]
+            good = (one.root[x] != other.root[y]) & (5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny))
             if two is None:
-                good &= key_[x] < key[y]
+                good &= x < y
             if good.any():
-                yield key_[x[good]], key[y[good]]
+                yield x[good], y[good]
+
 
+def checked(one: Side, two: Side | None, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of links that join what wasn't together: candidates whose sets have a Jaccard similarity of 0.8 or more.
+    ``sets`` holds those of ``one``'s rows and then of ``two``'s."""
+    shift = 0 if two is None else len(one.key)
+    keys, roots = (np.concatenate([x, y]) if two is not None else x for x, y in ((one.key, two and two.key), (one.root, two and two.root)))
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    first = np.cumsum(size) - size
+    _, code = np.unique(np.concatenate(sets), return_inverse=True) if len(sets) else (None, np.zeros(0, np.int64))
+    mark = np.zeros(int(code.max(initial=0)) + 1, dtype=bool)
+    forest = Forest(len(keys))
+    by = np.argsort(roots, kind="stable")
+    alike = np.flatnonzero(roots[by][1:] == roots[by][:-1])
+    forest.union(by[alike], by[alike + 1])
+    found: list[tuple[int, int]] = []
+    for x, y in candidates(one, two):
+        y = y + shift
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        bounds = np.flatnonzero(np.diff(x, prepend=-1))
+        for i, j in zip(bounds.tolist(), [*bounds[1:].tolist(), len(x)], strict=True):
+            me = int(x[i])
+            mine = code[first[me] : first[me] + size[me]]
+            mark[mine] = True
+            for k in range(i, j, 256):
+                others = y[k : min(k + 256, j)]
+                others = others[forest.roots(others) != forest.roots(np.array([me]))[0]]
+                full = others[size[others] > 0]
+                if not len(full):
+                    continue
+                ends = np.cumsum(size[full])
+                at = np.arange(int(ends[-1])) + np.repeat(first[full] - (ends - size[full]), size[full])
+                both = np.add.reduceat(mark[code[at]], ends - size[full], dtype=np.int64)
+                alike = full[9 * both >= 4 * (size[me] + size[full])]
+                if len(alike):
+                    _, new = np.unique(forest.roots(alike), return_index=True)
+                    found += [(me, int(o)) for o in alike[new]]
+                    forest.union(np.full(len(new), me), alike[new])
+            mark[mine] = False
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return keys[pairs[:, 0]], keys[pairs[:, 1]]
 
-def compared(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``x, y``: pairs of keys of ``nodes`` (``key, a, b, n, root``, a table) that ``candidates`` gives."""
+
+def _numpy(cell: pa.Scalar) -> Side | None:
+    return side(*(x.to_numpy() for x in cell.values.flatten())) if cell.is_valid else None
+
+
+def rows_in_units(nodes: DataFrame, chunk: int = CHUNK, hashes: int = CHUNK_HASHES) -> DataFrame:
+    """``unit, right, key, a, b, n, root``: rows of ``nodes`` (``key, a, b, n, root``, a table) that have a candidate in a
+    unit, on its left or right side; a chunk with itself has a left side alone."""
     spark = nodes.sparkSession
     cell = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(1.25)) * STEPS).cast("int")
     celled = nodes.withColumn("cell", cell)
-    counts = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}  # a few hundred
+    counts = {r["cell"]: (r["rows"], r["total"]) for r in celled.groupBy("cell").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).collect()}  # a few hundred
+    chunks = {c: max(-(-rows // chunk), min(rows, -(-total // hashes))) for c, (rows, total) in counts.items()}
     base, total = {}, 0
-    for c in sorted(counts):
-        base[c], total = total, total - (-counts[c] // chunk)
-    near = lambda c: [(base[d], base[d] - (-counts[d] // chunk) - 1) for d in sorted(counts) if abs(c - d) <= STEPS]
+    for c in sorted(chunks):
+        base[c], total = total, total + chunks[c]
+    near = {c: [d for d in sorted(chunks) if abs(c - d) <= STEPS] for c in chunks}
     frame = spark.createDataFrame(
-        [(c, base[c], -(-counts[c] // chunk), near(c)) for c in sorted(counts)] or [(0, 0, 1, [])],
+        [(c, base[c], chunks[c], [(base[d], base[d] + chunks[d] - 1) for d in near[c]]) for c in sorted(chunks)] or [(0, 0, 1, [])],
         "cell int, base long, chunks long, near array<struct<first: long, last: long>>",
     )
     own = F.col("base") + F.pmod(F.xxhash64("key"), F.col("chunks"))
@@ -128,65 +202,118 @@ def compared(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     packed = materialize(packed, "near-chunks")
     pairs = packed.select("chunk", "rows", F.explode(F.flatten(F.transform("near", lambda s: F.sequence(s["first"], s["last"])))).alias("other"))
     unit = lambda x, y: (F.col(x) * F.lit(total) + F.col(y)).alias("unit")
-    left = pairs.where("chunk <= other").select(unit("chunk", "other"), F.col("rows").alias("left"))
+    left = pairs.where("chunk <= other").select(unit("chunk", "other"), F.col("rows").alias("left"), (F.col("chunk") == F.col("other")).alias("same"))
     right = pairs.where("chunk > other").select(unit("other", "chunk"), F.col("rows").alias("right"))
-
-    def columns(cell: pa.Scalar) -> list[np.ndarray] | None:
-        if not cell.is_valid:
-            return None
-        key, a, b, n, root = (x.to_numpy() for x in cell.values.flatten())
-        return [key, a.view(np.uint64), b.view(np.uint64), n.astype(np.int64), root]
+    work = sum(counts[c][0] * counts[d][0] for c in near for d in near[c]) // 2
+    tasks = unit_tasks(spark, sum(chunks[c] * chunks[d] for c in near for d in near[c]), work)
+    units = left.repartition(tasks, "unit").join(right.repartition(tasks, "unit"), "unit", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                for x, y in candidates(columns(batch.column(0)[k]), columns(batch.column(1)[k])):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+                one, two = _numpy(batch.column("left")[k]), _numpy(batch.column("right")[k])
+                mine = np.zeros(len(one.key), dtype=bool)
+                theirs = mine if two is None else np.zeros(len(two.key), dtype=bool)
+                for x, y in candidates(one, two):
+                    mine[x], theirs[y] = True, True
+                for s, used, is_right in ((one, mine, False), (two, theirs, True)):
+                    if s is not None and used.any():
+                        n = int(used.sum())
+                        columns = [np.full(n, batch.column("unit")[k].as_py()), np.full(n, is_right), s.key[used], s.a[used].view(np.int64), s.b[used].view(np.int64), s.n[used].astype(np.int32), s.root[used]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["unit", "right", "key", "a", "b", "n", "root"])
 
-    return map_batches(left.join(right, "unit", "left").select("left", "right"), run, "x long, y long")
+    return map_batches(units.select("unit", "left", "right"), run, "unit long, right boolean, key long, a long, b long, n int, root long")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b``: the pairs ``x, y`` of keys (a table) whose whole sets have a Jaccard similarity of 0.8 or more."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
-    ids = nodes.join(wanted, "key", "left_semi").select(F.col("least").alias("doc_id"), "key")
+def set_table(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key, hashes, many`` of the sets named by ``keys`` (``key, many``), written."""
+    ids = materialize(nodes.select("key", F.col("least").alias("doc_id")).join(keys, "key"), "near-ids")
     # An id may have several texts: the key tells which is meant.
     texts = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = with_prints(texts, True).join(ids, ["doc_id", "key"], "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
-    sets = materialize(sets, "near-sets")
-    side = lambda k: sets.select(F.col("key").alias(k), F.col("hashes").alias(f"s{k}"))
+    sets = with_prints(texts, True).join(ids, ["doc_id", "key"]).groupBy("key").agg(F.first("hashes").alias("hashes"), F.first("many").alias("many"))
+    return materialize(sets, "near-sets")
+
+
+def links_in_units(docs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``a, b``: spanning links of the units that ``rows`` (``rows_in_units``'s, a table) tells of."""
+    sets = set_table(docs, nodes, rows.groupBy("key").agg(F.count("*").alias("many")))
+    units, n = rows.agg(F.count_distinct("unit"), F.count("*")).first()
+    whole = rows.join(sets.drop("many"), "key").repartition(unit_tasks(docs.sparkSession, units, n * CHUNK), "unit").sortWithinPartitions("unit")
+
+    def unit(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        sides, sets = [], []
+        for right in (False, True):
+            part = table.filter(pa.compute.equal(table["right"], right))
+            own = side(*(part[c].to_numpy() for c in ("key", "a", "b", "n", "root")))
+            column = part["hashes"].combine_chunks()
+            sets += [np.asarray(column[int(k)].values) for k in own.order]
+            sides.append(own if part.num_rows else None)
+        a, b = checked(sides[0], sides[1], sets)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+        for batch in batches:
+            number = batch.column("unit").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and number[i] != current:
+                    yield unit(held)
+                    held = []
+                if j > i:
+                    current = number[i]
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield unit(held)
+
+    return map_batches(whole, run, "a long, b long")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b``: the pairs ``x, y`` of keys (a table; ``x`` may be in very many) whose whole sets have a Jaccard similarity
+    of 0.8 or more."""
+    total = pairs.count()
+    sets = set_table(docs, nodes, pairs.select(F.explode(F.array("x", "y")).alias("key")).groupBy("key").agg(F.count("*").alias("many")))
+    one = sets.select(F.col("key").alias("x"), F.col("hashes").alias("sx"), "many")
+    two = sets.select(F.col("key").alias("y"), F.col("hashes").alias("sy"))
     both = F.size(F.array_intersect("sx", "sy"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").where(9 * both >= 4 * (F.size("sx") + F.size("sy"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = skew_join(pairs.join(two, "y"), one, "x", "many", 2 * total, ["y"], "inner")
+    return found.where(9 * both >= 4 * (F.size("sx") + F.size("sy"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def groups(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, chunk: int = CHUNK, hashes: int = CHUNK_HASHES) -> tuple[DataFrame, DataFrame]:
     """Distinct shingle sets of ``docs`` (``doc_id`` not null, ``text``) as ``key, least`` (its smallest id), and ``node,
     root`` of the keys that are linked."""
     rows = with_prints(docs, False)
     own = ["a", "b", "n", *(f"m{j}" for j in range(LEAST))]
     nodes = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in own)), "near-nodes")
-    leads = None
+    n, leads = nodes.count(), None
     for j in range(LEAST):
         # Leaders are per least hash and size, to a ratio: others can't be similar enough. Every other time the
         # intervals of sizes begin in the middle of the others, so that no group is parted by all.
         size = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(1.25)) + F.lit(j % 2 / 2))
-        lead = nodes.groupBy(f"m{j}", size.alias("size")).agg(F.min(F.struct("key", "a", "b", "n")).alias("lead"), F.count("*").alias("many")).where("many > 1")
-        near = nodes.withColumn("size", size).join(lead, [f"m{j}", "size"]).where("key <> lead.key and 5 * least(n, lead.n) >= 4 * greatest(n, lead.n)")
+        own = nodes.select("key", "a", "b", "n", F.xxhash64(f"m{j}", size).alias("under"))
+        lead = own.groupBy("under").agg(F.min(F.struct("key", "a", "b", "n")).alias("lead"), F.count("*").alias("many")).where("many > 1")
+        near = skew_join(own, lead, "under", "many", n, ["key"], "inner").where("key <> lead.key and 5 * least(n, lead.n) >= 4 * greatest(n, lead.n)")
         first = F.bit_count(F.col("a").bitwiseXOR(F.col("lead.a")))
         near = near.where((first <= FIRST) & (first + F.bit_count(F.col("b").bitwiseXOR(F.col("lead.b"))) <= RADIUS)).select(F.col("lead.key").alias("x"), F.col("key").alias("y"))
         leads = near if leads is None else leads.unionByName(near)
     led = materialize(verified(docs, nodes, materialize(leads.distinct(), "near-leads")), "near-led")
     roots = components(led)
     placed = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "a", "b", "n", F.coalesce("root", "key").alias("root"))
-    found = materialize(compared(materialize(placed, "near-placed"), chunk), "near-pairs")
-    return nodes.select("key", "least"), materialize(components(led.unionByName(verified(docs, nodes, found))), "near-components")
+    rows = materialize(rows_in_units(materialize(placed, "near-placed"), chunk, hashes), "near-rows")
+    found = materialize(links_in_units(docs, nodes, rows), "near-found")
+    return nodes.select("key", "least"), materialize(components(led.unionByName(found)), "near-components")
 
 
-def keep_first(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of their group of near copies, with their columns. Rows without an id
-    stay and link nothing. Texts without words count as equal; a text of fewer than five words is one shingle."""
+def keep_first(docs: DataFrame, chunk: int = CHUNK, hashes: int = CHUNK_HASHES) -> DataFrame:
+    """Rows of ``docs`` whose id is the smallest of their group of near copies, with their columns, whatever other columns
+    are called. Rows without an id stay and link nothing; of an id with several texts all rows stay if it is the smallest
+    of some group. Null and empty texts and others without words count as equal; a text of fewer than five words is one
+    shingle; texts of any length count whole; repeated rows share a verdict; an empty table gives no rows."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    nodes, linked = groups(own, chunk)
+    nodes, linked = groups(own, chunk, hashes)
     name = free_name(docs, "__first_id")
     first = nodes.join(linked, nodes["key"] == linked["node"], "left").groupBy(F.coalesce("root", "key").alias("group")).agg(F.min("least").alias(name)).select(name).distinct()
     return docs.join(first, docs["doc_id"].cast("long") == F.col(name), "left_semi").unionByName(docs.where("doc_id is null"))

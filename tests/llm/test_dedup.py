@@ -155,8 +155,8 @@ def brute_first(rows):
     return {min(g) for g in groups.values()}
 
 
-@pytest.mark.parametrize("chunk", [7, 1000])
-def test_near_copies_match_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "hashes"), [(7, 1 << 21), (1000, 1 << 21), (1000, 500)])
+def test_near_copies_match_brute_force(spark, chunk, hashes):
     """Texts of all sizes with edits that leave more or less than the similarity; chains of edits; a large group."""
     rng, rows = random.Random(11), []
     words = [f"w{i}" for i in range(4000)]
@@ -176,25 +176,30 @@ def test_near_copies_match_brute_force(spark, chunk):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute_first(rows)
     assert len(want) < len(rows) - 100
-    assert {r["doc_id"] for r in near_dedup.keep_first(docs, chunk=chunk).collect()} == want
+    assert {r["doc_id"] for r in near_dedup.keep_first(docs, chunk=chunk, hashes=hashes).collect()} == want
 
 
-def test_large_groups_of_near_copies_are_not_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("alike", [True, False])
+def test_large_groups_are_never_all_pairs(spark, monkeypatch, alike):
+    """Groups whose members are similar enough, and just not similar enough: what is written stays linear in the rows."""
     rng = random.Random(12)
     base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
-    rows = [(i, " ".join(base[: rng.randrange(92, 101)] + [f"x{i}"])) for i in range(400)]
+    if alike:
+        rows = [(i, " ".join(base[: rng.randrange(92, 101)] + [f"x{i}"])) for i in range(400)]
+    else:
+        rows = [(i, " ".join([f"y{i}-{k}" for k in range(9)] + base + [f"x{i}-{k}" for k in range(9)])) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    listed = []
-    kept = near_dedup.compared
+    written, kept = {}, near_dedup.materialize
 
-    def compared(nodes, chunk):
-        found = kept(nodes, chunk)
-        listed.append(found.count())
-        return found
+    def materialize(df, tag):
+        out = kept(df, tag)
+        written[tag] = out.count()
+        return out
 
-    monkeypatch.setattr(near_dedup, "compared", compared)
-    assert [r["doc_id"] for r in near_dedup.keep_first(docs).collect()] == [0]
-    assert listed[0] < 4 * len(rows)
+    monkeypatch.setattr(near_dedup, "materialize", materialize)
+    ids = [r["doc_id"] for r in near_dedup.keep_first(docs).collect()]
+    assert sorted(ids) == ([0] if alike else list(range(400))) and set(ids) == brute_first(rows)
+    assert max(written.values()) <= near_dedup.LEAST * len(rows)
 
 
 def test_near_copies_of_odd_tables(hostile, empty):
