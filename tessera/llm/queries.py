@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, language_id, packing, pieces, quality_classifier, quality_rules, simhash, token_files, warc
+from ._common import configure
 
 
 def byte_bpe_path() -> str:
@@ -15,6 +16,7 @@ def byte_bpe_path() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,7 +2,10 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tessera.llm import exact_dedup, packing, quality_classifier, quality_rules, queries, simhash
+from tessera.llm import exact_dedup, packing, quality_classifier, quality_rules, queries
+
+from test_dedup import brute_first, normal
+from test_quality import stats
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,8 +24,8 @@ def test_pipeline_stage_by_stage(spark):
             want = ids(quality_classifier.classify(now, labels).where("predicted = 1"))
         elif name == "exact_dedup":
             want = ids(exact_dedup.exact_dedup(now).where("kept"))
-        else:
-            want = ids(simhash.simhash(now).where("doc_id = component_id"))
+        else:  # all pairs of five-word shingle sets, in plain Python
+            want = brute_first([(r["doc_id"], r["text"]) for r in now.select("doc_id", "text").collect()])
         assert ids(kept) == want and want
         now = spark.createDataFrame(kept.collect(), docs.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, now, SF)
@@ -34,6 +37,82 @@ def test_pipeline_stage_by_stage(spark):
     assert packed.select("sequence_id").distinct().count() >= -(-total // 1024)
 
 
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def folder(spark, path, docs, labels):
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def key(rows):
+    return sorted(map(repr, ((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in rows)))
+
+
+def plain(spark, hostile):
+    """The hostile rows without the columns whose names no Parquet file of ``documents`` would hold twice."""
+    return hostile.select("doc_id", "text", "lang", "source", "n_chars", "fp", "`a.b`", "__host", "__score", "ids", "length", "sequence_id" if "sequence_id" in hostile.columns else "piece")
+
+
+def test_stages_on_hostile_rows(spark, hostile, tmp_path):
+    """Each stage on nulls, empty and long texts, ties, repeated rows and clashing columns, against plain Python."""
+    docs = plain(spark, hostile)
+    sf = folder(spark, tmp_path / "in", docs, spark.createDataFrame([(7, 1, 0), (5, 0, 0), (5, 1, 0), (None, 1, 0), (9, None, None)], LABELS))
+    rows = docs.collect()
+    stages = dict(corpus_pipeline.STAGES)
+    passes = lambda t: (lambda n, again: n >= 10 and 100 * again <= 20 * n)(*(lambda s: (s[0], s[4]))(stats(t)))
+    got = stages["quality_rules"](spark, docs, sf)
+    assert got.columns == docs.columns
+    # hosts: every row of "src" and of the others fails or not by the base rules; the empirical prior is the verdict's
+    verdict = quality_rules.quality_rules(docs).collect()
+    assert len(verdict) == len(rows) and sum(r["kept"] for r in verdict) == got.count() == sum(passes(r["text"]) for r in rows) == 0
+    scored = {(r["doc_id"], r["score"]) for r in quality_classifier.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    got = stages["quality_classifier"](spark, docs, sf)
+    assert got.columns == docs.columns and got.count() == sum(r["predicted"] for r in quality_classifier.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect())
+    assert all(0 <= s <= 1 for _, s in scored)
+    got = stages["exact_dedup"](spark, docs, sf).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(normal(r["text"]), []).append(r["doc_id"])
+    first = {min((i for i in g if i is not None), default=None) for g in groups.values()}
+    assert key(got) == key([r for r in rows if r["doc_id"] in first])
+    got = stages["simhash"](spark, docs, sf).collect()
+    first = brute_first([(r["doc_id"], r["text"]) for r in rows if r["doc_id"] is not None])
+    assert key(got) == key([r for r in rows if r["doc_id"] is None or r["doc_id"] in first])
+    got = stages["best_fit_packing"](spark, docs, sf).collect()
+    heads = [(r["doc_id"]) for r in got if r["piece"] == 0]
+    assert sorted(map(repr, heads)) == sorted(repr(r["doc_id"]) for r in rows)
+
+
+def test_stages_and_run_on_empty_tables(spark, empty, tmp_path):
+    sf = folder(spark, tmp_path / "in", empty, spark.createDataFrame([], LABELS))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, empty, sf)
+        assert got.count() == 0, name
+        assert name == "best_fit_packing" or got.columns == empty.columns
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_run_on_hostile_rows(spark, hostile, corpus, tmp_path):
+    """A whole run over good prose, junk, copies and hostile rows, with extra columns; no scratch table is left but what
+    the result reads."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import _common
+
+    more = corpus.where("doc_id >= 20")
+    for c in ("fp", "`a.b`", "__host", "__score", "ids", "length", "piece"):
+        more = more.withColumn(c.strip("`"), F.lit("x"))
+    docs = plain(spark, hostile).union(more)
+    sf = folder(spark, tmp_path / "in", docs, spark.createDataFrame([(i, int(i < 120), 0) for i in range(20, 140)], LABELS))
+    mark = _common.scratch_mark()
+    out = corpus_pipeline.run(spark, sf)
+    kept = {r[0] for r in out.select("doc_id").collect()}
+    assert kept <= set(range(20, 160)) and len(kept) > 80 and not kept & set(range(120, 140))  # junk
+    assert _common.scratch_mark() <= mark + 2
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run_and_are_registered(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
