@@ -7,9 +7,12 @@ all words at once, and its length is stored as the backpointer; walking the back
 What "best" means depends on the model. For a unigram model it is the largest sum of scores (Viterbi). A byte-pair
 model doesn't define its segmentation by a sum, so its scores can't be added up. There, the segmentation of a prefix
 ends with the one piece that is *compatible* with the last piece of the segmentation before it: the pair, merged by
-the model's rules, stays that pair. So a candidate's value is whether it is compatible; the rest is the same pass. Runs
-of several spaces are pieces of equal score whose order depends on position; words that begin with one are merged one
-by one, by the rules themselves.
+the model's rules, stays that pair. So a candidate's value is whether it is compatible; the rest is the same pass. Words
+of any length go through it: they are first cut where no piece has the two characters beside each other, since no piece
+can span such a place, and a text without spaces falls into short parts there.
+
+Only runs of spaces have no order of pieces: all pieces of several spaces have one score, below all others. What follows a
+run goes through the pass with its last space, and the spaces left are merged by the rules, once for each length of run.
 
 Text is taken as it is (identity normalisation), with a space put before it, and spaces become U+2581. Characters
 outside the pieces become their UTF-8 bytes' pieces.
@@ -37,6 +40,10 @@ UNIGRAM, BPE = 1, 2
 MEMO_WORDS = 500_000
 #: Text bytes that are taken at once: the more new words of one length, the fewer passes.
 SLICE_BYTES = 4 << 20
+#: Positions for which candidates are looked up at once, over all words that advance together.
+POSITIONS = 1 << 18
+#: Places of the table that remembers which pairs of pieces are compatible.
+PAIRS = 1 << 21
 _NONE = np.iinfo(np.int64).max
 _word = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
@@ -121,13 +128,20 @@ class Coder:
         self.keys = keys[self.key_order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one key")
+        self.chars = np.zeros((len(order), self.longest), dtype=np.uint32)
+        for k, p in enumerate(self.text):
+            self.chars[k, : len(p)] = [ord(c) for c in p]
+        self._learn_borders()
         if v.kind == BPE:
             self._learn_merges()
+            self._check_spaces()
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.runs: dict[int, list[int]] = {}
+        self.asked, self.asked_ok = np.full(PAIRS, -1, dtype=np.int64), np.zeros(PAIRS, dtype=bool)
 
     # Substring hashes
 
@@ -145,11 +159,41 @@ class Coder:
             key ^= key >> np.uint64(29)
             return key * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)
 
-    def _probe(self, key: np.ndarray) -> np.ndarray:
-        """Ranks of keys, or -1."""
+    def _probe(self, key: np.ndarray, chars: np.ndarray, n: int) -> np.ndarray:
+        """Ranks of the pieces of n characters among all substrings of that size, or -1. A key finds a candidate; its
+        size and characters decide."""
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.key_order[at], -1)
+        out = np.where(self.keys[at] == key, self.key_order[at], -1)
+        row, i = np.nonzero(out >= 0)
+        found = out[row, i]
+        same = self.size[found] == n
+        for k in range(n):
+            same &= self.chars[found, k] == chars[row, i + k]
+        out[row[~same], i[~same]] = -1
+        return out
+
+    # Places that no piece spans
+
+    def _learn_borders(self) -> None:
+        """``letter``: the number of each character of the pieces; ``beside``: whether a piece has two of them in turn."""
+        own = np.unique(self.chars[self.chars > 0])
+        self.letter = np.full(0x110000, len(own), dtype=np.int32)
+        self.letter[own] = np.arange(len(own))
+        self.beside = np.zeros((len(own) + 1, len(own) + 1), dtype=bool)
+        both = (self.chars[:, 1:] > 0).nonzero()
+        self.beside[self.letter[self.chars[both]], self.letter[self.chars[both[0], both[1] + 1]]] = True
+
+    def parts(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Words cut where no piece can lie across, all parts in turn, and how many each word has."""
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        text = "".join(words)
+        own = self.letter[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
+        cut = np.ones(len(own), dtype=bool)
+        cut[1:] = ~self.beside[own[:-1], own[1:]]
+        cut[np.cumsum(size) - size] = True
+        first = np.flatnonzero(cut).tolist()
+        return [text[a:b] for a, b in zip(first, [*first[1:], len(text)], strict=True)], np.add.reduceat(cut, np.cumsum(size) - size, dtype=np.int64)
 
     # Byte-pair rules
 
@@ -179,12 +223,33 @@ class Coder:
                 ok[ok] = self.compatible(a[ok], b[ok], k[ok])
                 self.left[k[ok]], self.right[k[ok]], self.made[k[ok]] = a[ok], b[ok], True
 
+    def _check_spaces(self) -> None:
+        """What the treatment of runs of spaces rests on."""
+        runs = {p for p in self.text if len(p) > 1 and set(p) == {SPACE}}
+        others = [k for k, p in enumerate(self.text) if len(p) > 1 and p not in runs]
+        if any(SPACE in self.text[k][1:] for k in others):
+            raise ValueError("a piece has a space behind its first character")
+        if runs and others and max(self.score[self.rank[p]] for p in runs) >= self.score[others].min():
+            raise ValueError("pieces of several spaces aren't the last merges")
+
     def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * len(self.text) + b
         at = np.searchsorted(self.pair, key)
         at[at == len(self.pair)] = 0
         return np.where(self.pair[at] == key, self.pair_rank[at], _NONE)
 
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` of all pairs, with a table of pairs asked for before."""
+        key = a * len(self.text) + b
+        place = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+        out, new = self.asked_ok[place], np.flatnonzero(self.asked[place] != key)
+        if len(new):
+            out[new] = self.compatible(a[new], b[new])
+            self.asked[place[new]], self.asked_ok[place[new]] = key[new], out[new]
+            # Of two new pairs with one place the later key stays, and its own answer with it.
+            self.asked_ok[place[new]] = np.where(self.asked[place[new]] == key[new], out[new], self.asked_ok[place[new]])
+        return out
+
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | int = _NONE) -> np.ndarray:
         """Whether the merges inside each of two adjacent pieces all happen before any merge across their border. The
         pieces are undone merge by merge, the later merge first; a merge across that comes before the merge just undone
@@ -233,28 +298,37 @@ class Coder:
 
     def segment(self, words: list[str]) -> np.ndarray:
         """Ranks (negative: unknown characters) of words of one length, a row a word, the rest of a row ``_NONE``."""
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.uint64).reshape(len(words), -1)
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), -1)
         n, length = chars.shape
-        prefix = self._prefix_hashes(chars)
-        known = {size: self._probe(self._keys(prefix, size)) for size in range(1, min(length, self.longest) + 1)}
+        prefix = self._prefix_hashes(chars.astype(np.uint64))
         bpe = self.vocabulary.kind == BPE
         last = np.full((n, length + 1), _NONE, dtype=np.int64)  # rank of the last piece of each prefix
-        back = np.ones((n, length + 1), dtype=np.int64)
-        best = np.full((n, length + 1), -np.inf)
+        back = np.ones((n, length + 1), dtype=np.uint8)
+        best = np.full((n, length + 1), -np.inf, dtype=np.float32 if bpe else np.float64)
         best[:, 0] = 0
         penalty = self.score.min() - 10  # of an unknown character in a unigram model
+        window, known, first, stop = max(1, POSITIONS // n), {}, 0, 0
         for j in range(1, length + 1):
+            if j > stop:  # candidates that end in the next window of positions
+                first, stop = max(0, j - self.longest), min(length, j + window - 1)
+                known = {}
+                for size in range(1, min(stop - first, self.longest) + 1):
+                    ranks = self._probe(self._keys(prefix[:, first : stop + 1], size), chars[:, first:stop], size)
+                    known[size] = ranks, (ranks >= 0).any(axis=0)
             for size in range(min(j, self.longest), 0, -1):
                 i = j - size
-                piece = known[size][:, i]
+                ranks, some = known[size]
+                if not some[i - first] and (bpe or size > 1):
+                    continue
+                piece = ranks[:, i - first]
                 if bpe:
                     rows = np.flatnonzero((piece >= 0) & (best[:, j] == -np.inf))
                     rows = rows[self.made[piece[rows]]]
-                    joined = last[rows, i]
+                    before = last[rows, i]
                     ok = np.ones(len(rows), dtype=bool)
                     if i:
-                        inner = np.flatnonzero(joined >= 0)
-                        ok[inner] = self.compatible(joined[inner], piece[rows[inner]])
+                        inner = np.flatnonzero(before >= 0)
+                        ok[inner] = self.joined(before[inner], piece[rows[inner]])
                     rows = rows[ok]
                     best[rows, j], last[rows, j], back[rows, j] = 0, piece[rows], size
                 else:
@@ -264,7 +338,8 @@ class Coder:
                     rows = np.flatnonzero(value > best[:, j])
                     best[rows, j], last[rows, j], back[rows, j] = value[rows], piece[rows], size
             lost = np.flatnonzero((last[:, j] == _NONE) | (last[:, j] < 0))
-            last[lost, j], back[lost, j], best[lost, j] = -1 - chars[lost, j - 1].astype(np.int64), 1, np.where(best[lost, j] == -np.inf, 0, best[lost, j])
+            if len(lost):
+                last[lost, j], back[lost, j], best[lost, j] = -1 - chars[lost, j - 1].astype(np.int64), 1, np.where(best[lost, j] == -np.inf, 0, best[lost, j])
         at, rows, steps = np.full(n, length), np.arange(n), []
         while len(rows):
             step = np.full(n, _NONE, dtype=np.int64)
@@ -274,35 +349,53 @@ class Coder:
             rows = rows[at[rows] > 0]
         return np.array(steps[::-1]).T if steps else np.zeros((n, 0), dtype=np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        byte, single, groups = self.vocabulary.byte, {}, {}
-        for w in words:
-            if self.vocabulary.kind == BPE and (w.startswith(SPACE * 2) or len(w) > 256):
-                single[w] = self.merge_one_by_one(w)
-            else:
-                groups.setdefault(len(w), []).append(w)
-        names, counts, ids = [], [], []
-        for group in groups.values():
-            step = max(1, 400_000 // max(1, len(group[0]) * 8))
+    def _ranks(self, parts: list[str]) -> dict[str, list[int]]:
+        """Ranks of distinct parts without runs of spaces."""
+        groups: dict[int, list[str]] = {}
+        out = {}
+        for p in parts:
+            groups.setdefault(len(p), []).append(p)
+        for size, group in groups.items():
+            step = max(1, 50_000 // size)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 table = self.segment(part)
-                own, odd = table != _NONE, (table < 0).any(axis=1)
-                for i in np.flatnonzero(odd).tolist():
-                    single[part[i]] = table[i][own[i]].tolist()
-                names += part if not odd.any() else [w for w, o in zip(part, odd.tolist(), strict=True) if not o]
-                counts.append(own[~odd].sum(axis=1))
-                ids.append(self.id[table[~odd][own[~odd]]])
-        for w, ranks in single.items():
-            coded = [i for r in ranks for i in ([int(self.id[r])] if r >= 0 else [byte[b] for b in chr(-1 - r).encode()])]
-            names.append(w)
-            counts.append([len(coded)])
-            ids.append(coded)
-        count = np.concatenate([np.asarray(c, dtype=np.int64) for c in counts])
-        self.place.update(zip(names, range(len(self.first), len(self.first) + len(names)), strict=True))
+                own = table != _NONE
+                flat, ends = table[own].tolist(), np.cumsum(own.sum(axis=1)).tolist()
+                out.update(zip(part, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        return out
+
+    def _spaces(self, n: int) -> list[int]:
+        if n not in self.runs:
+            self.runs[n] = self.merge_one_by_one(SPACE * n)
+        return self.runs[n]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of new words."""
+        byte, space = self.vocabulary.byte, self.rank.get(SPACE)
+        bpe = self.vocabulary.kind == BPE
+        lead = [max(0, len(w) - len(w.lstrip(SPACE)) - 1) if bpe and w.startswith(SPACE * 2) else 0 for w in words]
+        parts, per = self.parts([w[n:] for w, n in zip(words, lead, strict=True)])
+        known = self._ranks(list(dict.fromkeys(parts)))
+        coded: dict[str, list[int]] = {}
+        for p, ranks in known.items():
+            if min(ranks) >= 0:
+                coded[p] = self.id[ranks].tolist()
+            else:
+                coded[p] = [i for r in ranks for i in ([int(self.id[r])] if r >= 0 else [byte[b] for b in chr(-1 - r).encode()])]
+        lists, at = [], 0
+        for n, k in zip(lead, per.tolist(), strict=True):
+            own = coded[parts[at]] if k == 1 else [i for p in parts[at : at + k] for i in coded[p]]
+            if n:
+                alone = known[parts[at]][0] == space  # the run's last space stays with the others
+                own = [int(self.id[r]) for r in self._spaces(n + alone)] + own[1 if alone else 0 :]
+            lists.append(own)
+            at += k
+        count = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        self.place.update(zip(words, range(len(self.first), len(self.first) + len(words)), strict=True))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, *[np.asarray(x, dtype=np.int32) for x in ids]])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(count.sum()))])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn and the n + 1 offsets; null and empty texts have none."""
@@ -354,7 +447,8 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode_documents(coded: DataFrame, model: str) -> DataFrame:
-    """``doc_id, text`` of rows ``doc_id, ids``; null ids give an empty text."""
+    """``doc_id, text`` of rows ``doc_id, ids``. Null and empty lists give an empty text, null doc_ids and repeated rows are
+    kept, ids of any number are taken whole, other columns are ignored, an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)

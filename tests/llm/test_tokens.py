@@ -1,3 +1,5 @@
+import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -6,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import packing, pieces, token_files
@@ -164,4 +167,68 @@ def test_piece_documents(request, which, sentencepiece_model):
     assert sorted((repr(r["doc_id"]), repr(list(r["ids"]))) for r in coded.collect()) == want
     texts_ = sorted((repr(r["doc_id"]), r["text"]) for r in pieces.decode_documents(coded, MODEL).collect())
     assert texts_ == sorted((repr(r["doc_id"]), r["text"] or "") for r in docs.select("doc_id", "text").collect())
-    assert pieces.digests(docs, MODEL).count() == len(want)
+    rows = docs.select("doc_id", "text").collect()
+    digest = [(repr(r["doc_id"]), len(ids), crc(ids), hashlib.sha256(sentencepiece_model.decode(ids).encode()).hexdigest()) for r in rows for ids in [sentencepiece_model.encode(r["text"] or "")]]
+    assert sorted((repr(r["doc_id"]), r["n_ids"], r["ids_crc32"], r["decoded_sha256"]) for r in pieces.digests(docs, MODEL).collect()) == sorted(digest)
+
+
+def test_words_of_any_length_go_through_the_pass(sentencepiece_model, monkeypatch):
+    """Text without spaces, encoded blobs, one letter over and over, long runs of spaces: no word is merged one by one."""
+    rng = random.Random(0)
+    own = pieces.Coder(MODEL)
+    merge = own.merge_one_by_one
+    monkeypatch.setattr(own, "merge_one_by_one", lambda word: merge(word) if not word.strip(pieces.SPACE) else pytest.fail(word[:20]))
+    texts_ = [
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)), "".join(rng.choice("ABab01+/xyz") for _ in range(3000)), "a" * 2000, "the" * 700, "ab" * 900,
+        "中文没有空格" * 100, "ไทย" * 200, "antidis" * 60 + "é" * 300, " " * 700 + "x", "x" + " " * 333, "  the   cat\n    sat    ", "supercalifragilistic" * 20,
+    ]
+    ids, bounds = own.encode(texts_)
+    for text, a, b in zip(texts_, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == sentencepiece_model.encode(text)
+
+
+def test_windows_and_repeated_pairs_do_not_change_pieces(monkeypatch):
+    words = ["▁international", "▁misunderstood", "▁" + "abcde" * 30]
+    want = [pieces.Coder(MODEL).segment([w]).tolist() for w in words]
+    monkeypatch.setattr(pieces, "POSITIONS", 5)
+    monkeypatch.setattr(pieces, "PAIRS", 1 << 21)
+    assert [pieces.Coder(MODEL).segment([w]).tolist() for w in words] == want
+
+
+def test_keys_are_confirmed_by_characters():
+    """A substring with the key of a piece but other characters isn't that piece."""
+    own = pieces.Coder(MODEL)
+    chars = np.array([[ord(c) for c in "zq"]], dtype=np.uint32)
+    other = own._keys(own._prefix_hashes(np.array([[ord(c) for c in "th"]], dtype=np.uint64)), 2)
+    assert own._probe(other, chars, 2).tolist() == [[-1]]
+    assert own.text[own._probe(other, np.array([[ord(c) for c in "th"]], dtype=np.uint32), 2)[0, 0]] == "th"
+
+
+def test_packing_leaves_other_columns_alone(spark):
+    rows = [(k, 0, k % 9 + 1, "mine", "dot", "old") for k in range(50)] + [(None, 0, 3, "mine", "dot", "old")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, _rank string, `a.b` string, offset string")
+    for name in ("__rank", "_bucket", "__place", "_place"):
+        df = df.withColumn(name, F.lit("mine"))
+    got = packing.pack(df, capacity=10)
+    assert got.count() == 52 and set(got.columns) == {*df.columns, "sequence_id"}
+    for r in got.collect():
+        assert (r["_rank"], r["a.b"], r["__rank"], r["_bucket"], r["__place"], r["_place"]) == ("mine", "dot", "mine", "mine", "mine", "mine")
+    for _, bin_ in got.toPandas().sort_values("offset").groupby("sequence_id"):
+        assert bin_["offset"].tolist() == (bin_["length"].cumsum() - bin_["length"]).tolist() and bin_["length"].sum() <= 10
+
+
+def test_a_length_has_a_bounded_number_of_windows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKETS", 3)
+    df = spark.range(4000).selectExpr("id as doc_id", "0 as piece", "if(id % 10 = 0, 3L, 7L) as length")
+    got = packing.pack(df, capacity=10, bucket_rows=2).toPandas()
+    assert (got.groupby("sequence_id")["length"].sum() <= 10).all() and got["sequence_id"].nunique() == 3600
+    assert not got.duplicated(["sequence_id", "offset"]).any()
+
+
+def test_starts_of_files(spark):
+    rows = [(f"file:/x/part-{k:05d}-abc-c000.txt", n) for k in range(0, 60, 3) for n in (k, 1)]
+    got = {r["file"]: r["base"] for r in token_files.file_starts(spark.createDataFrame(rows, "file string, n_tokens long"), run=7).collect()}
+    total = 0
+    for k in range(0, 60, 3):
+        assert got[f"file:/x/part-{k:05d}-abc-c000.txt"] == total
+        total += k + 1
