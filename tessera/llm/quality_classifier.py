@@ -26,7 +26,7 @@ from ._common import bounded_sample, crc_of_id, free_name, hash_bound, map_batch
 SLOTS, DIM, NONZERO, WINDOW, HIDDEN = 1 << 15, 64, 6, 2, 24
 #: Labelled documents that the network is fitted on at most, and their text bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 4096, 16 << 20
-#: Neighbouring slots that are added up at once.
+#: Pairs of neighbouring slots that are added up at once.
 PAIRS = 1 << 16
 #: Weight of a word slot: FREQUENT / (FREQUENT + its share of the corpus).
 FREQUENT = 1e-3
@@ -109,21 +109,26 @@ def slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def index_vectors(seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """Positions and signs of the non-zero entries of each slot's index vector."""
     rng = np.random.default_rng(seed)
-    return rng.integers(0, DIM, (2 * SLOTS, NONZERO), dtype=np.int32), rng.choice(np.array([-1.0, 1.0], dtype=np.float32), (2 * SLOTS, NONZERO))
+    return rng.integers(0, DIM, (2 * SLOTS, NONZERO), dtype=np.int32), rng.choice(np.array([-1, 1], dtype=np.int32), (2 * SLOTS, NONZERO))
 
 
 def add_contexts(sums: np.ndarray, flat: np.ndarray, of: np.ndarray, seed: int = 42) -> None:
     """Add to each slot's row of ``sums`` the index vectors of the slots beside its occurrences in ``flat``, the slots of
     texts in turn; ``of`` numbers the texts."""
     place, sign = _indices(seed)
-    total = sums.reshape(-1)
+    total, keys = sums.reshape(-1), []
     for gap in range(1, WINDOW + 1):
-        for k in range(0, len(flat) - gap, PAIRS):
-            one, two = flat[k : k + PAIRS + gap][:-gap], flat[k + gap : k + gap + PAIRS]
-            near = of[k : k + PAIRS + gap][:-gap] == of[k + gap : k + gap + PAIRS]
-            one, two = one[near], two[near]
-            for x, y in ((one, two), (two, one)):
-                np.add.at(total, (x[:, None] * DIM + place[y]).ravel(), sign[y].ravel())
+        near = of[:-gap] == of[gap:]
+        keys.append(flat[:-gap][near] * (2 * SLOTS) + flat[gap:][near])
+    # Each distinct pair of neighbours once, times how often it occurs.
+    key = np.sort(np.concatenate(keys))
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    times = np.diff(np.append(first, len(key))).astype(np.int32)[:, None]
+    one, two = np.divmod(key[first], 2 * SLOTS)
+    for x, y in ((one, two), (two, one)):
+        for k in range(0, len(x), PAIRS):
+            part = slice(k, k + PAIRS)
+            np.add.at(total, (x[part, None] * DIM + place[y[part]]).ravel(), (sign[y[part]] * times[part]).ravel())
 
 
 _made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
