@@ -7,11 +7,11 @@ enough that few unrelated pairs have to be checked.
 
 All pairs of distinct sets are accounted for by tiled exact comparison of fingerprints, with tile pairs skipped whose
 population counts differ beyond the radius. Sets whose sizes differ by more than a fourth can't be similar enough, so
-documents are dealt into cells by size, cells into chunks that hold a bounded number of hashes, and a unit is a pair of
-chunks of cells within that ratio. Units are worked through twice: with fingerprints alone, to tell which rows have a
-candidate in it, and then with the whole sets of those rows. There each candidate is checked, unless links found before
-put both sides together already; what leaves a unit are the links of a spanning forest. So no list of pairs is ever
-written, whether a group's members are similar enough or just not. First of all, every set is compared with the leader of
+documents are dealt into cells by size, cells into chunks, and a unit is a pair of chunks of cells within that ratio. A
+unit has blocks, pairs of runs of rows of either chunk that hold a bounded number of hashes. Fingerprints alone tell which
+rows have a candidate in a block; then, block by block, the whole sets of those rows are brought together and each candidate
+is checked, unless links found before put both sides together already. What leaves a block are the links of a spanning
+forest. So no list of pairs is ever written, whether a group's members are similar enough or just not. First of all, every set is compared with the leader of
 those that share a least hash with it, which puts large groups of near copies together in linear time.
 """
 
@@ -27,17 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import free_name, map_batches, materialize, skew_join, slices
-from .simhash import Forest, components, majorities, shingle_hashes, unit_tasks
+from .simhash import CHUNK, Forest, components, majorities, shingle_hashes, unit_tasks
 
 WORDS = 5
 #: Differing bits of the first 64, and of all 128.
 FIRST, RADIUS = 20, 36
 #: Least hashes of a set under as many orders.
 LEAST = 4
-#: Rows of a chunk at most, of a tile, and of the block it is compared with at once.
-CHUNK, TILE, BLOCK = 4096, 128, 8192
-#: Hashes of the sets of a chunk at most, or one set.
-CHUNK_HASHES = 1 << 21
+#: Rows of a tile, and of what it is compared with at once.
+TILE, SPAN = 128, 8192
+#: Rows of a block's side at most, and hashes of their sets (or one set). A chunk has up to BLOCKS blocks' sides.
+BLOCK, BLOCK_HASHES, BLOCKS = 1024, 1 << 21, 16
+#: More than the sides of blocks of any chunk.
+BLOCK_NUMBERS = 1 << 12
 #: Cells of sizes: each a quarter of the way to the greatest ratio of similar sets, 5 / 4.
 STEPS = 4
 
@@ -120,8 +122,8 @@ def candidates(one: Side, two: Side | None, tile: int = TILE) -> Iterator[tuple[
     for start in range(0, len(one.key), tile):
         stop = start + tile
         low, high = np.searchsorted(other.pop, one.pop[start] - FIRST, "left"), np.searchsorted(other.pop, one.pop[start:stop][-1] + FIRST, "right")
-        for at in range(start if two is None else low, high, BLOCK):
-            end = min(at + BLOCK, high)
+        for at in range(start if two is None else low, high, SPAN):
+            end = min(at + SPAN, high)
             hit = np.flatnonzero(np.bitwise_count(one.a[start:stop, None] ^ other.a[at:end]) <= FIRST)
             x, y = start + hit // (end - at), at + hit % (end - at)
             near = np.bitwise_count(one.a[x] ^ other.a[y]) + np.bitwise_count(one.b[x] ^ other.b[y]) <= RADIUS
@@ -180,14 +182,42 @@ def _numpy(cell: pa.Scalar) -> Side | None:
     return side(*(x.to_numpy() for x in cell.values.flatten())) if cell.is_valid else None
 
 
-def rows_in_units(nodes: DataFrame, chunk: int = CHUNK, hashes: int = CHUNK_HASHES) -> DataFrame:
+def blocks(unit: int, one: Side, two: Side | None, hashes: int = BLOCK_HASHES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``rows_in_units`` for a unit."""
+    other = one if two is None else two
+    width = max(1, min(BLOCK, hashes // max(1, int(max(one.n.max(), other.n.max())))))
+    many, across = -(-len(one.key) // width), -(-len(other.key) // width)
+    mine, theirs = np.zeros((len(one.key), across), dtype=bool), np.zeros((len(other.key), many), dtype=bool)
+    for x, y in candidates(one, two):
+        mine[x, y // width] = True
+        theirs[y, x // width] = True
+
+    def rows(s: Side, at: np.ndarray, i: int, j: int, right: bool) -> pa.RecordBatch:
+        number = (unit * BLOCK_NUMBERS + i) * BLOCK_NUMBERS + j
+        columns = [np.full(len(at), number), np.full(len(at), right), s.key[at], s.a[at].view(np.int64), s.b[at].view(np.int64), s.n[at].astype(np.int32), s.root[at]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["unit", "right", "key", "a", "b", "n", "root"])
+
+    for i in range(many):
+        for j in range(i if two is None else 0, across):
+            left = np.flatnonzero(mine[i * width : (i + 1) * width, j])
+            right = np.flatnonzero(theirs[j * width : (j + 1) * width, i])
+            if not len(left):
+                continue
+            if two is None and i == j:
+                yield rows(one, i * width + np.union1d(left, right), i, j, False)
+            else:
+                yield rows(one, i * width + left, i, j, False)
+                yield rows(other, j * width + right, i, j, True)
+
+
+def rows_in_units(nodes: DataFrame, chunk: int = CHUNK, hashes: int = BLOCK_HASHES) -> DataFrame:
     """``unit, right, key, a, b, n, root``: rows of ``nodes`` (``key, a, b, n, root``, a table) that have a candidate in a
-    unit, on its left or right side; a chunk with itself has a left side alone."""
+    block, on its left or right side; a run of rows with itself has a left side alone. ``unit`` numbers the blocks."""
     spark = nodes.sparkSession
     cell = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(1.25)) * STEPS).cast("int")
     celled = nodes.withColumn("cell", cell)
     counts = {r["cell"]: (r["rows"], r["total"]) for r in celled.groupBy("cell").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).collect()}  # a few hundred
-    chunks = {c: max(-(-rows // chunk), min(rows, -(-total // hashes))) for c, (rows, total) in counts.items()}
+    chunks = {c: max(-(-rows // chunk), min(rows, -(-total // (BLOCKS * hashes)))) for c, (rows, total) in counts.items()}
     base, total = {}, 0
     for c in sorted(chunks):
         base[c], total = total, total + chunks[c]
@@ -211,16 +241,7 @@ def rows_in_units(nodes: DataFrame, chunk: int = CHUNK, hashes: int = CHUNK_HASH
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                one, two = _numpy(batch.column("left")[k]), _numpy(batch.column("right")[k])
-                mine = np.zeros(len(one.key), dtype=bool)
-                theirs = mine if two is None else np.zeros(len(two.key), dtype=bool)
-                for x, y in candidates(one, two):
-                    mine[x], theirs[y] = True, True
-                for s, used, is_right in ((one, mine, False), (two, theirs, True)):
-                    if s is not None and used.any():
-                        n = int(used.sum())
-                        columns = [np.full(n, batch.column("unit")[k].as_py()), np.full(n, is_right), s.key[used], s.a[used].view(np.int64), s.b[used].view(np.int64), s.n[used].astype(np.int32), s.root[used]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["unit", "right", "key", "a", "b", "n", "root"])
+                yield from blocks(batch.column("unit")[k].as_py(), _numpy(batch.column("left")[k]), _numpy(batch.column("right")[k]), hashes)
 
     return map_batches(units.select("unit", "left", "right"), run, "unit long, right boolean, key long, a long, b long, n int, root long")
 
@@ -238,7 +259,7 @@ def links_in_units(docs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFr
     """``a, b``: spanning links of the units that ``rows`` (``rows_in_units``'s, a table) tells of."""
     sets = set_table(docs, nodes, rows.groupBy("key").agg(F.count("*").alias("many")))
     units, n = rows.agg(F.count_distinct("unit"), F.count("*")).first()
-    whole = rows.join(sets.drop("many"), "key").repartition(unit_tasks(docs.sparkSession, units, n * CHUNK), "unit").sortWithinPartitions("unit")
+    whole = rows.join(sets.drop("many"), "key").repartition(unit_tasks(docs.sparkSession, units, n * BLOCK), "unit").sortWithinPartitions("unit")
 
     def unit(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(batches)
@@ -282,7 +303,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.where(9 * both >= 4 * (F.size("sx") + F.size("sy"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def groups(docs: DataFrame, chunk: int = CHUNK, hashes: int = CHUNK_HASHES) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, chunk: int = CHUNK, hashes: int = BLOCK_HASHES) -> tuple[DataFrame, DataFrame]:
     """Distinct shingle sets of ``docs`` (``doc_id`` not null, ``text``) as ``key, least`` (its smallest id), and ``node,
     root`` of the keys that are linked."""
     rows = with_prints(docs, False)
@@ -307,7 +328,7 @@ def groups(docs: DataFrame, chunk: int = CHUNK, hashes: int = CHUNK_HASHES) -> t
     return nodes.select("key", "least"), materialize(components(led.unionByName(found)), "near-components")
 
 
-def keep_first(docs: DataFrame, chunk: int = CHUNK, hashes: int = CHUNK_HASHES) -> DataFrame:
+def keep_first(docs: DataFrame, chunk: int = CHUNK, hashes: int = BLOCK_HASHES) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of their group of near copies, with their columns, whatever other columns
     are called. Rows without an id stay and link nothing; of an id with several texts all rows stay if it is the smallest
     of some group. Null and empty texts and others without words count as equal; a text of fewer than five words is one
