@@ -26,6 +26,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,8 @@ class Coder:
         self.keys = keys[self.key_order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one key")
+        self.begins = np.zeros(1 << 20, dtype=bool)  # the first bits of all keys: most substrings needn't be searched
+        self.begins[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.chars = np.zeros((len(order), self.longest), dtype=np.uint32)
         for k, p in enumerate(self.text):
             self.chars[k, : len(p)] = [ord(c) for c in p]
@@ -140,7 +143,7 @@ class Coder:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.runs: dict[int, list[int]] = {}
+        self.runs: dict[int, np.ndarray] = {}
         self.asked, self.asked_ok = np.full(PAIRS, -1, dtype=np.int64), np.zeros(PAIRS, dtype=bool)
 
     # Substring hashes
@@ -162,10 +165,14 @@ class Coder:
     def _probe(self, key: np.ndarray, chars: np.ndarray, n: int) -> np.ndarray:
         """Ranks of the pieces of n characters among all substrings of that size, or -1. A key finds a candidate; its
         size and characters decide."""
-        at = np.searchsorted(self.keys, key)
+        out = np.full(key.shape, -1, dtype=np.int64)
+        row, i = np.nonzero(self.begins[(key >> np.uint64(44)).astype(np.int64)])
+        wanted = key[row, i]
+        at = np.searchsorted(self.keys, wanted)
         at[at == len(self.keys)] = 0
-        out = np.where(self.keys[at] == key, self.key_order[at], -1)
-        row, i = np.nonzero(out >= 0)
+        hit = self.keys[at] == wanted
+        row, i = row[hit], i[hit]
+        out[row, i] = self.key_order[at[hit]]
         found = out[row, i]
         same = self.size[found] == n
         for k in range(n):
@@ -349,53 +356,64 @@ class Coder:
             rows = rows[at[rows] > 0]
         return np.array(steps[::-1]).T if steps else np.zeros((n, 0), dtype=np.int64)
 
-    def _ranks(self, parts: list[str]) -> dict[str, list[int]]:
-        """Ranks of distinct parts without runs of spaces."""
-        groups: dict[int, list[str]] = {}
-        out = {}
-        for p in parts:
-            groups.setdefault(len(p), []).append(p)
-        for size, group in groups.items():
-            step = max(1, 50_000 // size)
-            for k in range(0, len(group), step):
-                part = group[k : k + step]
-                table = self.segment(part)
-                own = table != _NONE
-                flat, ends = table[own].tolist(), np.cumsum(own.sum(axis=1)).tolist()
-                out.update(zip(part, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-        return out
-
-    def _spaces(self, n: int) -> list[int]:
+    def _coded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct parts without runs of spaces: ids of all, and where each part's begin and how many they are."""
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        order = np.argsort(sizes, kind="stable")
+        flat, counts, start = [], [], 0
+        while start < len(order):
+            size = int(sizes[order[start]])
+            stop = min(int(np.searchsorted(sizes[order], size, side="right")), start + max(1, 50_000 // size))
+            table = self.segment([parts[k] for k in order[start:stop].tolist()])
+            own = table != _NONE
+            flat.append(table[own])
+            counts.append(own.sum(axis=1))
+            start = stop
+        ranks = np.concatenate(flat)
+        first, count = np.empty(len(parts), dtype=np.int64), np.empty(len(parts), dtype=np.int64)
+        count[order] = np.concatenate(counts)
+        first[order] = np.cumsum(count[order]) - count[order]
+        ids = self.id[np.maximum(ranks, 0)]
+        unknown = np.flatnonzero(ranks < 0)  # such a character is a part of its own
+        more, end = [], len(ids)
+        for k, rank in zip(order[np.searchsorted(first[order], unknown, side="right") - 1].tolist(), ranks[unknown].tolist(), strict=True):
+            own = [self.vocabulary.byte[b] for b in chr(-1 - rank).encode()]
+            more += own
+            first[k], count[k], end = end, len(own), end + len(own)
+        return np.concatenate([ids, np.array(more, dtype=np.int64)]), first, count
+
+    def _spaces(self, n: int) -> np.ndarray:
+        """Ids of a run of spaces alone."""
         if n not in self.runs:
-            self.runs[n] = self.merge_one_by_one(SPACE * n)
+            self.runs[n] = self.id[self.merge_one_by_one(SPACE * n)] if n else np.zeros(0, dtype=np.int64)
         return self.runs[n]
 
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of new words."""
-        byte, space = self.vocabulary.byte, self.rank.get(SPACE)
-        bpe = self.vocabulary.kind == BPE
-        lead = [max(0, len(w) - len(w.lstrip(SPACE)) - 1) if bpe and w.startswith(SPACE * 2) else 0 for w in words]
-        parts, per = self.parts([w[n:] for w, n in zip(words, lead, strict=True)])
-        known = self._ranks(list(dict.fromkeys(parts)))
-        coded: dict[str, list[int]] = {}
-        for p, ranks in known.items():
-            if min(ranks) >= 0:
-                coded[p] = self.id[ranks].tolist()
-            else:
-                coded[p] = [i for r in ranks for i in ([int(self.id[r])] if r >= 0 else [byte[b] for b in chr(-1 - r).encode()])]
-        lists, at = [], 0
-        for n, k in zip(lead, per.tolist(), strict=True):
-            own = coded[parts[at]] if k == 1 else [i for p in parts[at : at + k] for i in coded[p]]
-            if n:
-                alone = known[parts[at]][0] == space  # the run's last space stays with the others
-                own = [int(self.id[r]) for r in self._spaces(n + alone)] + own[1 if alone else 0 :]
-            lists.append(own)
-            at += k
-        count = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        runs = [k for k, w in enumerate(words) if w.startswith(SPACE * 2)] if self.vocabulary.kind == BPE else []
+        lead = {k: len(words[k]) - len(words[k].lstrip(SPACE)) - 1 for k in runs}
+        bare = list(words)
+        for k, n in lead.items():
+            bare[k] = words[k][n:]
+        parts, per = self.parts(bare)
+        number = dict(zip(dict.fromkeys(parts), range(len(parts)), strict=False))
+        ids, first, count = self._coded(list(number))
+        code = np.fromiter(map(number.__getitem__, parts), dtype=np.int64, count=len(parts))
+        own, head = count[code], np.cumsum(per) - per
+        total = np.add.reduceat(own, head)
+        flat = ids[np.repeat(first[code] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
+        begin, more = np.cumsum(total) - total, []
+        space, end = self.id[self.rank[SPACE]] if SPACE in self.rank else -1, len(flat)
+        for k, n in lead.items():
+            mine = flat[begin[k] : begin[k] + total[k]]
+            alone = int(mine[0] == space)  # the run's last space stays with the others
+            mine = np.concatenate([self._spaces(n + alone), mine[alone:]])
+            more.append(mine)
+            begin[k], total[k], end = end, len(mine), end + len(mine)
         self.place.update(zip(words, range(len(self.first), len(self.first) + len(words)), strict=True))
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(count.sum()))])
+        self.first = np.concatenate([self.first, len(self.ids) + begin])
+        self.count = np.concatenate([self.count, total])
+        self.ids = np.concatenate([self.ids, flat, *more]).astype(np.int32)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn and the n + 1 offsets; null and empty texts have none."""
@@ -403,10 +421,13 @@ class Coder:
             self.clear()
         split = [_word.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         per = np.array([len(x) for x in split], dtype=np.int64)
-        new = [w for w in dict.fromkeys(w for x in split for w in x) if w not in self.place]
+        words = list(chain.from_iterable(split))
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(place < 0).tolist()
         if new:
-            self._learn(new)
-        place = np.fromiter((self.place[w] for x in split for w in x), dtype=np.int64, count=int(per.sum()))
+            unseen = [words[k] for k in new]
+            self._learn(list(dict.fromkeys(unseen)))
+            place[new] = np.fromiter(map(self.place.__getitem__, unseen), dtype=np.int64, count=len(new))
         count = self.count[place]
         ends = np.concatenate([[0], np.cumsum(count)])
         source = np.repeat(self.first[place] - ends[:-1], count) + np.arange(int(ends[-1]))
