@@ -3,63 +3,73 @@
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
 
-from .plans.config import SPLITS, STRATEGIES, Config
-
-_STAGES = [s for s in STRATEGIES if s != "paper_balanced_subset"]
+from .operators.balancing import STRATEGIES
+from .operators.sampling import SPLITS
+from .plans.settings import PARTS, Run
+
+#: Flag, part and entry of the settings that it sets. Defaults are the entry's own.
+VALUES = (
+    ("image-size", "preparation", "size"), ("val-ratio", "samples", "val_ratio"), ("random-state", "samples", "seed"),
+    ("cv-iter", "segmentation", "steps"), ("cv-lambda1", "segmentation", "inside"), ("cv-lambda2", "segmentation", "outside"),
+    ("smote-k-neighbors", "balancing", "smote_k"), ("enn-k-neighbors", "balancing", "enn_k"),
+    ("svm-c", "learner", "c"), ("svm-gamma", "learner", "gamma"), ("ann-alpha", "learner", "alpha"), ("ann-max-iter", "learner", "epochs"),
+    ("per-class-limit", "samples", "per_class"), ("train-per-class", "samples", "train"), ("val-per-class", "samples", "val"),
+    ("coverage-max-rounds", "samples", "max_rounds"), ("minority-recall-floor", "decision", "floor"),
+    ("threshold-min", "decision", "low"), ("threshold-max", "decision", "high"), ("threshold-steps", "decision", "steps"),
+)
+LISTS = (("ann-hidden", "learner", "hidden", int), ("minority-classes", "decision", "minority", str))
+STAGES = [s for s in STRATEGIES if s != "paper_balanced_subset"]
+CHOICES = (
+    ("imbalance-strategy", "balancing", "strategy", STRATEGIES), ("model", "learner", "kind", ("svm", "ann")), ("split-mode", "samples", "split", SPLITS),
+    ("stage1-imbalance-strategy", "decision", "first", STAGES), ("stage2-imbalance-strategy", "decision", "second", STAGES),
+)
+SWITCHES = (("svm-probability", "learner", "probability"), ("coverage-enabled", "samples", "coverage"), ("two-stage", "decision", "two_stage"))
+OFF = (
+    ("glcm", "texture", "glcm"), ("hsv", "texture", "hsv"), ("abcd", "texture", "abcd"), ("lbp-roi", "texture", "lbp_roi"), ("lbp-bimf1", "texture", "lbp_bimf1"),
+    ("hair-removal", "preparation", "hair"), ("clahe", "preparation", "light"), ("threshold-tuning", "decision", "tune"),
+)
+
+
+def _dest(part: str, entry: str) -> str:
+    return f"{part}:{entry}"
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tessera", description="Interpretable image classification on Spark")
     commands = top.add_subparsers(dest="command", required=True)
     train = commands.add_parser("train", help="fit and evaluate")
-    train.add_argument("--dataset-root", type=Path, required=True)
-    train.add_argument("--output-dir", type=Path, default=Path("artifacts"))
-    for name, kind, default in (
-        ("image-size", int, 160), ("val-ratio", float, 0.2), ("random-state", int, 42), ("n-jobs", int, -1),
-        ("cv-iter", int, 80), ("cv-lambda1", float, 1.0), ("cv-lambda2", float, 1.0),
-        ("smote-k-neighbors", int, 5), ("enn-k-neighbors", int, 3),
-        ("svm-c", float, 6.0), ("svm-gamma", str, "scale"), ("ann-alpha", float, 1e-4), ("ann-max-iter", int, 400),
-        ("per-class-limit", int, 115), ("train-per-class", int, 70), ("val-per-class", int, 45), ("coverage-max-rounds", int, 0),
-        ("minority-recall-floor", float, 0.2),
-    ):
-        train.add_argument(f"--{name}", type=kind, default=default)
-    train.add_argument("--imbalance-strategy", default="paper_balanced_subset", choices=STRATEGIES)
-    for group in ("glcm", "hsv", "abcd", "lbp-roi", "lbp-bimf1", "hair-removal", "clahe", "threshold-tuning"):
-        train.add_argument(f"--disable-{group}", action="store_true")
-    train.add_argument("--model", dest="model_name", default="svm", choices=["svm", "ann"])
-    train.add_argument("--svm-probability", action="store_true")
-    train.add_argument("--ann-hidden", default="256,128")
-    train.add_argument("--split-mode", default="paper_fixed_count", choices=SPLITS)
-    train.add_argument("--coverage-enabled", action="store_true")
+    train.add_argument("--dataset-root", required=True)
+    train.add_argument("--output-dir", default="artifacts")
+    train.add_argument("--n-jobs", type=int, default=-1, help="tasks that extract features at once; all cores below 1")
     train.add_argument("--paper-mode", action="store_true")
-    train.add_argument("--two-stage", dest="two_stage_enabled", action="store_true")
-    train.add_argument("--stage1-imbalance-strategy", default="smote", choices=_STAGES)
-    train.add_argument("--stage2-imbalance-strategy", default="smoteenn", choices=_STAGES)
-    for name, kind, default in (("min", float, 0.05), ("max", float, 0.95), ("steps", int, 37)):
-        train.add_argument(f"--threshold-{name}", dest=f"threshold_search_{name}", type=kind, default=default)
-    train.add_argument("--minority-classes", default="akiec,bcc,df,mel,vasc")
+    own = lambda part, entry: getattr(PARTS[part](), entry)
+    for flag, part, entry in VALUES:
+        train.add_argument(f"--{flag}", dest=_dest(part, entry), type=type(own(part, entry)), default=own(part, entry))
+    for flag, part, entry, kind in LISTS:
+        train.add_argument(f"--{flag}", dest=_dest(part, entry), type=lambda text, kind=kind: tuple(kind(x.strip()) for x in text.split(",") if x.strip()), default=own(part, entry))
+    for flag, part, entry, choices in CHOICES:
+        train.add_argument(f"--{flag}", dest=_dest(part, entry), choices=choices, default=own(part, entry))
+    for flag, part, entry in SWITCHES:
+        train.add_argument(f"--{flag}", dest=_dest(part, entry), action="store_true")
+    for flag, part, entry in OFF:
+        train.add_argument(f"--disable-{flag}", dest=_dest(part, entry), action="store_false")
     predict = commands.add_parser("predict", help="classify one image")
     predict.add_argument("--artifacts-dir", required=True)
     predict.add_argument("--image-path", required=True)
     return top
 
 
-def listed(text: str) -> list[str]:
-    return [x.strip() for x in text.split(",") if x.strip()]
-
-
-def config_of(args: argparse.Namespace) -> Config:
-    values = {k: v for k, v in vars(args).items() if k in Config.__dataclass_fields__}
-    off = {k.removeprefix("disable_"): v for k, v in vars(args).items() if k.startswith("disable_")}
-    values |= {f"include_{g}": not off[g] for g in ("glcm", "hsv", "abcd", "lbp_roi", "lbp_bimf1")}
-    values |= {"enable_hair_removal": not off["hair_removal"], "enable_clahe": not off["clahe"], "preprocessing_enabled": not (off["hair_removal"] and off["clahe"]), "threshold_tuning_enabled": not off["threshold_tuning"]}
-    values["ann_hidden_layer_sizes"] = tuple(int(x) for x in listed(args.ann_hidden))
-    values["minority_classes"] = tuple(listed(args.minority_classes))
-    values["per_class_limit"] = args.per_class_limit if args.per_class_limit > 0 else None
-    config = Config(**values)
-    return config.paper_mode() if args.paper_mode else config
+def run_of(args: argparse.Namespace) -> Run:
+    parts: dict[str, dict] = {}
+    for name, value in vars(args).items():
+        part, mark, entry = name.partition(":")
+        if mark:
+            parts.setdefault(part, {})[entry] = value
+    if parts["samples"]["per_class"] < 1:
+        parts["samples"]["per_class"] = None
+    run = Run(args.dataset_root, args.output_dir, args.n_jobs).with_(**parts)
+    return run.paper() if args.paper_mode else run
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -70,7 +80,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "train":
         from .plans.training import run
 
-        run(spark, config_of(args))
+        run(spark, run_of(args))
     else:
         from .plans.inference import as_json, predict_one
 

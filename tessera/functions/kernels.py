@@ -362,19 +362,17 @@ def first_mode(plane: np.ndarray, window: int = 5, smooth: int = 3) -> np.ndarra
     return plane - mean_filter(envelope_mean(mean_filter(plane, smooth), window, smooth), smooth)
 
 
-def decompose(plane: np.ndarray, levels: int = 4, window: int = 5, smooth: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
-    """Modes from fine to coarse and the residual of one plane; level n works at half the scale of level n - 1."""
-    residual, modes = plane.astype(np.float64), []
-    for power in range(levels):
-        work = downsample(residual, power)
-        if min(work.shape) < window:
-            break
-        trend = mean_filter(upsample(envelope_mean(mean_filter(work, smooth), window, smooth), *residual.shape), smooth)
-        modes.append(residual - trend)
-        residual = trend
-        if residual.std() < 1e-3:
-            break
-    return modes, residual
+def decompose(planes: np.ndarray, levels: int = 4, window: int = 5, smooth: int = 3, power: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+    """Modes from fine to coarse and what is left: the mode at this scale (2 ** power cells to one) is a plane without its
+    trend, and the coarser modes are those of the trend at half the scale. It ends after ``levels`` modes, where a plane is
+    smaller than the window, and where all trends are flat."""
+    planes = planes.astype(np.float64)
+    work = downsample(planes, power)
+    if levels < 1 or min(work.shape[-2:]) < window:
+        return [], planes
+    trend = mean_filter(upsample(envelope_mean(mean_filter(work, smooth), window, smooth), *planes.shape[-2:]), smooth)
+    coarser, rest = ([], trend) if (trend.std(axis=(-2, -1)) < 1e-3).all() else decompose(trend, levels - 1, window, smooth, power + 1)
+    return [planes - trend, *coarser], rest
 
 
 def stretch(planes: np.ndarray) -> np.ndarray:
@@ -384,9 +382,27 @@ def stretch(planes: np.ndarray) -> np.ndarray:
     return np.floor((planes - low) * 255.0 / span).astype(np.uint8)
 
 
-def lbp(planes: np.ndarray, points: int = 8, radius: float = 1) -> np.ndarray:
+#: ``default``: the pattern itself; ``ror``: the least of its rotations; ``uniform``: its number of set bits if there are at
+#: most two changes around the circle, else points + 1.
+LBP_METHODS = ("default", "ror", "uniform")
+
+
+def pattern_codes(points: int, method: str) -> np.ndarray:
+    """The code of each pattern."""
+    plain = np.arange(1 << points, dtype=np.int64)
+    turns = [(plain >> k | plain << (points - k)) & ((1 << points) - 1) for k in range(points)]
+    if method == "ror":
+        return np.min(turns, axis=0)
+    if method == "uniform":
+        return np.where(np.bitwise_count(plain ^ turns[1 % points]) <= 2, np.bitwise_count(plain), points + 1).astype(np.int64)
+    if method != "default":
+        raise ValueError(f"unsupported pattern method {method!r}")
+    return plain
+
+
+def lbp(planes: np.ndarray, points: int = 8, radius: float = 1, method: str = "default") -> np.ndarray:
     """Local binary patterns: bit k is set if the sample at angle 2 pi k / points is not below the centre. Samples
-    between cells are bilinear, cells outside count as 0."""
+    between cells are bilinear, cells outside count as 0. Patterns are given by the codes of ``method``."""
     h, w = planes.shape[-2:]
     pad = int(np.ceil(radius)) + 1
     wide = np.pad(planes.astype(np.float64), [(0, 0)] * (planes.ndim - 2) + [(pad, pad), (pad, pad)])
@@ -399,7 +415,7 @@ def lbp(planes: np.ndarray, points: int = 8, radius: float = 1) -> np.ndarray:
         sample = (1 - fy) * ((1 - fx) * cell(y0, x0) + fx * cell(y0, x0 + 1)) + fy * ((1 - fx) * cell(y0 + 1, x0) + fx * cell(y0 + 1, x0 + 1))
         # Sums of products of one value may fall short of it by rounding.
         out += (np.round(sample - planes, 9) >= 0).astype(np.int64) << k
-    return out
+    return out if method == "default" else pattern_codes(points, method)[out]
 
 
 def roi_median(planes: np.ndarray, masks: np.ndarray) -> np.ndarray:

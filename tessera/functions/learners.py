@@ -5,12 +5,21 @@ from __future__ import annotations
 
 import json
 import zipfile
+from collections import OrderedDict
 from dataclasses import dataclass, field
 from io import BytesIO
 from itertools import combinations
 
 import numpy as np
 
+from .. import defaults
+from ..defaults import record
+
+#: Bytes of kernel rows that a fit keeps.
+KERNEL_BYTES = 256 << 20
+
+Learner = record("Learner", defaults.LEARNER, "Vector machine (svm) or network (ann), and its settings.")
+
 
 @dataclass
 class Scaler:
@@ -25,15 +34,17 @@ class Scaler:
         return cls(x.mean(axis=0), np.where(std > 0, std, 1))
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return (np.asarray(x, dtype=np.float64) - self.mean) / self.scale
+        x = np.asarray(x, dtype=np.float64)
+        if x.shape[-1] != len(self.mean):
+            raise ValueError(f"{x.shape[-1]} features, the model has {len(self.mean)}")
+        return (x - self.mean) / self.scale
 
 
-def gamma_of(setting: str | float, x: np.ndarray) -> float:
-    """``scale``: 1 / (columns * variance of all entries); ``auto``: 1 / columns; or the number itself."""
+def gamma_of(setting: str | float, spread: float, columns: int) -> float:
+    """``scale``: 1 / (columns * variance of all entries, ``spread``); ``auto``: 1 / columns; or the number itself."""
     if setting == "scale":
-        spread = float(x.var())
-        return 1 / (x.shape[1] * spread) if spread else 1.0
-    return 1 / x.shape[1] if setting == "auto" else float(setting)
+        return 1 / (columns * spread) if spread else 1.0
+    return 1 / columns if setting == "auto" else float(setting)
 
 
 def class_weights(y: np.ndarray) -> dict:
@@ -47,11 +58,31 @@ def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(d, 0))
 
 
-def smo(kernel: np.ndarray, y: np.ndarray, limit: np.ndarray, tol: float = 1e-3, steps: int = 100_000) -> tuple[np.ndarray, float]:
+class KernelRows:
+    """Rows of the kernel matrix of ``x`` with itself, made when asked for; the last ones used are kept, within ``limit``
+    bytes, so that no fit needs the whole matrix."""
+
+    def __init__(self, x: np.ndarray, gamma: float, limit: int = KERNEL_BYTES):
+        self.x, self.gamma = x, gamma
+        self.square = (x**2).sum(axis=1)
+        self.room, self.rows = max(2, limit // max(1, 8 * len(x))), OrderedDict()
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i in self.rows:
+            self.rows.move_to_end(i)
+            return self.rows[i]
+        if len(self.rows) >= self.room:
+            self.rows.popitem(last=False)
+        row = np.exp(-self.gamma * np.maximum(self.square + self.square[i] - 2 * self.x @ self.x[i], 0))
+        self.rows[i] = row
+        return row
+
+
+def smo(kernel: np.ndarray | KernelRows, y: np.ndarray, limit: np.ndarray, tol: float = 1e-3, steps: int = 10_000_000) -> tuple[np.ndarray, float]:
     """Dual variables and bias of a two-class machine, 0 <= alpha <= limit, by sequential minimal optimisation: at each
-    step the pair that violates optimality most, the second one by the gain it promises."""
+    step the pair that violates optimality most, the second one by the gain it promises. Kernels have ones on their
+    diagonal. A machine that isn't optimal after ``steps`` is an error."""
     alpha, grad = np.zeros(len(y)), -np.ones(len(y))
-    diagonal = np.diag(kernel)
     for _ in range(steps):
         value = -y * grad
         up = np.where(y > 0, alpha < limit - 1e-12, alpha > 1e-12)
@@ -62,16 +93,18 @@ def smo(kernel: np.ndarray, y: np.ndarray, limit: np.ndarray, tol: float = 1e-3,
         gap = value[i] - value
         if gap[low].max() < tol:
             break
-        curve = np.maximum(diagonal[i] + diagonal - 2 * kernel[i], 1e-12)
+        of_i = kernel[i]
+        curve = np.maximum(2 - 2 * of_i, 1e-12)
         j = int(np.argmax(np.where(low & (gap > 0), gap**2 / curve, -np.inf)))
         # Move along the constraint sum(y * alpha) = const.
-        step = gap[j] / curve[j]
         room_i = limit[i] - alpha[i] if y[i] > 0 else alpha[i]
         room_j = alpha[j] if y[j] > 0 else limit[j] - alpha[j]
-        step = min(step, room_i, room_j)
+        step = min(gap[j] / curve[j], room_i, room_j)
         alpha[i] += y[i] * step
         alpha[j] -= y[j] * step
-        grad += y * (kernel[i] - kernel[j]) * step
+        grad += y * (of_i - kernel[j]) * step
+    else:
+        raise RuntimeError(f"the machine isn't optimal after {steps} steps")
     value = -y * grad
     free = (alpha > 1e-9) & (alpha < limit - 1e-9)
     if free.any():
@@ -145,8 +178,7 @@ def fit_pair(x: np.ndarray, y: np.ndarray, classes: tuple[str, str], gamma: floa
     """``x`` scaled, ``y`` names. With ``probability`` the sigmoid is fitted on scores of held-out folds."""
     sign = np.where(y == classes[0], 1.0, -1.0)
     limit = c * np.array([weights[k] for k in y.tolist()])
-    kernel = rbf(x, x, gamma)
-    alpha, bias = smo(kernel, sign, limit)
+    alpha, bias = smo(KernelRows(x, gamma), sign, limit)
     keep = alpha > 1e-9
     machine = PairMachine(tuple(classes), x[keep], (alpha * sign)[keep], bias)
     if probability:
@@ -160,8 +192,11 @@ def fit_pair(x: np.ndarray, y: np.ndarray, classes: tuple[str, str], gamma: floa
             if len(np.unique(sign[train])) < 2:
                 scores[test] = sign[train][0] if len(train) else 0
                 continue
-            a, b = smo(kernel[np.ix_(train, train)], sign[train], limit[train])
-            scores[test] = kernel[np.ix_(test, train)] @ (a * sign[train]) + b
+            a, b = smo(KernelRows(x[train], gamma), sign[train], limit[train])
+            own = a > 1e-9
+            held, weight = x[train][own], (a * sign[train])[own]
+            for part in np.array_split(test, -(-len(test) * max(1, len(held)) // (KERNEL_BYTES // 8))):
+                scores[part] = rbf(x[part], held, gamma) @ weight + b
         machine.sigmoid = platt(scores, sign)
     return machine
 
@@ -179,6 +214,10 @@ class SvmModel:
         z = self.scaler(x)
         return np.stack([rbf(z, m.vectors, self.gamma) @ m.coef + m.bias if len(m.coef) else np.full(len(z), m.bias) for m in self.machines], axis=1) if self.machines else np.zeros((len(z), 0))
 
+    @property
+    def gives_probabilities(self) -> bool:
+        return all(m.sigmoid is not None for m in self.machines)
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         votes = np.zeros((len(x), len(self.classes)))
         for m, s in zip(self.machines, self.scores(x).T, strict=True):
@@ -189,7 +228,7 @@ class SvmModel:
 
     def predict_proba(self, x: np.ndarray) -> np.ndarray:
         """The largest probability and the vote may disagree: they are separate estimates."""
-        if any(m.sigmoid is None for m in self.machines):
+        if not self.gives_probabilities:
             raise ValueError("the model was fitted without probabilities")
         r = np.full((len(x), len(self.classes), len(self.classes)), 0.5)
         for m, s in zip(self.machines, self.scores(x).T, strict=True):
@@ -203,7 +242,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 6.0, gamma: str | float = "
     y = np.asarray(y, dtype=object)
     scaler, classes = Scaler.fit(x), sorted(set(y.tolist()))
     z = scaler(x)
-    g, weights = gamma_of(gamma, z), class_weights(y.astype(str))
+    g, weights = gamma_of(gamma, float(z.var()), z.shape[1]), class_weights(y.astype(str))
     machines = []
     for a, b in combinations(classes, 2):
         of = (y == a) | (y == b)
@@ -216,6 +255,7 @@ class MlpModel:
     classes: list[str]
     scaler: Scaler
     layers: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    gives_probabilities = True
 
     def predict_proba(self, x: np.ndarray) -> np.ndarray:
         return _forward(self.scaler(x), self.layers)[-1]
@@ -288,7 +328,7 @@ def fit_mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...] = (256, 128),
 
 
 @dataclass
-class TwoStageModel:
+class PivotModel:
     """``first`` tells the pivot from the rest, ``second`` the rest's classes."""
 
     first: SvmModel
@@ -308,7 +348,7 @@ class TwoStageModel:
         return (out / np.where(total > 0, total, 1)).astype(np.float32)
 
 
-def predict_with_thresholds(probs: np.ndarray, labels: list[str], thresholds: dict[str, float]) -> np.ndarray:
+def limited_choice(probs: np.ndarray, labels: list[str], thresholds: dict[str, float]) -> np.ndarray:
     limit = np.array([max(float(thresholds.get(c, 0.5)), 1e-6) for c in labels])
     return np.array(labels, dtype=object)[(probs / limit).argmax(axis=1)]
 
@@ -320,7 +360,7 @@ def _pack(value, arrays: dict) -> object:
     if isinstance(value, np.ndarray):
         arrays[f"a{len(arrays)}"] = value
         return {"array": f"a{len(arrays) - 1}"}
-    if isinstance(value, (Scaler, PairMachine, SvmModel, MlpModel, TwoStageModel)):
+    if isinstance(value, (Scaler, PairMachine, SvmModel, MlpModel, PivotModel)):
         return {"kind": type(value).__name__, "fields": {k: _pack(v, arrays) for k, v in vars(value).items()}}
     if isinstance(value, (list, tuple)):
         return {"list": [_pack(v, arrays) for v in value]}
@@ -333,7 +373,7 @@ def _unpack(node: dict, arrays) -> object:
     if "list" in node:
         return [_unpack(v, arrays) for v in node["list"]]
     if "kind" in node:
-        kinds = {c.__name__: c for c in (Scaler, PairMachine, SvmModel, MlpModel, TwoStageModel)}
+        kinds = {c.__name__: c for c in (Scaler, PairMachine, SvmModel, MlpModel, PivotModel)}
         return kinds[node["kind"]](**{k: _unpack(v, arrays) for k, v in node["fields"].items()})
     return node["value"]
 

@@ -14,9 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import defaults
+from ..defaults import record
 from .sampling import SEED, class_counts, ranked
 
 BLOCK = 2048
+STRATEGIES = ("paper_balanced_subset", "none", "smote", "smoteenn")
+
+Balancing = record("Balancing", defaults.BALANCING, "How training rows are balanced, and the neighbours that takes.")
 
 
 def _blocks(df: DataFrame, key: list[str], rows: int) -> DataFrame:
@@ -99,7 +104,7 @@ def balance(df: DataFrame, strategy: str, smote_k: int = 5, enn_k: int = 3, seed
     if strategy in ("none", "paper_balanced_subset"):
         return plain
     if strategy not in ("smote", "smoteenn"):
-        raise ValueError(f"unsupported imbalance_strategy={strategy}")
+        raise ValueError(f"unsupported strategy {strategy!r}")
     new = smote(plain, smote_k, seed).select(F.concat_ws(":", F.lit("new"), F.col("label").cast("string"), F.col("slot").cast("string")).alias("id"), "label", "features")
     out = plain.unionByName(new)
     if strategy == "smoteenn":

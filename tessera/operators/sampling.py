@@ -1,7 +1,7 @@
 """Per-class samples, splits and rounds. Random order is the MD5 of seed and id, so any engine can repeat it.
 
 Full ranks within a class come from windows over (class, first three digits of the MD5) plus the counts of the buckets
-before, so no class meets in one task. Ranks that are only compared with a constant use a plain window, whose limit
+before, so no class meets in one task. Ranks that are only compared with a small constant use a plain window, whose limit
 Spark applies before the shuffle.
 """
 
@@ -11,8 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import defaults
+from ..defaults import record
+
 SEED = 42
 _DIGITS = 3
+SPLITS = ("paper_fixed_count", "stratified_ratio")
+#: Up to this limit Spark cuts a class before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+SMALL_LIMIT = 1000
+
+Samples = record("Samples", defaults.SAMPLES, "Which rows take part: limits, splits and rounds. ``per_class`` None means all.")
 
 
 def random_key(id_col: str, seed: int = SEED) -> Column:
@@ -26,6 +34,8 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 def first_per_class(df: DataFrame, n: int, label: str, id_col: str, seed: int = SEED) -> DataFrame:
     """The first ``n`` rows of each class in random order, with ``rn``."""
+    if n > SMALL_LIMIT:
+        return ranked(df, label, id_col, seed).where(F.col("rn") <= n)
     order = Window.partitionBy(label).orderBy(random_key(id_col, seed), id_col)
     return df.where(F.col(label).isNotNull()).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n)
 
@@ -77,12 +87,12 @@ def ratio_split(df: DataFrame, ratio: float, label: str, id_col: str, seed: int
     return ranked(df, label, id_col, seed).join(share, label).withColumn("split", F.when(F.col("rn") <= F.col("n_val"), "val").otherwise("train")).drop("rn", "n_val")
 
 
-def split(df: DataFrame, config, label: str = "dx", id_col: str = "image_id") -> DataFrame:
-    if config.split_mode == "paper_fixed_count":
-        return fixed_split(df, config.train_per_class, config.val_per_class, label, id_col, config.per_class_limit, config.random_state)
-    if config.split_mode == "stratified_ratio":
-        return ratio_split(df, config.val_ratio, label, id_col, config.random_state)
-    raise ValueError(f"unsupported split_mode={config.split_mode}")
+def split(df: DataFrame, samples: Samples, label: str = "dx", id_col: str = "image_id") -> DataFrame:
+    if samples.split == "paper_fixed_count":
+        return fixed_split(df, samples.train, samples.val, label, id_col, samples.per_class, samples.seed)
+    if samples.split == "stratified_ratio":
+        return ratio_split(df, samples.val_ratio, label, id_col, samples.seed)
+    raise ValueError(f"unsupported split {samples.split!r}")
 
 
 def coverage_rounds(df: DataFrame, per_class: int | None, label: str, id_col: str, max_rounds: int = 0, seed: int = SEED, unique: bool = False) -> DataFrame:

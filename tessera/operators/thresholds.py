@@ -8,8 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import defaults
+from ..defaults import record
 from .metrics import class_scores, pair_counts
 
+Decision = record("Decision", defaults.DECISION, "One stage or two, their strategies, and the search for thresholds.")
+
 
 def compose_two_stages(stage1: DataFrame, stage2: DataFrame, labels: list[str], pivot: str = "nv", rest: str = "non_nv") -> DataFrame:
     """``id, cls, p`` from ``stage1`` and ``stage2`` (both ``id, cls, p``): the pivot keeps its probability, others have

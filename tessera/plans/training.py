@@ -1,11 +1,13 @@
 """Training runs: scan, sample, features, balance, fit, tune, evaluate, persist.
 
-Features are one Arrow UDF over decoded images and are written once. Fits are groups of a Spark job: one group for each
-pair of classes of a vector machine, one for each round of a coverage run. A kernel machine needs its pair's rows in one
-task, so pairs are bounded by ``MAX_FIT_ROWS``."""
+Rows are sampled first: features, one Arrow kernel over decoded images, are made of the images that a run uses and are
+written once. Fits are groups of a Spark job: one group for each pair of classes of a vector machine, each in a task that
+holds its pair's rows and a bounded part of their kernel. Balanced rows are written before they are fitted, since a fit
+reads them more than once. The rounds of a coverage run are independent, so their jobs run side by side."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
@@ -13,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import defaults
 from ..functions import learners as L
 from ..functions.features import extract, feature_columns
 from ..operators import metrics as M
@@ -20,36 +23,28 @@ from ..operators import sampling, thresholds
 from ..operators.balancing import balance
 from ..sources import artifacts as A
 from ..sources import metadata
-from .config import Config
+from .settings import Run
 
-#: Rows that one fit takes: a kernel matrix of this size squared has to fit a task.
-MAX_FIT_ROWS = 20_000
+#: Rounds whose jobs run at the same time.
+ROUNDS_AT_ONCE = 4
 
 
 def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(pdf["features"].to_numpy()).astype(np.float64), pdf["label"].to_numpy(dtype=object)
 
 
-def _guard(df: DataFrame, rows: int = MAX_FIT_ROWS) -> dict[str, int]:
-    counts = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
-    if sum(sorted(counts.values())[-2:]) > rows:
-        raise ValueError(f"a pair of classes has more than {rows} rows; set per_class_limit or a smaller sample")
-    return counts
-
-
-def fit_svm(df: DataFrame, config: Config) -> L.SvmModel:
-    """Fit on ``label, features``: the scaler from one aggregate, then one task for each pair of classes."""
-    counts = _guard(df)
+def fit_svm(df: DataFrame, learner: L.Learner, seed: int = 42) -> L.SvmModel:
+    """Fit on ``id, label, features`` (a table, as it is read more than once): the scaler from one aggregate, then one task
+    for each pair of classes."""
+    counts = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}  # a row a class
     classes = sorted(counts)
     long = df.select(F.posexplode("features").alias("dim", "v"))
     stats = long.groupBy("dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).toPandas().sort_values("dim")
     scale = np.where(stats["s"] > 0, stats["s"], 1.0)
     scaler = L.Scaler(stats["m"].to_numpy(), scale)
     # After scaling a varying column has variance 1 and a constant one 0, so the variance of all entries is their share.
-    gamma = config.gamma()
     width = len(stats)
-    spread = float((stats["s"] > 0).mean())
-    gamma = (1 / (width * spread) if spread else 1.0) if gamma == "scale" else 1 / width if gamma == "auto" else gamma
+    gamma = L.gamma_of(learner.gamma, float((stats["s"] > 0).mean()), width)
     total = sum(counts.values())
     weights = {k: total / (len(classes) * n) for k, n in counts.items()}
     pairs = [f"{i},{j}" for i, j in combinations(range(len(classes)), 2)]
@@ -61,7 +56,7 @@ def fit_svm(df: DataFrame, config: Config) -> L.SvmModel:
         i, j = (int(k) for k in key[0].split(","))
         pdf = pdf.sort_values("id")
         x, y = _arrays(pdf)
-        machine = L.fit_pair(scaler(x), y, (classes[i], classes[j]), gamma, config.svm_c, weights, config.svm_probability, config.random_state)
+        machine = L.fit_pair(scaler(x), y, (classes[i], classes[j]), gamma, learner.c, weights, learner.probability, seed)
         return pd.DataFrame({"pair": [key[0]], "machine": [L.dump_model(machine)]})
 
     got = df.select("id", "label", "features", F.explode(mine).alias("pair")).groupBy("pair").applyInPandas(fit, "pair string, machine binary").toPandas()
@@ -69,32 +64,43 @@ def fit_svm(df: DataFrame, config: Config) -> L.SvmModel:
     return L.SvmModel(classes, scaler, float(gamma), [L.load_model(bytes(machines[p])) for p in pairs])
 
 
-def fit_mlp(df: DataFrame, config: Config) -> L.MlpModel:
-    """Fit on ``label, features`` of all rows, in batches, in one task that holds them."""
+def fit_mlp(df: DataFrame, learner: L.Learner, seed: int = 42) -> L.MlpModel:
+    """Fit on ``id, label, features`` of all rows, in batches, in one task that holds them."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = _arrays(pdf.sort_values("id"))
-        model = L.fit_mlp(x, y, tuple(config.ann_hidden_layer_sizes), config.ann_alpha, config.ann_max_iter, seed=config.random_state)
+        model = L.fit_mlp(x, y, tuple(learner.hidden), learner.alpha, learner.epochs, seed=seed)
         return pd.DataFrame({"model": [L.dump_model(model)]})
 
     row = df.select("id", "label", "features", F.lit(0).alias("one")).groupBy("one").applyInPandas(fit, "model binary").first()
     return L.load_model(bytes(row["model"]))
 
 
-def fit_single(df: DataFrame, config: Config):
-    return fit_mlp(df, config) if config.model_name == "ann" else fit_svm(df, config)
+def _balanced(df: DataFrame, strategy: str, run: Run, out: A.Artifacts, name: str) -> DataFrame:
+    """``df`` after ``strategy``, written to the run's folder for as long as its fit takes."""
+    path = f"{out.folder}/balanced_{name}.parquet"
+    balance(df, strategy, run.balancing.smote_k, run.balancing.enn_k, run.samples.seed).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def fit_one_stage(df: DataFrame, run: Run, out: A.Artifacts):
+    rows = _balanced(df, run.balancing.strategy, run, out, "rows")
+    model = (fit_mlp if run.learner.kind == "ann" else fit_svm)(rows, run.learner, run.samples.seed)
+    out.delete("balanced_rows.parquet")
+    return model
 
 
-def fit_two_stages(df: DataFrame, config: Config) -> L.TwoStageModel:
+def fit_two_stages(df: DataFrame, run: Run, out: A.Artifacts, pivot: str = defaults.PIVOT) -> L.PivotModel:
     """Pivot against the rest, and the rest's classes, each balanced by its own strategy."""
     names = {r["label"] for r in df.select("label").distinct().collect()}
-    if config.PIVOT not in names or len(names) < 2:
-        raise ValueError(f"two stages need the class {config.PIVOT!r} and others in the training rows")
-    args = (config.smote_k_neighbors, config.enn_k_neighbors, config.random_state)
-    binary = df.withColumn("label", F.when(F.col("label") == config.PIVOT, config.PIVOT).otherwise("non_" + config.PIVOT))
-    first = fit_svm(balance(binary, config.stage1_imbalance_strategy, *args), config)
-    second = fit_svm(balance(df.where(F.col("label") != config.PIVOT), config.stage2_imbalance_strategy, *args), config)
-    return L.TwoStageModel(first, second, config.PIVOT, "non_" + config.PIVOT)
+    if pivot not in names or len(names) < 2:
+        raise ValueError(f"two stages need the class {pivot!r} and others in the training rows")
+    binary = df.withColumn("label", F.when(F.col("label") == pivot, pivot).otherwise("non_" + pivot))
+    parts = {"first": (binary, run.decision.first), "second": (df.where(F.col("label") != pivot), run.decision.second)}
+    models = [fit_svm(_balanced(rows, strategy, run, out, name), run.learner, run.samples.seed) for name, (rows, strategy) in parts.items()]
+    for name in parts:
+        out.delete(f"balanced_{name}.parquet")
+    return L.PivotModel(*models, pivot, "non_" + pivot)
 
 
 def predict(df: DataFrame, model, labels: list[str] | None = None, limits: dict[str, float] | None = None) -> DataFrame:
@@ -108,14 +114,11 @@ def predict(df: DataFrame, model, labels: list[str] | None = None, limits: dict[
         if not len(features):
             return pd.DataFrame({"pred": pd.Series(dtype=object), "probs": pd.Series(dtype=object)})
         x = np.stack(features.to_numpy()).astype(np.float64)
-        if isinstance(own, L.TwoStageModel):
+        if isinstance(own, L.PivotModel):
             p = own.predict_proba(x, labels)
-            pred = L.predict_with_thresholds(p, labels, limits) if limits else np.array(labels, dtype=object)[p.argmax(axis=1)]
+            pred = L.limited_choice(p, labels, limits) if limits else np.array(labels, dtype=object)[p.argmax(axis=1)]
             return pd.DataFrame({"pred": pred, "probs": list(p.astype(np.float32))})
-        try:
-            probs = list(own.predict_proba(x).astype(np.float32))
-        except ValueError:
-            probs = [None] * len(x)
+        probs = list(own.predict_proba(x).astype(np.float32)) if own.gives_probabilities else [None] * len(x)
         return pd.DataFrame({"pred": own.predict(x), "probs": probs})
 
     return df.withColumn("_p", run("features")).select(*df.columns, "_p.pred", "_p.probs")
@@ -143,56 +146,70 @@ def _distribution(rows: DataFrame, out: A.Artifacts, name: str) -> None:
     out.write_csv(f"class_distribution_{name}.csv", ["class", "count"], [tuple(r) for r in counts])
 
 
-def run_split(rows: DataFrame, config: Config, out: A.Artifacts) -> dict[str, float]:
+def run_split(rows: DataFrame, run: Run, out: A.Artifacts) -> dict[str, float]:
     """One experiment on ``id, label, features, split`` rows."""
     train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
     _distribution(train, out, "train")
     _distribution(val, out, "val")
     labels = [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]
-    if config.two_stage_enabled:
-        model = fit_two_stages(train, config)
+    if run.decision.two_stage:
+        d, model = run.decision, fit_two_stages(train, run, out)
         plain = predict(val, model, labels)
         result = evaluate(plain, labels, out, "argmax")
-        if config.threshold_tuning_enabled:
+        if d.tune:
             scored = plain.select("id", F.col("label").alias("truth"), "probs").persist()
-            limits = thresholds.search(scored, labels, config.minority_classes, config.minority_recall_floor, config.threshold_search_min, config.threshold_search_max, config.threshold_search_steps)
+            limits = thresholds.search(scored, labels, d.minority, d.floor, d.low, d.high, d.steps)
             scored.unpersist()
             result = evaluate(predict(val, model, labels, limits), labels, out, "thresholded")
             out.write_json(A.THRESHOLDS, limits)
     else:
-        balanced = balance(train, config.imbalance_strategy, config.smote_k_neighbors, config.enn_k_neighbors, config.random_state)
-        model = fit_single(balanced, config)
+        model = fit_one_stage(train, run, out)
         result = evaluate(predict(val, model), labels, out)
     out.write(A.MODEL, L.dump_model(model))
-    out.write_json(A.COLUMNS, feature_columns(config))
-    out.write_json(A.LABELS, labels if config.two_stage_enabled else model.classes)
+    out.write_json(A.COLUMNS, feature_columns(run.texture))
+    out.write_json(A.LABELS, labels if run.decision.two_stage else model.classes)
     return result
 
 
-def features_of(spark: SparkSession, config: Config, partitions: int | None = None) -> DataFrame:
-    """``id, label, features`` of all labelled images, written to the run's folder and read again."""
-    rows = metadata.load(spark, config)
-    images = metadata.read_images(spark, rows, config.image_roots(), partitions or 4 * spark.sparkContext.defaultParallelism)
-    path = f"{config.output_dir}/features.parquet"
-    extract(images.select(F.col("image_id").alias("id"), F.col("dx").alias("label"), "image"), config).write.mode("overwrite").parquet(path)
+def features_of(spark: SparkSession, run: Run, rows: DataFrame) -> DataFrame:
+    """``rows`` (``id, label, image_path`` and others) with ``features``, written to the run's folder and read again. Only their
+    images are read."""
+    parts = run.tasks if run.tasks > 0 else 4 * spark.sparkContext.defaultParallelism
+    chosen = f"{run.out}/images.parquet"
+    rows.write.mode("overwrite").parquet(chosen)
+    images = metadata.read_images(spark, spark.read.parquet(chosen), run.roots(), parts)
+    path = f"{run.out}/features.parquet"
+    extract(images, run).drop("image_path").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def run_rounds(rows: DataFrame, config: Config, out: A.Artifacts) -> dict:
-    """All rounds of a coverage run. Rounds are joined to features by id; each round's files go to its own folder."""
-    plan = sampling.coverage_rounds(rows, config.per_class_limit, "label", "id", config.coverage_max_rounds, config.random_state)
+def plan_rounds(rows: DataFrame, run: Run, out: A.Artifacts) -> DataFrame:
+    """``round, key, id, label, split`` of all rounds, written once. A row drawn twice is two rows of its round, as in
+    sampling with replacement; ``key`` tells them apart."""
+    s = run.samples
+    drawn = sampling.coverage_rounds(rows, s.per_class, "label", "id", s.max_rounds, s.seed).withColumn("key", F.concat_ws(":", "id", "slot", "refill"))
+    path = f"{out.folder}/rounds.parquet"
+    drawn.select("round", "key", "id", "label").write.mode("overwrite").parquet(path)
+    return out.spark.read.parquet(path)
+
+
+def run_rounds(plan: DataFrame, features: DataFrame, run: Run, out: A.Artifacts) -> dict:
+    """All rounds of a coverage run, some at a time; each round's files go to its own folder."""
     numbers = [r["round"] for r in plan.select("round").distinct().orderBy("round").collect()]
     if not numbers:
         raise ValueError("there is no round: no labelled row")
-    log = []
-    for number in numbers:
-        # A row drawn twice is two rows of its round, as in sampling with replacement.
-        own = plan.where(F.col("round") == number).select(F.col("id").alias("_id"), F.concat_ws(":", "id", "slot", "refill").alias("key"))
-        mine = rows.join(own, rows["id"] == F.col("_id")).select(F.col("key").alias("id"), "label", "features")
-        split = sampling.split(mine, config, "label", "id")
+    vectors = features.select(F.col("id").alias("_id"), "features")
+
+    def one(number: int) -> dict[str, float]:
+        own = plan.where(F.col("round") == number)
         folder = A.Artifacts(out.spark, f"{out.folder}/round_{number + 1:03d}")
-        log.append((number + 1, run_split(split, config, folder)))
-        folder.write(A.CONFIG, config.to_json())
+        split = sampling.split(own.select(F.col("id").alias("_id"), F.col("key").alias("id"), "label"), run.samples, "label", "id")
+        result = run_split(split.join(vectors, "_id").select("id", "label", "features", "split"), run, folder)
+        folder.write(A.CONFIG, run.to_json())
+        return result
+
+    with ThreadPoolExecutor(ROUNDS_AT_ONCE) as pool:
+        log = list(zip([n + 1 for n in numbers], pool.map(one, numbers), strict=True))
     out.write_csv("coverage_metrics.csv", ["round", *M.METRICS], [(n, *(m[k] for k in M.METRICS)) for n, m in log])
     table = out.spark.createDataFrame([(n, m["accuracy"], m["f1_macro"]) for n, m in log], "round int, accuracy double, f1_macro double")
     summary = M.rounds_summary(table).first().asDict()
@@ -200,20 +217,22 @@ def run_rounds(rows: DataFrame, config: Config, out: A.Artifacts) -> dict:
     best = A.Artifacts(out.spark, f"{out.folder}/round_{summary['best_round']:03d}")
     for name in (A.MODEL, A.COLUMNS, A.LABELS, A.THRESHOLDS):
         best.copy(name, out)
-    out.write(A.CONFIG, config.to_json())
+    out.write(A.CONFIG, run.to_json())
     return summary
 
 
-def run(spark: SparkSession, config: Config) -> dict:
+def run(spark: SparkSession, settings: Run) -> dict:
     """A whole run; returns its metrics, or the summary of its rounds."""
-    config.checked()
-    out = A.Artifacts(spark, str(config.output_dir))
-    rows = features_of(spark, config)
-    if config.coverage_enabled:
-        summary = run_rounds(rows, config, out)
+    settings.checked()
+    out = A.Artifacts(spark, str(settings.out))
+    rows = metadata.load(spark, settings.metadata(), settings.roots()).select(F.col("image_id").alias("id"), F.col("dx").alias("label"), "image_path")
+    if settings.samples.coverage:
+        plan = plan_rounds(rows.select("id", "label"), settings, out)
+        features = features_of(spark, settings, rows.join(plan.select("id").distinct(), "id", "left_semi"))
+        summary = run_rounds(plan, features, settings, out)
         print(f"Coverage training complete\nRounds: {summary['rounds']} | Mean acc: {summary['accuracy_mean']:.4f} | Best acc: {summary['best_accuracy']:.4f}")
         return summary
-    result = run_split(sampling.split(rows, config, "label", "id"), config, out)
-    out.write(A.CONFIG, config.to_json())
+    result = run_split(features_of(spark, settings, sampling.split(rows, settings.samples, "label", "id")), settings, out)
+    out.write(A.CONFIG, settings.to_json())
     print(f"Training complete\nValidation accuracy: {result['accuracy']:.4f}\nValidation balanced_accuracy: {result['balanced_accuracy']:.4f}\nValidation f1_macro: {result['f1_macro']:.4f}")
     return result

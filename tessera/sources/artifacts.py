@@ -27,6 +27,10 @@ class Artifacts:
         fs, path = self._path(name)
         return fs.exists(path)
 
+    def delete(self, name: str) -> None:
+        fs, path = self._path(name)
+        fs.delete(path, True)
+
     def write(self, name: str, data: bytes | str) -> None:
         fs, path = self._path(name)
         stream = fs.create(path, True)

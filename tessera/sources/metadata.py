@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.config import Config
-
 #: Ids that an error lists.
 SHOWN = 5
+#: Images that are read by a list of paths at most.
+LISTED = 20_000
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -47,9 +47,9 @@ def missing(metadata: DataFrame, files: DataFrame) -> DataFrame:
     return metadata.join(files.select("image_id").distinct(), "image_id", "left_anti")
 
 
-def load(spark: SparkSession, config: Config) -> DataFrame:
+def load(spark: SparkSession, csv: str, roots: Sequence[str]) -> DataFrame:
     """``image_id, dx, image_path``. Files that are missing are an error that tells how many and which first."""
-    metadata, files = scan(spark, config.metadata_csv()), list_files(spark, config.image_roots())
+    metadata, files = scan(spark, csv), list_files(spark, roots)
     lost = missing(metadata, files)
     shown = [r["image_id"] for r in lost.orderBy("image_id").limit(SHOWN).collect()]
     if shown:
@@ -57,13 +57,19 @@ def load(spark: SparkSession, config: Config) -> DataFrame:
     return resolve(metadata, files).select("image_id", "dx", "image_path")
 
 
-def read_images(spark: SparkSession, rows: DataFrame, roots: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """``rows`` (with ``image_path``) and ``image``, decoded on the executors by Spark's image source. Only images whose
-    path occurs in ``rows`` go on; they are dealt out for the feature kernel."""
+def read_images(spark: SparkSession, rows: DataFrame, roots: Sequence[str], partitions: int | None = None, listed: int = LISTED) -> DataFrame:
+    """``rows`` (with ``image_path``; a table) and ``image``, decoded on the executors by Spark's image source. Up to
+    ``listed`` images are read by their paths, so that no other file is opened; more are read as whole folders and joined,
+    since their paths would fill the driver. The rows are dealt out for the feature kernel."""
+    paths = [r[0] for r in rows.select("image_path").distinct().limit(listed + 1).collect()]
+    source = spark.read.format("image").option("dropInvalid", False)
     images = None
-    for root in roots:
-        part = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", "*.jpg").load(root)
-        images = part if images is None else images.unionByName(part)
+    if len(paths) <= listed and not any(set(p) & set("*?[]{}\\") for p in paths):
+        images = source.load(paths) if paths else source.schema("image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>").load(list(roots)).limit(0)
+    else:
+        for root in roots:
+            part = source.option("pathGlobFilter", "*.jpg").load(root)
+            images = part if images is None else images.unionByName(part)
     clean = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  one spelling of local addresses
     keyed = images.select(clean(F.col("image.origin")).alias("_path"), "image")
     out = rows.withColumn("_path", clean(F.col("image_path"))).join(keyed, "_path").drop("_path")

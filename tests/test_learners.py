@@ -16,7 +16,7 @@ def blobs():
 def test_scaler():
     x = np.array([[1.0, 5, 2], [3, 5, 4]])
     assert L.Scaler.fit(x)(x).tolist() == [[-1, 0, -1], [1, 0, 1]]
-    assert L.gamma_of("auto", x) == 1 / 3 and L.gamma_of("0.5", x) == 0.5
+    assert L.gamma_of("auto", 1.0, 3) == 1 / 3 and L.gamma_of("0.5", 1.0, 3) == 0.5 and L.gamma_of("scale", 2.0, 5) == 0.1
     assert L.class_weights(np.array(["a", "a", "a", "b"])) == {"a": 4 / 6, "b": 2.0}
 
 
@@ -30,6 +30,17 @@ def test_smo_is_optimal():
     assert np.abs(margin[(alpha > 1e-9) & (alpha < limit - 1e-9)] - 1).max() < 2e-3
 
 
+def test_kernel_rows_are_made_again_when_there_is_no_room():
+    x, y = rng.normal(size=(80, 3)), np.where(rng.random(80) < 0.4, 1.0, -1.0)
+    rows = L.KernelRows(x, 0.3, limit=1)
+    assert rows.room == 2 and np.array([rows[i] for i in range(80)]) == pytest.approx(L.rbf(x, x, 0.3)) and len(rows.rows) == 2
+    alpha, bias = L.smo(L.KernelRows(x, 0.3, limit=1), y, np.full(80, 2.0))
+    want, other = L.smo(L.rbf(x, x, 0.3), y, np.full(80, 2.0))
+    assert alpha == pytest.approx(want, abs=1e-6) and bias == pytest.approx(other, abs=1e-6)
+    with pytest.raises(RuntimeError, match="optimal"):
+        L.smo(L.rbf(x, x, 0.3), y, np.full(80, 2.0), steps=3)
+
+
 def test_svm(blobs):
     x, y = blobs
     model = L.fit_svm(x[:240], y[:240], probability=True)
@@ -156,7 +167,7 @@ def brute_search(truth, probs, labels, minority, floor, grid):
     for target in [c for c in labels if c in minority] + [c for c in labels if c not in minority]:
         scores = []
         for thr in grid:
-            pred = L.predict_with_thresholds(probs, labels, best | {target: thr})
+            pred = L.limited_choice(probs, labels, best | {target: thr})
             own = truth == target
             recall = (pred[own] == target).mean() if own.any() else 0.0
             scores.append(round(np.mean([f1(c, pred) for c in labels]) - (max(0, floor - recall) if target in minority else 0), 12))

@@ -7,7 +7,7 @@ import pytest
 
 from tessera import cli
 from tessera.plans import inference, training
-from tessera.plans.config import Config
+from tessera.plans.settings import Run
 from tessera.sources import metadata
 from tessera.sources.artifacts import Artifacts, heat_map, png
 
@@ -22,34 +22,46 @@ def picture(rng, dx, size=24):
     return image.clip(0, 255).astype(np.uint8)
 
 
+def jpeg(spark, path, image):
+    """Write a JPEG of the highest quality that the JVM's encoder gives by default."""
+    io, stream = spark._jvm.javax.imageio.ImageIO, spark._jvm.java.io
+    decoded = io.read(stream.ByteArrayInputStream(bytearray(png(image))))
+    assert io.write(decoded, "jpg", stream.File(str(path)))
+
+
 @pytest.fixture(scope="module")
-def dataset(tmp_path_factory):
+def dataset(spark, tmp_path_factory):
     root, rng, rows = tmp_path_factory.mktemp("images"), np.random.default_rng(0), []
     for k in (1, 2):
         (root / f"HAM10000_images_part_{k}").mkdir()
     for i in range(36):
         dx = ("nv", "mel", "bkl")[i % 3]
-        (root / f"HAM10000_images_part_{1 + i % 2}" / f"I{i}.jpg").write_bytes(png(picture(rng, dx)))  # the decoder goes by content
+        path = root / f"HAM10000_images_part_{1 + i % 2}" / f"I{i}.jpg"
+        jpeg(spark, path, picture(rng, dx))
+        assert path.read_bytes()[:3] == b"\xff\xd8\xff"
         rows.append(f"L{i},I{i},{dx},50")
     (root / "HAM10000_metadata.csv").write_text("lesion_id,image_id,dx,age\n" + "\n".join(rows) + "\n")
     return root
 
 
-def small(dataset, out, **changes):
-    base = dict(image_size=24, cv_iter=10, enable_hair_removal=False, per_class_limit=12, train_per_class=8, val_per_class=4, svm_probability=True, smote_k_neighbors=3, include_lbp_roi=False, include_lbp_bimf1=False)
-    return Config(dataset, out, **(base | changes))
+def small(dataset, out, **parts):
+    base = {
+        "samples": {"per_class": 12, "train": 8, "val": 4}, "preparation": {"size": 24, "hair": False}, "segmentation": {"steps": 10},
+        "texture": {"lbp_roi": False, "lbp_bimf1": False}, "learner": {"probability": True}, "balancing": {"smote_k": 3},
+    }
+    return Run(str(dataset), str(out)).with_(**{k: base.get(k, {}) | parts.get(k, {}) for k in {*base, *parts}})
 
 
 def test_run_and_inference(spark, dataset, tmp_path):
     config = small(dataset, tmp_path / "run")
     result = training.run(spark, config)
     assert result["accuracy"] > 0.7
-    out = Artifacts(spark, str(config.output_dir))
+    out = Artifacts(spark, config.out)
     for name in ("metrics.json", "classification_report.csv", "confusion_matrix.csv", "confusion_matrix.png", "class_distribution_train.csv", "class_distribution_val.csv", "model.zip", "feature_columns.json", "label_classes.json", "run_config.json"):
         assert out.exists(name), name
     assert out.read("class_distribution_train.csv").decode() == "class,count\nbkl,8\nmel,8\nnv,8\n"
-    assert out.read_json("metrics.json") == result and Config.from_json(out.read("run_config.json").decode()) == config
-    one = inference.predict_one(spark, str(config.output_dir), str(dataset / "HAM10000_images_part_1" / "I0.jpg"))
+    assert out.read_json("metrics.json") == result and Run.from_json(out.read("run_config.json").decode()) == config
+    one = inference.predict_one(spark, config.out, str(dataset / "HAM10000_images_part_1" / "I0.jpg"))
     assert one["prediction"] in COLOURS and sum(one["probabilities"].values()) == pytest.approx(1, abs=1e-5)
     assert json.loads(inference.as_json(one)) == one
     # images that arrive as a stream get the same predictions
@@ -59,30 +71,30 @@ def test_run_and_inference(spark, dataset, tmp_path):
     source.mkdir()
     image = picture(np.random.default_rng(9), "mel")
     (source / "a.ppm").write_bytes(b"P6 24 24 255\n" + image.tobytes())
-    stream = predict_arrivals(spark, str(source), inference.load(spark, str(config.output_dir)), str(tmp_path / "said"), str(tmp_path / "state"))
+    stream = predict_arrivals(spark, str(source), inference.load(spark, config.out), str(tmp_path / "said"), str(tmp_path / "state"))
     stream.awaitTermination(120)
     (row,) = spark.read.parquet(str(tmp_path / "said")).collect()
-    (tmp_path / "one.jpg").write_bytes(png(image))
-    assert row["pred"] == inference.predict_one(spark, str(config.output_dir), str(tmp_path / "one.jpg"))["prediction"]
+    (tmp_path / "one.jpg").write_bytes(png(image))  # the decoder goes by content
+    assert row["pred"] == inference.predict_one(spark, config.out, str(tmp_path / "one.jpg"))["prediction"]
     # stored feature names that don't fit are noticed
     out.write_json("feature_columns.json", ["x"])
     with pytest.raises(ValueError, match="feature columns"):
-        inference.load(spark, str(config.output_dir))
+        inference.load(spark, config.out)
 
 
 def test_two_stages(spark, dataset, tmp_path):
-    config = small(dataset, tmp_path / "two", two_stage_enabled=True, split_mode="stratified_ratio", val_ratio=0.25, minority_classes=("mel",), threshold_search_steps=5, stage2_imbalance_strategy="smote")
+    config = small(dataset, tmp_path / "two", samples={"split": "stratified_ratio", "val_ratio": 0.25}, decision={"two_stage": True, "minority": ("mel",), "steps": 5, "second": "smote"})
     training.run(spark, config)
-    out = Artifacts(spark, str(config.output_dir))
+    out = Artifacts(spark, config.out)
     assert set(out.read_json("thresholds.json")) == set(COLOURS) and out.exists("argmax_metrics.json") and out.exists("thresholded_metrics.json")
-    got = inference.predict_one(spark, str(config.output_dir), str(dataset / "HAM10000_images_part_2" / "I1.jpg"))
+    got = inference.predict_one(spark, config.out, str(dataset / "HAM10000_images_part_2" / "I1.jpg"))
     assert set(got["probabilities"]) == set(COLOURS)
 
 
 def test_rounds(spark, dataset, tmp_path):
-    config = small(dataset, tmp_path / "rounds", model_name="ann", coverage_enabled=True, per_class_limit=7, train_per_class=4, val_per_class=3, ann_hidden_layer_sizes=(16,), ann_max_iter=40)
+    config = small(dataset, tmp_path / "rounds", learner={"kind": "ann", "hidden": (16,), "epochs": 40}, samples={"coverage": True, "per_class": 7, "train": 4, "val": 3})
     summary = training.run(spark, config)
-    out = Artifacts(spark, str(config.output_dir))
+    out = Artifacts(spark, config.out)
     assert summary["rounds"] == 2 and out.read_json("coverage_summary.json") == summary
     assert len(out.read("coverage_metrics.csv").decode().splitlines()) == 3
     assert all(out.exists(n) for n in ("model.zip", "label_classes.json", "round_001/run_config.json", "round_002/metrics.json"))
@@ -93,10 +105,10 @@ def test_metadata_errors(spark, dataset, tmp_path):
     for k in (1, 2):
         (tmp_path / f"HAM10000_images_part_{k}").symlink_to(dataset / f"HAM10000_images_part_{k}")
     with pytest.raises(FileNotFoundError, match="lost"):
-        metadata.load(spark, Config(tmp_path, tmp_path / "x"))
+        metadata.load(spark, Run(str(tmp_path), "x").metadata(), Run(str(tmp_path), "x").roots())
     (tmp_path / "HAM10000_metadata.csv").write_text("id,dx\nI0,nv\n")
     with pytest.raises(ValueError, match="image_id"):
-        metadata.load(spark, Config(tmp_path, tmp_path / "x"))
+        metadata.load(spark, Run(str(tmp_path), "x").metadata(), Run(str(tmp_path), "x").roots())
 
 
 def test_unreadable_image(spark, dataset, tmp_path):
@@ -108,33 +120,66 @@ def test_unreadable_image(spark, dataset, tmp_path):
         extract(images, small(dataset, tmp_path)).collect()
 
 
+def test_images_are_sampled_before_features(spark, dataset, tmp_path):
+    """Ten times the images, half of them unreadable but not drawn: the same number is read and extracted."""
+    root, rng = tmp_path / "more", np.random.default_rng(1)
+    for k in (1, 2):
+        (root / f"HAM10000_images_part_{k}").mkdir(parents=True)
+    lines = ["image_id,dx"]
+    for i in range(360):
+        dx = ("nv", "mel", "bkl")[i % 3]
+        path = root / f"HAM10000_images_part_{1 + i % 2}" / f"I{i}.jpg"
+        path.write_bytes(png(picture(rng, dx)))
+        lines.append(f"I{i},{dx}")
+    (root / "HAM10000_metadata.csv").write_text("\n".join(lines) + "\n")
+    run = small(root, tmp_path / "run", samples={"per_class": 6, "train": 4, "val": 2})
+    rows = metadata.load(spark, run.metadata(), run.roots()).selectExpr("image_id as id", "dx as label", "image_path")
+    drawn = {r["id"] for r in training.sampling.split(rows, run.samples, "label", "id").collect()}
+    for i in range(360):
+        if f"I{i}" not in drawn:
+            (root / f"HAM10000_images_part_{1 + i % 2}" / f"I{i}.jpg").write_bytes(b"no image")
+    training.run(spark, run)
+    got = {r["id"] for r in spark.read.parquet(f"{run.out}/features.parquet").collect()}
+    assert got == drawn and len(got) == 18
+    one = metadata.read_images(spark, rows.where("id in ('I0', 'I1')"), run.roots())
+    assert one.select("image").count() == 2
+    # beyond the limit of listed paths, whole folders are read and joined: the same rows
+    assert metadata.read_images(spark, rows.where("id in ('I0', 'I1')"), run.roots(), listed=1).count() == 2
+
+
 @pytest.mark.parametrize(
-    "changes",
+    "parts",
     [
-        {f"include_{g}": False for g in ("lbp_roi", "lbp_bimf1", "glcm", "hsv", "abcd")}, {"split_mode": "stratified_ratio", "val_ratio": 1.0}, {"split_mode": "x"}, {"model_name": "x"},
-        {"two_stage_enabled": True, "model_name": "ann"}, {"two_stage_enabled": True}, {"two_stage_enabled": True, "svm_probability": True, "coverage_enabled": True},
-        {"coverage_enabled": True, "per_class_limit": None}, {"imbalance_strategy": "x"}, {"svm_gamma": "wide"},
+        {"texture": {g: False for g in ("lbp_roi", "lbp_bimf1", "glcm", "hsv", "abcd")}}, {"texture": {"method": "var"}}, {"samples": {"split": "stratified_ratio", "val_ratio": 1.0}},
+        {"samples": {"split": "x"}}, {"learner": {"kind": "x"}}, {"decision": {"two_stage": True}, "learner": {"kind": "ann"}}, {"decision": {"two_stage": True}},
+        {"decision": {"two_stage": True}, "learner": {"probability": True}, "samples": {"coverage": True}}, {"samples": {"coverage": True, "per_class": None}},
+        {"balancing": {"strategy": "x"}}, {"learner": {"gamma": "wide"}},
     ],
 )
-def test_settings_that_cannot_work(changes):
+def test_settings_that_cannot_work(parts):
+    assert Run("a", "b").checked()
     with pytest.raises(ValueError):
-        Config("a", "b", **changes).checked()
+        Run("a", "b").with_(**parts).checked()
 
 
 def test_command_line():
-    args = ["train", "--dataset-root", "d", "--per-class-limit", "0", "--ann-hidden", "8, 4", "--svm-gamma", "0.25", "--disable-hsv", "--minority-classes", "df, vasc", "--disable-hair-removal", "--disable-clahe"]
-    config = cli.config_of(cli.parser().parse_args(args)).checked()
-    assert config.per_class_limit is None and config.ann_hidden_layer_sizes == (8, 4) and config.gamma() == 0.25
-    assert not config.include_hsv and not config.preprocessing_enabled and config.minority_classes == ("df", "vasc")
-    paper = cli.config_of(cli.parser().parse_args([*args, "--paper-mode"]))
-    assert paper.model_name == "ann" and paper.include_lbp_roi and not paper.include_glcm and paper.per_class_limit == 115
-    assert len(Config.__dataclass_fields__) == 56
+    args = ["train", "--dataset-root", "d", "--per-class-limit", "0", "--ann-hidden", "8, 4", "--svm-gamma", "0.25", "--disable-hsv", "--minority-classes", "df, vasc", "--disable-hair-removal", "--n-jobs", "3"]
+    run = cli.run_of(cli.parser().parse_args(args)).checked()
+    assert run.samples.per_class is None and run.learner.hidden == (8, 4) and float(run.learner.gamma) == 0.25 and run.tasks == 3
+    assert not run.texture.hsv and not run.preparation.hair and run.preparation.light and run.decision.minority == ("df", "vasc")
+    paper = cli.run_of(cli.parser().parse_args([*args, "--paper-mode"]))
+    assert paper.learner.kind == "ann" and paper.texture.lbp_roi and not paper.texture.glcm and paper.samples.per_class == 115
+    assert cli.run_of(cli.parser().parse_args(["train", "--dataset-root", "d"])) == Run("d", "artifacts")
+    assert Run.from_json(paper.to_json()) == paper
 
 
 def test_feature_names():
     from tessera.functions.features import feature_columns
 
-    assert len(feature_columns(Config("a", "b"))) == 560 and len(feature_columns(Config("a", "b").paper_mode())) == 512
+    names = feature_columns(Run("a", "b").texture)
+    assert len(names) == 560 and len(set(names)) == 560 and len(feature_columns(Run("a", "b").paper().texture)) == 512
+    assert names[0] == "lbp_roi_0" and names[511] == "lbp_bimf1_255" and names[512:516] == ["glcm_contrast", "glcm_homogeneity", "glcm_energy", "glcm_correlation"]
+    assert names[516] == "hsv_h_0" and names[540] == "hsv_s_0" and names[-4:] == ["abcd_asymmetry", "abcd_border_irregularity", "abcd_color_var", "abcd_diameter"]
 
 
 def test_heat_map():
@@ -142,11 +187,19 @@ def test_heat_map():
     assert image.shape == (97, 97, 3) and png(image).startswith(b"\x89PNG")
 
 
-def test_networks_take_more_rows_than_kernel_machines(spark):
-    rows = training.MAX_FIT_ROWS + 100
-    df = spark.range(rows).selectExpr("id", "if(id % 2 = 0, 'a', 'b') as label", "array(cast(id % 2 as float), cast(id % 7 as float)) as features")
-    model = training.fit_mlp(df, Config(None, None, ann_hidden_layer_sizes=(4,), ann_max_iter=2))
-    assert model.classes == ["a", "b"]
-    assert model.scaler.mean[0] == pytest.approx(0.5)
-    with pytest.raises(ValueError, match="more than"):
-        training.fit_svm(df, Config(None, None))
+def test_fits_take_any_number_of_rows(spark, tmp_path):
+    """No cap on rows: a network in batches, and a machine whose kernel isn't held whole."""
+    df = spark.range(20_100).selectExpr("id", "if(id % 2 = 0, 'a', 'b') as label", "array(cast(id % 2 as float), cast(id % 7 as float)) as features")
+    learner = Run("a", "b").with_(learner={"hidden": (4,), "epochs": 2}).learner
+    model = training.fit_mlp(df, learner)
+    assert model.classes == ["a", "b"] and model.scaler.mean[0] == pytest.approx(0.5)
+    machine = training.fit_svm(df, learner)
+    assert machine.predict(np.array([[0.0, 3.0], [1.0, 3.0]])).tolist() == ["a", "b"]
+
+
+def test_errors_of_a_prediction_are_not_hidden(spark):
+    df = spark.range(40).selectExpr("id", "if(id % 2 = 0, 'a', 'b') as label", "array(cast(id % 2 as float), cast(id % 7 as float)) as features")
+    model = training.fit_svm(df, Run("a", "b").learner)
+    assert {r["probs"] for r in training.predict(df, model).select("probs").collect()} == {None}
+    with pytest.raises(Exception, match="ValueError"):
+        training.predict(df.withColumn("features", training.F.expr("array(1f)")), model).collect()

@@ -56,6 +56,13 @@ def test_rounds(rows):
         sampling.coverage_rounds(rows, None, "label", "id")
 
 
+def test_large_limits_rank_in_buckets(rows, monkeypatch):
+    """Beyond the limit that Spark applies before the shuffle a class doesn't meet in one task, and the rows are the same."""
+    want = sorted(map(tuple, sampling.first_per_class(rows, 20, "label", "id").select("id", "rn").collect()))
+    monkeypatch.setattr(sampling, "SMALL_LIMIT", 10)
+    assert sorted(map(tuple, sampling.first_per_class(rows, 20, "label", "id").select("id", "rn").collect())) == want
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "id long, label string")
     assert sampling.coverage_rounds(none, 5, "label", "id").count() == 0
@@ -64,9 +71,8 @@ def test_empty(spark):
 
 
 def test_dispatch(rows):
-    class Bad:
-        split_mode = "other"
-
-    with pytest.raises(ValueError, match="split_mode"):
-        sampling.split(rows, Bad())
+    with pytest.raises(ValueError, match="split"):
+        sampling.split(rows, sampling.Samples(split="other"))
+    got = sampling.split(rows, sampling.Samples(train=2, val=1, per_class=None), "label", "id")
+    assert got.count() == 9
     assert [r["idx"] for r in sampling.label_index(rows, "label").orderBy(F.col("label")).collect()] == [0, 1, 2]
