@@ -266,26 +266,34 @@ def inpaint(image: np.ndarray, mask: np.ndarray, radius: int = 3) -> np.ndarray:
 # --- segmentation ---------------------------------------------------------------------------------------------------
 
 
+def checkerboard(rows: int, cols: int) -> np.ndarray:
+    """Where the level set begins."""
+    y, x = np.mgrid[:rows, :cols]
+    return np.sin(np.pi / 5 * y) * np.sin(np.pi / 5 * x)
+
+
+def level_step(phi: np.ndarray, plane: np.ndarray, lambda1: float = 1.0, lambda2: float = 1.0, mu: float = 0.2, dt: float = 0.5) -> np.ndarray:
+    """A semi-implicit step of Chan-Vese segmentation of a plane of values from 0 to 1."""
+    p = np.pad(phi, 1, mode="edge")
+    here, e, w, s, n = p[1:-1, 1:-1], p[1:-1, 2:], p[1:-1, :-2], p[2:, 1:-1], p[:-2, 1:-1]
+    cx, cy = ((e - w) / 2) ** 2, ((s - n) / 2) ** 2
+    ce, cw, cs, cn = (1 / np.sqrt(1e-16 + a) for a in ((e - here) ** 2 + cy, (here - w) ** 2 + cy, (s - here) ** 2 + cx, (here - n) ** 2 + cx))
+    inside = phi > 0
+    mean_in = plane[inside].mean() if inside.any() else 0.0
+    mean_out = plane[~inside].mean() if not inside.all() else 0.0
+    delta = dt / (1 + phi**2)
+    force = lambda2 * (plane - mean_out) ** 2 - lambda1 * (plane - mean_in) ** 2
+    return (phi + delta * (mu * (e * ce + w * cw + s * cs + n * cn) + force)) / (1 + mu * delta * (ce + cw + cs + cn))
+
+
 def level_set(image: np.ndarray, steps: int = 80, lambda1: float = 1.0, lambda2: float = 1.0, mu: float = 0.2, tol: float = 1e-3, dt: float = 0.5) -> np.ndarray:
-    """Chan-Vese segmentation of one plane by semi-implicit steps from a checkerboard; true where the level is positive."""
+    """Chan-Vese segmentation of one plane from a checkerboard; true where the level is positive."""
     span = image.max() - image.min()
     plane = (image - image.min()) / (span if span else 1)
-    y, x = np.mgrid[: plane.shape[0], : plane.shape[1]]
-    phi = np.sin(np.pi / 5 * y) * np.sin(np.pi / 5 * x)
+    phi = checkerboard(*plane.shape)
     for _ in range(steps):
-        p = np.pad(phi, 1, mode="edge")
-        here, e, w, s, n = p[1:-1, 1:-1], p[1:-1, 2:], p[1:-1, :-2], p[2:, 1:-1], p[:-2, 1:-1]
-        cx, cy = ((e - w) / 2) ** 2, ((s - n) / 2) ** 2
-        ce, cw, cs, cn = (1 / np.sqrt(1e-16 + a) for a in ((e - here) ** 2 + cy, (here - w) ** 2 + cy, (s - here) ** 2 + cx, (here - n) ** 2 + cx))
-        inside = phi > 0
-        mean_in = plane[inside].mean() if inside.any() else 0.0
-        mean_out = plane[~inside].mean() if not inside.all() else 0.0
-        delta = dt / (1 + phi**2)
-        force = lambda2 * (plane - mean_out) ** 2 - lambda1 * (plane - mean_in) ** 2
-        new = (phi + delta * (mu * (e * ce + w * cw + s * cs + n * cn) + force)) / (1 + mu * delta * (ce + cw + cs + cn))
-        change = np.sqrt(((new - phi) ** 2).mean())
-        phi = new
-        if change <= tol:
+        before, phi = phi, level_step(phi, plane, lambda1, lambda2, mu, dt)
+        if np.sqrt(((phi - before) ** 2).mean()) <= tol:
             break
     return phi > 0
 

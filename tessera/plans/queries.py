@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions import learners
 from ..operators import balancing, metrics, sampling, scaling, thresholds
 from ..sources import metadata
 
@@ -45,6 +47,12 @@ def lang_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).drop("label").join(docs, "id").select("id", "label", "features")
 
 
+def langs(spark: SparkSession, d: str) -> DataFrame:
+    """``id, label`` of all documents with a language."""
+    return table(spark, d, "documents").where("lang is not null").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+
+
+LD = "ld AS (SELECT doc_id AS id, lang AS label FROM documents WHERE lang IS NOT NULL)"
 V = "v AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS features FROM embeddings)"
 LV = "lv AS (SELECT e.vec_id AS id, d.lang AS label, CAST(e.embedding AS DOUBLE[]) AS features FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id WHERE d.lang IS NOT NULL)"
 
@@ -56,9 +64,9 @@ def _key(id_: str = "id") -> str:
 # --- samples and splits ---------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {LV} SELECT label AS class, count(*) AS count FROM lv GROUP BY label")
+@query(f"WITH {LD} SELECT label AS class, count(*) AS count FROM ld GROUP BY label")
 def class_distribution(spark, d):
-    return sampling.class_counts(lang_vectors(spark, d), "label").orderBy("class")
+    return sampling.class_counts(langs(spark, d), "label").orderBy("class")
 
 
 @query(f"WITH {V}, r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {_key()}, id) AS rn FROM v) SELECT id, label FROM r WHERE rn <= 20")
@@ -90,7 +98,7 @@ def stratified_ratio_split(spark, d):
     return sampling.ratio_split(docs, 0.2, "label", "id").select("id", "label", "split")
 
 
-_ROUNDS = f"""WITH {LV}, r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {_key()}, id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM lv),
+_ROUNDS = f"""WITH {LD}, r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {_key()}, id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM ld),
 k AS (SELECT CAST(ceil(max(n) / 25.0) AS BIGINT) AS rounds FROM r),
 slots AS (SELECT label, n, unnest(range(rounds)) AS round FROM (SELECT DISTINCT label, n FROM r), k),
 cells AS (SELECT label, n, round, unnest(range(25)) AS slot FROM slots),
@@ -101,7 +109,7 @@ rows_ AS (SELECT CAST(p.round AS INTEGER) AS round, CAST(p.slot AS INTEGER) AS s
 
 @query(f"{_ROUNDS} SELECT * FROM rows_")
 def coverage_rounds(spark, d):
-    return sampling.coverage_rounds(lang_vectors(spark, d).select("id", "label"), 25, "label", "id")
+    return sampling.coverage_rounds(langs(spark, d), 25, "label", "id")
 
 
 @query(f"{_ROUNDS} SELECT round, label, count(*) AS n, count(DISTINCT id) AS n_ids FROM rows_ GROUP BY round, label")
@@ -162,22 +170,22 @@ def planes(spark: SparkSession, d: str) -> DataFrame:
 U = "px AS (SELECT id, list(CAST(coalesce(floor((val - low) / nullif(high - low, 0) * 255), 0) AS BIGINT) ORDER BY p) AS u FROM (SELECT vec_id AS id, unnest(range(64)) AS p, unnest(CAST(embedding AS DOUBLE[])) AS val, CAST(list_min(embedding) AS DOUBLE) AS low, CAST(list_max(embedding) AS DOUBLE) AS high FROM embeddings) GROUP BY id)"
 
 
-def cell(dy: int, dx: int, outside: str = "NULL", u: str = "u") -> str:
-    return f"(CASE WHEN p // 8 + {dy} BETWEEN 0 AND 7 AND p % 8 + {dx} BETWEEN 0 AND 7 THEN {u}[p + {8 * dy + dx} + 1] ELSE {outside} END)"
+def cell(dy: int, dx: int, outside: str = "NULL", u: str = "u", w: int = 8) -> str:
+    return f"(CASE WHEN p // {w} + {dy} BETWEEN 0 AND {w - 1} AND p % {w} + {dx} BETWEEN 0 AND {w - 1} THEN {u}[p + {w * dy + dx} + 1] ELSE {outside} END)"
 
 
-def stage(name: str, source: str, value: str) -> str:
-    return f"{name} AS (SELECT id, list(val ORDER BY p) AS u FROM (SELECT id, p, {value} AS val FROM {source}, range(64) r(p)) GROUP BY id)"
+def stage(name: str, source: str, value: str, w: int = 8) -> str:
+    return f"{name} AS (SELECT id, list(val ORDER BY p) AS u FROM (SELECT id, p, {value} AS val FROM {source}, range({w * w}) r(p)) GROUP BY id)"
 
 
-def around(size: int, pick: str) -> str:
+def around(size: int, pick: str, w: int = 8) -> str:
     r = size // 2
-    return f"{pick}({', '.join(cell(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1))})"
+    return f"{pick}({', '.join(cell(a, b, w=w) for a in range(-r, r + 1) for b in range(-r, r + 1))})"
 
 
-def mirrored_mean() -> str:
-    at = lambda axis, k: f"(CASE WHEN {axis} + {k} < 0 THEN -({axis} + {k}) WHEN {axis} + {k} > 7 THEN 14 - ({axis} + {k}) ELSE {axis} + {k} END)"
-    terms = [f"u[8 * {at('p // 8', a)} + {at('p % 8', b)} + 1]" for a in (-1, 0, 1) for b in (-1, 0, 1)]
+def mirrored_mean(w: int = 8) -> str:
+    at = lambda axis, k: f"(CASE WHEN {axis} + {k} < 0 THEN -({axis} + {k}) WHEN {axis} + {k} > {w - 1} THEN {2 * w - 2} - ({axis} + {k}) ELSE {axis} + {k} END)"
+    terms = [f"u[{w} * {at(f'p // {w}', a)} + {at(f'p % {w}', b)} + 1]" for a in (-1, 0, 1) for b in (-1, 0, 1)]
     return f"(({' + '.join(terms)}) / 9.0::DOUBLE)"
 
 
@@ -281,6 +289,74 @@ def patch_bimf1(spark, d):
     return plane_values(spark, d, K.first_mode, "double")
 
 
+def _trend(n: int, source: str, w: int, window: int = 3) -> list[str]:
+    """SQL stages of a plane's trend at a scale of ``w`` cells a side, the last one named ``t{n}``."""
+    k = 8 // w
+    small = stage(f"d{n}", source, f"(({' + '.join(f'u[{k} * (p // {w}) * 8 + {a} * 8 + {k} * (p % {w}) + {b} + 1]' for a in range(k) for b in range(k))}) / {k * k}.0::DOUBLE)", w)
+    names = f"w{n} JOIN hi{n} USING (id) JOIN lo{n} USING (id) JOIN mt{n} USING (id) JOIN ml{n} USING (id)"
+    at = lambda name: f"{name}{n}.u[p + 1]"
+    mean = f"((CASE WHEN {at('w')} >= {at('hi')} THEN {at('w')} ELSE {at('mt')} END) + (CASE WHEN {at('w')} <= {at('lo')} THEN {at('w')} ELSE {at('ml')} END)) / 2"
+    return [
+        small, stage(f"w{n}", f"d{n}", mirrored_mean(w), w), stage(f"hi{n}", f"w{n}", around(window, "greatest", w), w), stage(f"lo{n}", f"w{n}", around(window, "least", w), w),
+        stage(f"mt{n}", f"hi{n}", mirrored_mean(w), w), stage(f"ml{n}", f"lo{n}", mirrored_mean(w), w),
+        f"e{n} AS (SELECT id, list({mean} ORDER BY p) AS u FROM {names}, range({w * w}) r(p) GROUP BY id)",
+        stage(f"up{n}", f"e{n}", f"u[(p // 8 // {k}) * {w} + p % 8 // {k} + 1]"), stage(f"t{n}", f"up{n}", mirrored_mean()),
+    ]
+
+
+@query(f"""WITH {', '.join([U, *_trend(1, 'px', 8), *_trend(2, 't1', 4)])},
+m AS (SELECT id, 1 AS level, p, px.u[p + 1] - t1.u[p + 1] AS v FROM px JOIN t1 USING (id), range(64) r(p) UNION ALL SELECT id, 2, p, t1.u[p + 1] - t2.u[p + 1] FROM t1 JOIN t2 USING (id), range(64) r(p) UNION ALL SELECT id, 0, p, t2.u[p + 1] FROM t2, range(64) r(p))
+SELECT id, CAST(level AS BIGINT) AS level, p // 8 AS y, p % 8 AS x, round(v, 6) + 0 AS value FROM m""")
+def patch_modes(spark, d):
+    """Two modes at two scales, and what is left (level 0), with a window of 3 x 3."""
+
+    def kernel(u):
+        modes, rest = K.decompose(u, 2, 3, 3)
+        out = np.stack([rest, *modes], axis=1)
+        level, y, x = np.indices(out.shape[1:])
+        return {"level": np.broadcast_to(level, out.shape), "y": np.broadcast_to(y, out.shape), "x": np.broadcast_to(x, out.shape), "value": out}
+
+    return run_planes(planes(spark, d), kernel, "level long, y long, x long, value double").withColumn("value", F.round("value", 6) + 0.0)
+
+
+@query(f"WITH {', '.join([U, *_CLOSE])} SELECT id, p // 8 AS y, p % 8 AS x, CAST(b.u[p + 1] - px.u[p + 1] > 10 AS BIGINT) AS value FROM b JOIN px USING (id), range(64) r(p)")
+def patch_hair_mask(spark, d):
+    return plane_values(spark, d, lambda u: K.blackhat(u, 5) > 10)
+
+
+@query(f"WITH {U}, s AS (SELECT id, list_transform(u, lambda x: x // 3) AS u FROM px) SELECT id, p // 8 AS y, p % 8 AS x, CAST(coalesce(floor((u[p + 1] - list_min(u)) * 255.0::DOUBLE / nullif(list_max(u) - list_min(u), 0)), 0) AS BIGINT) AS value FROM s, range(64) r(p)")
+def patch_stretch(spark, d):
+    return plane_values(spark, d, lambda u: K.stretch(u // 3))
+
+
+_LEVEL = ["ph0 AS (SELECT id, list(sin(pi() / 5 * (p // 8)) * sin(pi() / 5 * (p % 8)) ORDER BY p) AS u, list(px.u[p + 1] / 255.0::DOUBLE ORDER BY p) AS f FROM px, range(64) r(p) GROUP BY id)"]
+for _k in (1, 2):
+    _at = lambda dy, dx: f"u[8 * greatest(0, least(7, p // 8 + {dy})) + greatest(0, least(7, p % 8 + {dx})) + 1]"
+    _LEVEL += [
+        f"c{_k} AS (SELECT id, p, f[p + 1] AS f, {_at(0, 0)} AS h, {_at(0, 1)} AS e, {_at(0, -1)} AS w, {_at(1, 0)} AS s, {_at(-1, 0)} AS n FROM ph{_k - 1}, range(64) r(p))",
+        f"m{_k} AS (SELECT id, coalesce(avg(f) FILTER (WHERE h > 0), 0) AS mi, coalesce(avg(f) FILTER (WHERE h <= 0), 0) AS mo FROM c{_k} GROUP BY id)",
+        f"g{_k} AS (SELECT *, 1 / sqrt(1e-16 + pow(e - h, 2) + pow((s - n) / 2, 2)) AS ce, 1 / sqrt(1e-16 + pow(h - w, 2) + pow((s - n) / 2, 2)) AS cw, 1 / sqrt(1e-16 + pow(s - h, 2) + pow((e - w) / 2, 2)) AS cs, 1 / sqrt(1e-16 + pow(h - n, 2) + pow((e - w) / 2, 2)) AS cn, 0.5 / (1 + h * h) AS dl FROM c{_k} JOIN m{_k} USING (id))",
+        f"ph{_k} AS (SELECT id, list((h + dl * (0.2 * (e * ce + w * cw + s * cs + n * cn) + pow(f - mo, 2) - pow(f - mi, 2))) / (1 + 0.2 * dl * (ce + cw + cs + cn)) ORDER BY p) AS u, list(f ORDER BY p) AS f FROM g{_k} GROUP BY id)",
+    ]
+
+
+@query(f"WITH {', '.join([U, *_LEVEL])} SELECT id, p // 8 AS y, p % 8 AS x, round(u[p + 1] + 1e-9, 6) + 0 AS value FROM ph2, range(64) r(p)")
+def patch_level_steps(spark, d):
+    """Two steps of the level set on whole planes (0 to 255 read as 0 to 1)."""
+
+    def kernel(u):
+        out = []
+        for plane in u / 255.0:
+            phi = K.checkerboard(8, 8)
+            for _ in range(2):
+                phi = K.level_step(phi, plane)
+            out.append(phi)
+        return np.stack(out)
+
+    cells = lambda u: (lambda out: dict(zip(("y", "x", "value"), (*(np.broadcast_to(a, out.shape) for a in np.mgrid[:8, :8]), out), strict=True)))(kernel(u))
+    return run_planes(planes(spark, d), cells, "y long, x long, value double").withColumn("value", F.round(F.col("value") + 1e-9, 6) + 0.0)
+
+
 def _pattern() -> str:
     terms = []
     for k in range(8):
@@ -304,6 +380,21 @@ def patch_lbp_hist(spark, d):
     return run_planes(planes(spark, d), kernel, "bin long, share double").where("share > 0").withColumn("share", F.round("share", 6))
 
 
+@query(f"""WITH {U}, {stage('c', 'px', _pattern())}, k AS (SELECT id, p, CAST(u[p + 1] AS BIGINT) AS c FROM c, range(64) r(p)),
+t AS (SELECT id, p, c, bit_count(xor(c, (c >> 1) | ((c & 1) << 7))) AS changes FROM k)
+SELECT id, CASE WHEN changes <= 2 THEN CAST(bit_count(c) AS BIGINT) ELSE 9 END AS code, count(*) AS n FROM t GROUP BY ALL""")
+def patch_lbp_uniform(spark, d):
+    codes = plane_values(spark, d, lambda u: K.lbp(u, method="uniform"))
+    return codes.groupBy("id", F.col("value").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {U}, {stage('c', 'px', _pattern())}, k AS (SELECT id, p, CAST(u[p + 1] AS BIGINT) AS c FROM c, range(64) r(p))
+SELECT id, least({', '.join(f'((c >> {k}) | (c << {8 - k})) & 255' for k in range(8))}) AS code, count(*) AS n FROM k GROUP BY ALL""")
+def patch_lbp_ror(spark, d):
+    codes = plane_values(spark, d, lambda u: K.lbp(u, method="ror"))
+    return codes.groupBy("id", F.col("value").alias("code")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {U}, m AS (SELECT id, median(u[p + 1] // 32) AS m FROM px, range(64) r(p) WHERE u[p + 1] > 127 GROUP BY id) SELECT px.id, CAST(coalesce(floor(m), 0) AS BIGINT) AS roi_median FROM px LEFT JOIN m USING (id)")
 def patch_roi_median(spark, d):
     return run_planes(planes(spark, d), lambda u: {"roi_median": K.roi_median(u // 32, u > 127)}, "roi_median long")
@@ -383,6 +474,41 @@ def rgb_to_hsv_hist(spark, d):
     return out.select("id", F.substring(F.lit("hsv"), (F.col("c") + 1).cast("int"), F.lit(1)).alias("channel"), "bin", F.round("share", 6).alias("share"))
 
 
+def colour_values(spark, d, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``id, y, x`` and the channels ``c0, c1, ...`` of what ``kernel`` makes of a stack (n, 8, 8, 3)."""
+
+    def cells(bgr: np.ndarray) -> dict[str, np.ndarray]:
+        out = kernel(bgr)
+        y, x = np.mgrid[:8, :8]
+        spread = lambda a: np.broadcast_to(a.ravel(), (len(out), 64))
+        return {"y": spread(y), "x": spread(x), **{f"c{k}": out[..., k].astype(np.int64) for k in range(out.shape[-1])}}
+
+    n = kernel(np.zeros((1, 8, 8, 3), np.int64)).shape[-1]
+    return run_colour(_colour(spark, d), cells, "y long, x long, " + ", ".join(f"c{k} long" for k in range(n)))
+
+
+@query(f"WITH {_RGB} SELECT id, p // 8 AS y, p % 8 AS x, CAST((b * 3735 + g * 19235 + r * 9798 + 16384) >> 15 AS BIGINT) AS c0 FROM c")
+def patch_gray(spark, d):
+    return colour_values(spark, d, lambda bgr: K.gray(bgr)[..., None])
+
+
+def _linear(c: str) -> str:
+    return f"(CASE WHEN {c} / 255.0::DOUBLE > 0.04045 THEN pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE {c} / 255.0::DOUBLE / 12.92 END)"
+
+
+def _root(v: str) -> str:
+    return f"(CASE WHEN {v} > 0.008856 THEN cbrt({v}) ELSE 7.787 * {v} + 16 / 116.0::DOUBLE END)"
+
+
+@query(f"""WITH {_RGB}, l AS (SELECT id, p, {_linear('r')} AS r, {_linear('g')} AS g, {_linear('b')} AS b FROM c),
+t AS (SELECT id, p, (r * 0.412453::DOUBLE + g * 0.357580::DOUBLE + b * 0.180423::DOUBLE) / 0.950456::DOUBLE AS x, r * 0.212671::DOUBLE + g * 0.715160::DOUBLE + b * 0.072169::DOUBLE AS y, (r * 0.019334::DOUBLE + g * 0.119193::DOUBLE + b * 0.950227::DOUBLE) / 1.088754::DOUBLE AS z FROM l),
+f AS (SELECT id, p, y, {_root('x')} AS fx, {_root('y')} AS fy, {_root('z')} AS fz FROM t)
+SELECT id, p // 8 AS y, p % 8 AS x, CAST(greatest(0, least(255, round_even((CASE WHEN y > 0.008856 THEN 116 * fy - 16 ELSE 903.3 * y END) * 255 / 100, 0))) AS BIGINT) AS c0,
+  CAST(greatest(0, least(255, round_even(500 * (fx - fy) + 128, 0))) AS BIGINT) AS c1, CAST(greatest(0, least(255, round_even(200 * (fy - fz) + 128, 0))) AS BIGINT) AS c2 FROM f""")
+def patch_lab(spark, d):
+    return colour_values(spark, d, K.bgr_to_lab)
+
+
 @query(f"WITH {_RGB}, s AS (SELECT id, stddev_pop(b) AS b, stddev_pop(g) AS g, stddev_pop(r) AS r FROM c WHERE b > 127 GROUP BY id) SELECT id, round((b + g + r) / 3, 6) AS color_std FROM s")
 def patch_color_std(spark, d):
     kernel = lambda bgr: {"color_std": np.array([c[c[..., 0] > 127].astype(float).std(axis=0).mean() for c in bgr])}
@@ -444,6 +570,20 @@ def tile_histogram_clip(spark, d):
     return run_planes(planes(spark, d), kernel, "tile long, bin long, clipped long, excess long").where("clipped > 0")
 
 
+_CORNERS = " + ".join(f"({'fy' if a else '(1 - fy)'}) * ({'fx' if b else '(1 - fx)'}) * max(m) FILTER (WHERE tile = 2 * greatest(0, least(1, y0 + {a})) + greatest(0, least(1, x0 + {b})))" for a in (0, 1) for b in (0, 1))
+
+
+@query(f"""WITH {U}, h AS (SELECT id, (p // 32) * 2 + (p % 8) // 4 AS tile, u[p + 1] AS bin, count(*) AS n FROM px, range(64) r(p) GROUP BY ALL),
+rest AS (SELECT id, tile, sum(n - least(n, 2)) AS over FROM h GROUP BY ALL),
+cells AS (SELECT id, p, u[p + 1] AS v, floor(p // 8 / 4.0::DOUBLE - 0.5) AS y0, floor(p % 8 / 4.0::DOUBLE - 0.5) AS x0, p // 8 / 4.0::DOUBLE - 0.5 - floor(p // 8 / 4.0::DOUBLE - 0.5) AS fy, p % 8 / 4.0::DOUBLE - 0.5 - floor(p % 8 / 4.0::DOUBLE - 0.5) AS fx FROM px, range(64) r(p)),
+below AS (SELECT c.id, c.p, c.v, c.y0, c.x0, c.fy, c.fx, h.tile, sum(CASE WHEN h.bin <= c.v THEN least(h.n, 2) ELSE 0 END) AS held FROM cells c JOIN h ON h.id = c.id GROUP BY ALL),
+map AS (SELECT b.*, least(255, round_even((held + CASE WHEN over > 0 THEN least(over, v // greatest(256 // over, 1) + 1) ELSE 0 END) * (255 / 16.0::DOUBLE), 0)) AS m FROM below b JOIN rest USING (id, tile))
+SELECT id, p // 8 AS y, p % 8 AS x, CAST(round_even({_CORNERS}, 0) AS BIGINT) AS value FROM map GROUP BY id, p, y0, x0, fy, fx""")
+def patch_clahe(spark, d):
+    """Four tiles of 4 x 4 cells, two of a value at most, the excess spread, tables blended between tile centres."""
+    return plane_values(spark, d, lambda u: np.stack([K.clahe(p, 40.0, (2, 2)) for p in u]))
+
+
 # --- scaling and neighbours -----------------------------------------------------------------------------------------
 
 _LONG = f"{V}, l AS (SELECT id, label, unnest(range(64)) AS dim, unnest(features) AS v FROM v), s AS (SELECT dim, avg(v) AS mean, stddev_pop(v) AS std FROM l GROUP BY dim)"
@@ -465,9 +605,9 @@ def gamma_scale(spark, d):
     return scaling.gamma_scale(vectors(spark, d)).select(F.round("gamma", 6).alias("gamma"))
 
 
-@query(f"WITH {LV}, c AS (SELECT label, count(*) AS n FROM lv GROUP BY label) SELECT label AS class, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM c")
+@query(f"WITH {LD}, c AS (SELECT label, count(*) AS n FROM ld GROUP BY label) SELECT label AS class, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM c")
 def class_weights(spark, d):
-    return scaling.class_weights(lang_vectors(spark, d)).select("class", F.round("weight", 6).alias("weight"))
+    return scaling.class_weights(langs(spark, d)).select("class", F.round("weight", 6).alias("weight"))
 
 
 def _near(source: str, same: bool, k: int) -> str:
@@ -512,6 +652,72 @@ def enn_keep(spark, d):
     return balancing.vote_keeps(vectors(spark, d))
 
 
+@query(f"""WITH {_TARGETS}, {_near('lv', True, 5).replace('dist AS', 'sd AS').replace('nn AS', 'sn AS').replace('FROM dist', 'FROM sd')}, r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {_key()}, id) AS rn FROM lv),
+slots AS (SELECT label, n, unnest(range(n_new)) AS slot FROM t),
+pick AS (SELECT label, slot, {_draw('base')} % n + 1 AS rn, {_draw('near')} % 5 + 1 AS rank, {_draw('u')} / 4294967296.0::DOUBLE AS u FROM slots),
+g AS (SELECT p.label, p.slot, r.id AS base_id, sn.nn_id, p.u FROM pick p JOIN r USING (label, rn) JOIN sn ON sn.id = r.id AND sn.rank = p.rank),
+whole AS MATERIALIZED (SELECT CAST(id AS VARCHAR) AS id, label, features FROM lv UNION ALL
+  SELECT 'new:' || g.label || ':' || g.slot, g.label, list_transform(list_zip(a.features, b.features), lambda z: z[1] + g.u * (z[2] - z[1])) FROM g JOIN lv a ON a.id = g.base_id JOIN lv b ON b.id = g.nn_id),
+{_near('whole', False, 3)}, votes AS (SELECT id, nn_label, count(*) AS n FROM nn GROUP BY ALL),
+w AS (SELECT id, nn_label AS vote FROM votes QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, nn_label) = 1),
+m AS (SELECT label FROM whole GROUP BY label ORDER BY count(*), label LIMIT 1)
+SELECT x.id, x.label FROM whole x JOIN w USING (id) WHERE x.label = (SELECT label FROM m) OR w.vote = x.label""")
+def smoteenn_rows(spark, d):
+    """Oversampling, then cleaning: the chain as a run takes it."""
+    return balancing.balance(lang_vectors(spark, d), "smoteenn").select("id", "label")
+
+
+_MACHINE = """l AS (SELECT label, unnest(range(64)) AS dim, unnest(features) AS x FROM v), m AS (SELECT label, dim, avg(x) AS m FROM l GROUP BY ALL),
+sv AS (SELECT list(m ORDER BY dim) AS features, ((CAST(label AS INTEGER) % 7) - 3) / 10.0::DOUBLE AS coef FROM m GROUP BY label)"""
+
+
+def class_means(rows: DataFrame) -> list:
+    """Rows ``label, c``: the mean vector of each class, classes in order."""
+    long = rows.select("label", F.posexplode("features").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return long.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("c")).orderBy("label").collect()
+
+
+@query(f"WITH {V}, {_MACHINE} SELECT v.id, round(sum(coef * exp(-0.02::DOUBLE * pow(array_distance(CAST(v.features AS DOUBLE[64]), CAST(sv.features AS DOUBLE[64])), 2))) + 0.25, 9) AS score FROM v, sv GROUP BY v.id")
+def svm_scores(spark, d):
+    """Decision values of a machine whose vectors and dual variables are given: the classes' means, (class mod 7 - 3) / 10."""
+    rows = vectors(spark, d)
+    means = class_means(rows)
+    pair = learners.PairMachine(("a", "b"), np.array([r["c"] for r in means]), np.array([(int(r["label"]) % 7 - 3) / 10 for r in means]), 0.25)
+    model = learners.SvmModel(["a", "b"], learners.Scaler(np.zeros(64), np.ones(64)), 0.02, [pair])
+    shared = spark.sparkContext.broadcast(model)  # a vector a class
+
+    @F.pandas_udf("double")
+    def score(features: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.scores(np.stack(features.to_numpy()))[:, 0] if len(features) else [], dtype="float64")
+
+    return rows.select("id", F.round(score("features"), 9).alias("score"))
+
+
+_NET = f"""{V}, l AS (SELECT id, label, unnest(range(64)) AS i, unnest(features) AS x FROM v), n AS (SELECT count(*) AS n FROM v),
+h AS (SELECT id, label, j, sum(x * (((i * 4 + j) % 7) - 3) / 20.0::DOUBLE) + j / 50.0::DOUBLE AS a FROM l, range(4) r(j) GROUP BY id, label, j),
+z AS (SELECT id, label, k, sum(greatest(a, 0) * (((j * 10 + k) % 5) - 2) / 10.0::DOUBLE) AS z FROM h, range(10) r(k) GROUP BY ALL),
+p AS (SELECT id, label, k, exp(z) / sum(exp(z)) OVER (PARTITION BY id) AS p FROM z),
+b AS (SELECT id, k, (p - CASE WHEN label = CAST(k AS VARCHAR) THEN 1 ELSE 0 END) / n AS b FROM p, n),
+back AS (SELECT h.id, h.j, sum(b * (((h.j * 10 + b.k) % 5) - 2) / 10.0::DOUBLE) * (CASE WHEN any_value(a) > 0 THEN 1 ELSE 0 END) AS b FROM h JOIN b USING (id) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_NET}, g AS (SELECT 1 AS layer, i AS row, j AS col, sum(x * b) + 0.1::DOUBLE * (((i * 4 + j) % 7) - 3) / 20.0::DOUBLE / any_value(n) AS g FROM l JOIN back USING (id), n GROUP BY i, j
+UNION ALL SELECT 2, j, k, sum(greatest(a, 0) * b) + 0.1::DOUBLE * (((j * 10 + k) % 5) - 2) / 10.0::DOUBLE / any_value(n) FROM h JOIN b USING (id), n GROUP BY j, k)
+SELECT CAST(layer AS BIGINT) AS layer, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(g, 9) + 0 AS gradient FROM g""")
+def mlp_gradients(spark, d):
+    """Gradients of one batch, all rows, for a network of given weights with four hidden units."""
+    i, j, k = np.arange(64)[:, None], np.arange(4), np.arange(10)
+    layers = [((i * 4 + j) % 7 - 3) / 20, j / 50], [((j[:, None] * 10 + k) % 5 - 2) / 10, np.zeros(10)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, grads = learners.mlp_gradients(np.stack(pdf["features"].to_numpy()).astype(np.float64), np.eye(10)[pdf["label"].astype(int)], [tuple(x) for x in layers], 0.1)
+        parts = [(np.full(g.size, n + 1), *(a.ravel() for a in np.indices(g.shape)), g.ravel()) for n, (g, _) in enumerate(grads)]
+        return pd.DataFrame(dict(zip(("layer", "row", "col", "gradient"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
+
+    rows = vectors(spark, d).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "layer long, row long, col long, gradient double")  # one task, as a fit is
+    return rows.withColumn("gradient", F.round("gradient", 9) + 0.0)
+
+
 # --- decisions and metrics ------------------------------------------------------------------------------------------
 
 LABELS = [str(k) for k in range(10)]
@@ -520,8 +726,7 @@ LABELS = [str(k) for k in range(10)]
 def centroid_scores(spark: SparkSession, d: str) -> DataFrame:
     """``id, truth, cls, k, p``: softmax of negative distances to the classes' mean vectors, rounded."""
     v = vectors(spark, d)
-    long = v.select("label", F.posexplode("features").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    means = long.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("c")).orderBy("label").collect()  # a vector a class
+    means = class_means(v)
     each = []
     for k, row in enumerate(means):
         square = F.aggregate(F.zip_with("features", F.array(*[F.lit(x) for x in row["c"]]), lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)), F.lit(0.0), lambda a, x: a + x)
@@ -623,13 +828,29 @@ def threshold_grid_objective(spark, d):
     return rows.select("g", F.round("thr", 9).alias("thr"), F.round("objective", 9).alias("objective"))
 
 
-@query()
+def _search(minority: tuple[str, ...]) -> str:
+    """The pass over the classes as a chain of CTEs: each finds its class's best point with the limits found before."""
+    parts = [_SCORES.replace("sc AS (", "sc AS MATERIALIZED ("), f"points AS (SELECT * FROM (VALUES {_POINTS}) t(g, thr))", "b0 AS (SELECT DISTINCT cls, 0.5::DOUBLE AS thr FROM sc)"]
+    for k, c in enumerate([x for x in LABELS if x in minority] + [x for x in LABELS if x not in minority], 1):
+        floor = f" - greatest(0, 0.2 - coalesce(max(CASE WHEN class = '{c}' THEN (CASE WHEN support > 0 THEN tp / support ELSE 0 END) END), 0))" if c in minority else ""
+        parts += [
+            f"d{k} AS (SELECT g, id, truth, sc.cls AS pred FROM sc JOIN b{k - 1} b ON b.cls = sc.cls, points QUALIFY row_number() OVER (PARTITION BY g, id ORDER BY p / greatest(CASE WHEN sc.cls = '{c}' THEN points.thr ELSE b.thr END, 1e-6::DOUBLE) DESC, sc.cls) = 1)",
+            f"c{k} AS (SELECT g, truth, pred, count(*) AS n FROM d{k} GROUP BY ALL)",
+            f"s{k} AS (SELECT g, class, sum(tp) AS tp, sum(support) AS support, sum(predicted) AS predicted FROM (SELECT g, truth AS class, CASE WHEN truth = pred THEN n ELSE 0 END AS tp, n AS support, 0 AS predicted FROM c{k} UNION ALL SELECT g, pred, 0, 0, n FROM c{k}) GROUP BY ALL)",
+            f"o{k} AS (SELECT g, sum(CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0 END) / 10{floor} AS objective FROM s{k} GROUP BY g)",
+            f"t{k} AS MATERIALIZED (SELECT thr FROM o{k} JOIN points USING (g) ORDER BY round(objective, 12) DESC, g LIMIT 1)",
+            f"b{k} AS MATERIALIZED (SELECT cls, CASE WHEN cls = '{c}' THEN (SELECT thr FROM t{k}) ELSE thr END AS thr FROM b{k - 1})",
+        ]
+    return f"WITH {', '.join(parts)} SELECT cls, round(thr, 9) AS thr FROM b{len(LABELS)}"
+
+
+@query(_search(("3", "7")))
 def threshold_search(spark, d):
-    """The whole pass; a chain of ten dependent jobs, held against brute force in the tests."""
+    """The whole pass, a chain of ten dependent jobs."""
     scored = _scored(spark, d).persist()
     found = thresholds.search(scored, LABELS, ("3", "7"))
     scored.unpersist()
-    return thresholds.as_table(spark, found)
+    return thresholds.as_table(spark, found).withColumn("thr", F.round("thr", 9))
 
 
 _BY_ROUND = _ROUNDS[5:] + f""", {_SCORES}, dd AS ({_decide()}), d AS (SELECT rows_.round, dd.truth, dd.pred FROM rows_ JOIN dd USING (id)),

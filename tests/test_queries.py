@@ -19,8 +19,6 @@ def tables():
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query(spark, tables, name):
-    if name == "threshold_search":
-        pytest.skip("no SQL")
     want = tables.execute(queries.SQL[name])
     names = [c[0] for c in want.description]
     got = queries.QUERIES[name](spark, SF)
