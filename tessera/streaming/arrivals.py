@@ -1,9 +1,7 @@
-"""Predictions for images as they arrive: the batch plan of ``plans.inference`` on a stream of a folder."""
+"""Predictions for images as they arrive: the batch plan of ``plans.inference`` on the files of each micro-batch."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,27 +9,23 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.inference import Bundle, predict_images
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
+#: Files of a micro-batch at most; their paths pass through the driver.
+AT_ONCE = 1000
 
 
-def decode(files: DataFrame) -> DataFrame:
-    """``path, image`` of rows of the binary-file source, for uncompressed 8-bit PPM images (the image source itself
-    can't be a stream)."""
-    @F.pandas_udf("origin string, height int, width int, nChannels int, mode int, data binary")
-    def run(path: pd.Series, content: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, c in zip(path, content, strict=True):
-            head = c.split(None, 4)
-            ok = len(head) == 5 and head[0] == b"P6" and head[3] == b"255"
-            w, h = (int(head[1]), int(head[2])) if ok else (-1, -1)
-            data = np.frombuffer(c[len(c) - 3 * w * h :], np.uint8).reshape(-1, 3)[:, ::-1].tobytes() if ok else b""
-            rows.append((p, h, w, 3, 16, data))
-        return pd.DataFrame(rows, columns=["origin", "height", "width", "nChannels", "mode", "data"])
+def predict_arrivals(spark: SparkSession, folder: str, bundle: Bundle, out: str, checkpoint: str, suffix: str = ".jpg", once: bool = True, at_once: int = AT_ONCE) -> StreamingQuery:
+    """Write ``path, pred, probabilities`` of new images under ``folder`` to Parquet files at ``out``, one folder
+    ``batch=n`` for each micro-batch, overwritten if the batch is run again: each image is reported once. The stream
+    carries paths; images are read by Spark's image source, which can't be a stream itself. An image that can't be
+    decoded ends the stream with an error that names it."""
+    files = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", f"*{suffix}").option("maxFilesPerTrigger", at_once).load(folder).select("path")
 
-    return files.select("path", run("path", "content").alias("image"))
+    def predict(batch: DataFrame, number: int) -> None:
+        paths = [r["path"] for r in batch.collect()]
+        if paths:
+            images = batch.sparkSession.read.format("image").option("dropInvalid", False).load(paths)
+            found = predict_images(images.select(F.col("image.origin").alias("path"), "image"), bundle)
+            found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-
-def predict_arrivals(spark: SparkSession, folder: str, bundle: Bundle, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append ``path, pred, probabilities`` of new images under ``folder`` to Parquet files at ``out``."""
-    files = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.ppm").load(folder)
-    writer = predict_images(decode(files), bundle).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    writer = files.writeStream.foreachBatch(predict).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

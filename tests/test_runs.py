@@ -64,18 +64,19 @@ def test_run_and_inference(spark, dataset, tmp_path):
     one = inference.predict_one(spark, config.out, str(dataset / "HAM10000_images_part_1" / "I0.jpg"))
     assert one["prediction"] in COLOURS and sum(one["probabilities"].values()) == pytest.approx(1, abs=1e-5)
     assert json.loads(inference.as_json(one)) == one
-    # images that arrive as a stream get the same predictions
+    # images that arrive as a stream get the same predictions, each once
     from tessera.streaming.arrivals import predict_arrivals
 
-    source = tmp_path / "arrivals"
+    source, said = tmp_path / "arrivals", str(tmp_path / "said")
     source.mkdir()
-    image = picture(np.random.default_rng(9), "mel")
-    (source / "a.ppm").write_bytes(b"P6 24 24 255\n" + image.tobytes())
-    stream = predict_arrivals(spark, str(source), inference.load(spark, config.out), str(tmp_path / "said"), str(tmp_path / "state"))
-    stream.awaitTermination(120)
-    (row,) = spark.read.parquet(str(tmp_path / "said")).collect()
-    (tmp_path / "one.jpg").write_bytes(png(image))  # the decoder goes by content
-    assert row["pred"] == inference.predict_one(spark, config.out, str(tmp_path / "one.jpg"))["prediction"]
+    bundle = inference.load(spark, config.out)
+    for turn, names in enumerate((["a", "b", "c"], ["d"])):
+        for k, name in enumerate(names):
+            jpeg(spark, source / f"{name}.jpg", picture(np.random.default_rng(9 + turn + k), "mel"))
+        predict_arrivals(spark, str(source), bundle, said, str(tmp_path / "state"), at_once=2).awaitTermination(120)
+    rows = {r["path"].rpartition("/")[2]: r["pred"] for r in spark.read.parquet(said).collect()}
+    assert spark.read.parquet(said).count() == 4 and set(rows) == {f"{n}.jpg" for n in "abcd"}
+    assert all(rows[n] == inference.predict_one(spark, config.out, str(source / n))["prediction"] for n in rows)
     # stored feature names that don't fit are noticed
     out.write_json("feature_columns.json", ["x"])
     with pytest.raises(ValueError, match="feature columns"):
@@ -129,7 +130,7 @@ def test_images_are_sampled_before_features(spark, dataset, tmp_path):
     for i in range(360):
         dx = ("nv", "mel", "bkl")[i % 3]
         path = root / f"HAM10000_images_part_{1 + i % 2}" / f"I{i}.jpg"
-        path.write_bytes(png(picture(rng, dx)))
+        path.write_bytes(png(picture(rng, dx)))  # the decoder goes by content
         lines.append(f"I{i},{dx}")
     (root / "HAM10000_metadata.csv").write_text("\n".join(lines) + "\n")
     run = small(root, tmp_path / "run", samples={"per_class": 6, "train": 4, "val": 2})
