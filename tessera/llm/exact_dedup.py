@@ -35,8 +35,8 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
 
     Null text counts as empty, and empty texts are equal to each other. The smallest id of a group stays; null ids are
     larger than all others (a group of null ids alone keeps them all, with a null ``keep_id``). Rows that repeat id and
-    text can't be told apart and share one verdict; they count in ``group_size``. Other columns are ignored. An empty
-    table gives no rows. ``digest`` is a parameter for tests of colliding digests."""
+    text can't be told apart and share one verdict; they count in ``group_size``. Texts of any length are compared whole.
+    Other columns are ignored. An empty table gives no rows. ``digest`` is a parameter for tests of colliding digests."""
     id_ = F.col("doc_id").cast("long")
     rows = docs.select(id_.alias("doc_id"), normalised(F.col("text")).alias("content"))
     rows = rows.select("doc_id", "content", digest(F.col("content")).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))

@@ -166,8 +166,8 @@ def training_rows(docs: DataFrame, learn: F.Column, label: str = "lang", rows: i
 def identify(docs: DataFrame, learn: F.Column, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, lang_pred, score, accepted``, one row for each row of ``docs`` (``doc_id, text, lang``; other columns
     are ignored). The model is fitted on rows for which ``learn`` holds and which have a language. Null texts and texts
-    without a letter are ``und`` with score 0; ``accepted`` tells whether the score passes the calibrated rejection.
-    Repeated rows are returned repeatedly. Without any labelled row all predictions are ``und``; an empty table gives
+    without a letter are ``und`` with score 0; texts of any length count whole; of equal scores the first language wins; ``accepted`` tells whether the score passes the calibrated rejection.
+    Repeated rows are returned repeatedly and null ids are kept, but an id is learned from once and a null id never. Without any labelled row all predictions are ``und``; an empty table gives
     no rows."""
     model = fit(*training_rows(docs, learn, rows=sample_rows))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language

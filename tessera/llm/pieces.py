@@ -455,7 +455,8 @@ def coder(path: str, kind: int | None = None) -> Coder:
 
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, ids`` of each row of ``docs`` (``doc_id, text``; other columns are ignored). Null and empty texts have
-    no ids. Repeated rows are returned repeatedly, null ids are kept, an empty table gives no rows."""
+    no ids. Texts and words of any length are taken whole. Repeated rows are returned repeatedly, null ids are kept, an
+    empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model)

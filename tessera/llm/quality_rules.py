@@ -112,7 +112,9 @@ def judge_hosts(flags: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
 def quality_rules(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """``doc_id``, the base columns, ``base_failed``, ``host_rate`` and ``kept``, one row for each row of ``docs``
     (``doc_id, text, source``; other columns are ignored). Null and empty texts have no words and fail. Rows without a
-    source have no host, a null ``host_rate``, and are judged by the base rules alone. Repeated rows all count."""
+    source have no host, a null ``host_rate``, and are judged by the base rules alone. Repeated rows all count and are
+    returned repeatedly, null ids are kept, texts of any length count whole. A rate of exactly ``max_rate`` passes. An empty
+    table gives no rows."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), host_of(F.col("source")).alias("host"))
     stats = annotate(base).select("doc_id", "host", "__rules.*", failed().alias("base_failed"))
     stats = materialize(stats, "rule-stats")

@@ -312,7 +312,8 @@ def simhash(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, chunk: in
     """``doc_id, fingerprint, component_id`` of each row of ``docs`` (``doc_id, text``; other columns are ignored).
     ``component_id`` is the smallest id reachable over links. Null and empty texts have fingerprint zero and link like
     any other. Null ids are no candidates for ``component_id`` (null if a component has no other). Repeated rows are
-    returned repeatedly. An empty table gives no rows."""
+    returned repeatedly, texts of any length count whole, and a bit that exactly half of the shingles have is 0. An empty
+    table gives no rows."""
     rows = materialize(with_fingerprints(docs, words), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     n, total = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()

@@ -262,7 +262,7 @@ def file_starts(rows: DataFrame, run: int = FILE_RUN) -> DataFrame:
 def encode_corpus(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, file_bytes: int = 8 << 20) -> tuple[str, np.ndarray]:
     """Encode every document into token-id files of about ``file_bytes`` of ids before coding; returns the folder and
     the code lengths. Null texts count as empty (the end id alone), null ids sort first, repeated rows are written
-    repeatedly, other columns are ignored; an empty input gives a folder without documents."""
+    repeatedly, rows of one id come in the order of their numbers of ids, texts of any length are written whole, other columns are ignored; an empty input gives a folder without documents."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-files")
     table = materialize(tokenize(docs, tokenizer, end_id), "token-ids")

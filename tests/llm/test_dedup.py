@@ -52,7 +52,20 @@ def test_stages_keep_columns_and_first_rows(corpus, hostile):
     kept = exact_dedup.drop_copies(corpus)
     assert kept.columns == corpus.columns
     assert {r[0] for r in kept.select("doc_id").collect()} == set(range(160)) - set(range(140, 150))
-    assert exact_dedup.drop_copies(hostile).columns == hostile.columns == simhash.keep_first(hostile).columns
+    rows = hostile.select("doc_id", "text").collect()
+    parts = {normal: {} for normal in (normal, fingerprint)}
+    for key, groups in parts.items():
+        for r in rows:
+            groups.setdefault(key(r["text"]), []).append(r["doc_id"])
+    got = exact_dedup.drop_copies(hostile)
+    assert got.columns == hostile.columns
+    first = {least(g) for g in parts[normal].values()}
+    assert sorted(repr((r["doc_id"], r["text"])) for r in got.collect()) == sorted(repr((r["doc_id"], r["text"])) for r in rows if r["doc_id"] in first)
+    got = simhash.keep_first(hostile)
+    assert got.columns == hostile.columns
+    names = brute_components([r["doc_id"] for r in rows], [fingerprint(r["text"]) for r in rows])
+    first = {n for n in names if n is not None}
+    assert sorted(repr((r["doc_id"], r["text"])) for r in got.collect()) == sorted(repr((r["doc_id"], r["text"])) for r in rows if r["doc_id"] is None or r["doc_id"] in first)
 
 
 def fingerprint(text):
