@@ -116,35 +116,44 @@ def smo(kernel: np.ndarray | KernelRows, y: np.ndarray, limit: np.ndarray, tol:
     return alpha, float((high + least) / 2)
 
 
-def platt(scores: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """a, b of the sigmoid 1 / (1 + exp(a * score + b)), by damped Newton steps on smoothed targets."""
+def sigmoid_targets(y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Smoothed targets of labels (positive or not), and the offset that fits them without scores."""
     n1 = int((y > 0).sum())
     n0 = len(y) - n1
-    t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 0.0, np.log((n0 + 1) / (n1 + 1))
+    return np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), float(np.log((n0 + 1) / (n1 + 1)))
+
+
+def sigmoid_move(scores: np.ndarray, t: np.ndarray, a: float, b: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log loss of 1 / (1 + exp(a * score + b)) and the Newton step from there."""
+    p = 1 / (1 + np.exp(np.clip(a * scores + b, -500, 500)))
+    d, w = t - p, np.maximum(p * (1 - p), 1e-12)
+    g = np.array([(scores * d).sum(), d.sum()])
+    h = np.array([[(scores**2 * w).sum() + 1e-12, (scores * w).sum()], [(scores * w).sum(), w.sum() + 1e-12]])
+    return g, -np.linalg.solve(h, g)
+
 
-    def loss(a: float, b: float) -> float:
-        z = a * scores + b
+def platt(scores: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """a, b of the sigmoid 1 / (1 + exp(a * score + b)), by damped Newton steps on smoothed targets."""
+    t, offset = sigmoid_targets(y)
+    at = np.array([0.0, offset])
+
+    def loss(ab: np.ndarray) -> float:
+        z = ab[0] * scores + ab[1]
         return float((np.logaddexp(0, z) - (1 - t) * z).sum())
 
-    now = loss(a, b)
+    now = loss(at)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(a * scores + b, -500, 500)))
-        d, w = t - p, np.maximum(p * (1 - p), 1e-12)
-        g = np.array([(scores * d).sum(), d.sum()])
+        g, move = sigmoid_move(scores, t, *at)
         if np.abs(g).max() < 1e-5:
             break
-        h = np.array([[(scores**2 * w).sum() + 1e-12, (scores * w).sum()], [(scores * w).sum(), w.sum() + 1e-12]])
-        move, size = -np.linalg.solve(h, g), 1.0
-        while size > 1e-10:
-            new = loss(a + size * move[0], b + size * move[1])
-            if new < now + 1e-4 * size * float(g @ move):
-                break
+        size = 1.0
+        while size > 1e-10 and loss(at + size * move) >= now + 1e-4 * size * float(g @ move):
             size /= 2
-        else:
+        if size <= 1e-10:
             break
-        a, b, now = a + size * move[0], b + size * move[1], new
-    return float(a), float(b)
+        at = at + size * move
+        now = loss(at)
+    return float(at[0]), float(at[1])
 
 
 def couple(pairwise: np.ndarray) -> np.ndarray:

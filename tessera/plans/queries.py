@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import learners
+from ..functions.features import Texture, feature_columns
 from ..operators import balancing, metrics, sampling, scaling, thresholds
 from ..sources import metadata
 
@@ -61,6 +62,16 @@ def _key(id_: str = "id") -> str:
     return f"md5('42:' || {id_})"
 
 
+@query("""SELECT CAST(row_number() OVER (ORDER BY g, n) - 1 AS INTEGER) AS pos, name FROM (
+  SELECT 0 AS g, i AS n, 'lbp_roi_' || i AS name FROM range(256) r(i) UNION ALL SELECT 1, i, 'lbp_bimf1_' || i FROM range(256) r(i)
+  UNION ALL SELECT 2, i, 'glcm_' || ['contrast', 'homogeneity', 'energy', 'correlation'][i + 1] FROM range(4) r(i)
+  UNION ALL SELECT 3 + c, i, 'hsv_' || ['h', 's', 'v'][c + 1] || '_' || i FROM range(3) t(c), range(24) r(i) WHERE c = 0 OR i < 8
+  UNION ALL SELECT 6, i, 'abcd_' || ['asymmetry', 'border_irregularity', 'color_var', 'diameter'][i + 1] FROM range(4) r(i))""")
+def feature_names(spark, d):
+    """Names and places of the 560 features."""
+    return spark.createDataFrame(list(enumerate(feature_columns(Texture()))), "pos int, name string")
+
+
 # --- samples and splits ---------------------------------------------------------------------------------------------
 
 
@@ -652,6 +663,12 @@ def enn_keep(spark, d):
     return balancing.vote_keeps(vectors(spark, d))
 
 
+@query(f"WITH {LV} SELECT CAST(id AS VARCHAR) AS id, label FROM lv")
+def balance_none(spark, d):
+    """Rows as they are, without a strategy."""
+    return balancing.balance(lang_vectors(spark, d), "none").select("id", "label")
+
+
 @query(f"""WITH {_TARGETS}, {_near('lv', True, 5).replace('dist AS', 'sd AS').replace('nn AS', 'sn AS').replace('FROM dist', 'FROM sd')}, r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {_key()}, id) AS rn FROM lv),
 slots AS (SELECT label, n, unnest(range(n_new)) AS slot FROM t),
 pick AS (SELECT label, slot, {_draw('base')} % n + 1 AS rn, {_draw('near')} % 5 + 1 AS rank, {_draw('u')} / 4294967296.0::DOUBLE AS u FROM slots),
@@ -677,9 +694,8 @@ def class_means(rows: DataFrame) -> list:
     return long.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("c")).orderBy("label").collect()
 
 
-@query(f"WITH {V}, {_MACHINE} SELECT v.id, round(sum(coef * exp(-0.02::DOUBLE * pow(array_distance(CAST(v.features AS DOUBLE[64]), CAST(sv.features AS DOUBLE[64])), 2))) + 0.25, 9) AS score FROM v, sv GROUP BY v.id")
-def svm_scores(spark, d):
-    """Decision values of a machine whose vectors and dual variables are given: the classes' means, (class mod 7 - 3) / 10."""
+def _machine_scores(spark, d) -> DataFrame:
+    """``id, label, score`` of a machine with the classes' means as vectors and (class mod 7 - 3) / 10 as dual variables."""
     rows = vectors(spark, d)
     means = class_means(rows)
     pair = learners.PairMachine(("a", "b"), np.array([r["c"] for r in means]), np.array([(int(r["label"]) % 7 - 3) / 10 for r in means]), 0.25)
@@ -690,7 +706,31 @@ def svm_scores(spark, d):
     def score(features: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores(np.stack(features.to_numpy()))[:, 0] if len(features) else [], dtype="float64")
 
-    return rows.select("id", F.round(score("features"), 9).alias("score"))
+    return rows.select("id", "label", score("features").alias("score"))
+
+
+@query(f"WITH {V}, {_MACHINE} SELECT v.id, round(sum(coef * exp(-0.02::DOUBLE * pow(array_distance(CAST(v.features AS DOUBLE[64]), CAST(sv.features AS DOUBLE[64])), 2))) + 0.25, 9) AS score FROM v, sv GROUP BY v.id")
+def svm_scores(spark, d):
+    """Decision values of a machine whose vectors and dual variables are given."""
+    return _machine_scores(spark, d).select("id", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {V}, {_MACHINE}, sc AS (SELECT v.id, any_value(v.label) AS label, sum(coef * exp(-0.02::DOUBLE * pow(array_distance(CAST(v.features AS DOUBLE[64]), CAST(sv.features AS DOUBLE[64])), 2))) + 0.25 AS s FROM v, sv GROUP BY v.id),
+c AS (SELECT count(*) FILTER (WHERE label < '5') AS n1, count(*) FILTER (WHERE label >= '5') AS n0 FROM sc),
+r AS (SELECT s, ln((n0 + 1) / (n1 + 1)) AS b, CASE WHEN label < '5' THEN (n1 + 1) / (n1 + 2) ELSE 1 / (n0 + 2) END AS t, 1 / (1 + exp(ln((n0 + 1) / (n1 + 1)))) AS p FROM sc, c),
+ab AS (SELECT any_value(b) AS b, sum(s * (t - p)) AS g1, sum(t - p) AS g2, sum(s * s * p * (1 - p)) + 1e-12 AS h11, sum(s * p * (1 - p)) AS h12, sum(p * (1 - p)) + 1e-12 AS h22 FROM r)
+SELECT round(-(h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), 5) AS slope, round(b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12), 5) AS offset_ FROM ab""")
+def sigmoid_step(spark, d):
+    """The first Newton step of a sigmoid on the scores of ``svm_scores``, classes 0 to 4 against the rest."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        t, b = learners.sigmoid_targets(np.where(pdf["label"] < "5", 1, -1))
+        _, move = learners.sigmoid_move(pdf["score"].to_numpy(), t, 0.0, b)
+        return pd.DataFrame({"slope": [move[0]], "offset_": [b + move[1]]})
+
+    rows = _machine_scores(spark, d).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "slope double, offset_ double")  # one task, as a fit is
+    return rows.select(F.round("slope", 5).alias("slope"), F.round("offset_", 5).alias("offset_"))
 
 
 _NET = f"""{V}, l AS (SELECT id, label, unnest(range(64)) AS i, unnest(features) AS x FROM v), n AS (SELECT count(*) AS n FROM v),
@@ -786,6 +826,22 @@ def classification_report(spark, d):
     return _rounded(metrics.report(centroid_predict(spark, d)), ("precision", "recall", "f1"))
 
 
+@query(f"WITH {_SCORES} SELECT id, cls, round(p / sum(p) OVER (PARTITION BY id), 6) AS p FROM sc")
+def pair_coupling(spark, d):
+    """Probabilities recovered from those of each pair of classes: the pairs are consistent, so what they came from is the answer."""
+
+    @F.pandas_udf("array<double>")
+    def coupled(probs: pd.Series) -> pd.Series:
+        if not len(probs):
+            return pd.Series([], dtype=object)
+        p = np.stack(probs.to_numpy()).astype(np.float64)
+        return pd.Series(list(learners.couple(p[:, :, None] / (p[:, :, None] + p[:, None, :]))))
+
+    rows = _scored(spark, d).withColumn("p", coupled("probs"))
+    names = F.array(*[F.lit(c) for c in LABELS])
+    return rows.select("id", F.explode(F.arrays_zip(names.alias("cls"), F.col("p"))).alias("z")).select("id", "z.cls", F.round("z.p", 6).alias("p"))
+
+
 def _two_stage(spark, d) -> DataFrame:
     scores = centroid_scores(spark, d)
     first = scores.groupBy("id", F.when(F.col("cls") == "0", "0").otherwise("non_0").alias("cls")).agg(F.sum("p").alias("p"))
