@@ -568,6 +568,53 @@ def patch_largest_component(spark, d):
     return run_planes(planes(spark, d), kernel, "component long, area long").where("area > 0")
 
 
+_SETTLED = f"""{_PARTS.replace("u[p + 1] > 127", "u[p + 1] > CASE WHEN id % 10 = 0 THEN 255 ELSE 127 END")}, sizes AS (SELECT id, component, count(*) AS n FROM part GROUP BY ALL),
+top AS (SELECT id, component FROM sizes QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, component) = 1),
+m0 AS (SELECT px.id, list(CASE WHEN top.id IS NULL OR part.component = top.component THEN 1 ELSE 0 END ORDER BY r.p) AS u, any_value(top.id IS NULL) AS bare FROM px LEFT JOIN top USING (id) CROSS JOIN range(64) r(p) LEFT JOIN part ON part.id = px.id AND part.p = r.p GROUP BY px.id),
+{", ".join([stage("m1", "m0", around(5, "greatest")), stage("m2", "m1", around(5, "least")), stage("m3", "m2", around(3, "least")), stage("m4", "m3", around(3, "greatest"))])}"""
+
+
+@query(f"WITH RECURSIVE {_SETTLED} SELECT m4.id, p // 8 AS y, p % 8 AS x, CAST(CASE WHEN bare THEN 1 ELSE m4.u[p + 1] END AS BIGINT) AS value FROM m4 JOIN m0 USING (id), range(64) r(p)")
+def patch_settled_mask(spark, d):
+    """Largest component, closed and opened. Every tenth plane has an empty mask, which becomes all ones."""
+    rows = planes(spark, d).withColumn("u", F.transform("u", lambda x: F.when(F.col("id") % 10 == 0, 0).otherwise(x)))
+
+    def kernel(u):
+        out = np.stack([K.settled(m) for m in u > 127])
+        y, x = np.mgrid[:8, :8]
+        return {"y": np.broadcast_to(y, out.shape), "x": np.broadcast_to(x, out.shape), "value": out.astype(np.int64)}
+
+    return run_planes(rows, kernel, "y long, x long, value long")
+
+
+def _turn(y: str, x: str, back: str) -> str:
+    """The first direction from (y, x), clockwise after ``back``, in which the component goes on."""
+    at = f"({y} + dy[({back} + k) % 8 + 1])", f"({x} + dx[({back} + k) % 8 + 1])"
+    return f"list_filter(range(1, 9), lambda k: {at[0]} BETWEEN 0 AND 7 AND {at[1]} BETWEEN 0 AND 7 AND list_contains(m, 8 * {at[0]} + {at[1]}))[1]"
+
+
+_WALK = f"""{_PARTS}, cells AS (SELECT id, component, list(p) AS m, min(p) // 8 AS y, min(p) % 8 AS x, [0, -1, -1, -1, 0, 1, 1, 1] AS dy, [-1, -1, 0, 1, 1, 1, 0, -1] AS dx FROM part GROUP BY id, component),
+begun AS (SELECT *, {_turn('y', 'x', '0')} % 8 AS d FROM cells),
+walk AS (SELECT id, component, m, dy, dx, y, x, d, y AS y0, x AS x0, d AS d0, 0 AS n, 0.0::DOUBLE AS length, 0 AS area FROM begun WHERE d IS NOT NULL
+  UNION ALL SELECT id, component, m, dy, dx, ny, nx, (back + {_turn('ny', 'nx', 'back')}) % 8, y0, x0, d0, n + 1, length + CASE WHEN d % 2 = 1 THEN sqrt(2) ELSE 1 END, area + x * ny - nx * y
+  FROM (SELECT *, y + dy[d + 1] AS ny, x + dx[d + 1] AS nx, CASE WHEN d % 2 = 1 THEN (d + 5) % 8 ELSE (d + 6) % 8 END AS back FROM walk WHERE n = 0 OR y <> y0 OR x <> x0 OR d <> d0)),
+ring AS (SELECT id, component, length, abs(area) / 2 AS area FROM walk WHERE n > 0 AND y = y0 AND x = x0 AND d = d0 UNION ALL SELECT id, component, 0, 0 FROM begun WHERE d IS NULL),
+best AS (SELECT id, length FROM ring QUALIFY row_number() OVER (PARTITION BY id ORDER BY area DESC, component) = 1)"""
+
+
+@query(f"WITH RECURSIVE {_WALK}, a AS (SELECT id, count(*) AS n FROM o GROUP BY id) SELECT id, round(length, 6) AS length, round(length * length / (4 * pi() * n + 1e-7), 6) AS irregularity FROM best JOIN a USING (id) WHERE n > 1")
+def patch_border(spark, d):
+    """Length and irregularity of the border that encloses the largest area."""
+
+    def kernel(u):
+        length = np.array([K.outline(m)[0] for m in u > 127])
+        area = (u > 127).sum(axis=(1, 2))
+        return {"length": length, "irregularity": length**2 / (4 * np.pi * area + 1e-7), "area": area}
+
+    rows = run_planes(planes(spark, d), kernel, "length double, irregularity double, area long").where("area > 1")
+    return rows.select("id", F.round("length", 6).alias("length"), F.round("irregularity", 6).alias("irregularity"))
+
+
 @query(f"""WITH {U}, h AS (SELECT id, (p // 32) * 2 + (p % 8) // 4 AS tile, u[p + 1] AS bin, count(*) AS n FROM px, range(64) r(p) GROUP BY ALL)
 SELECT id, CAST(tile AS BIGINT) AS tile, bin, CAST(least(n, 2) AS BIGINT) AS clipped, CAST(n - least(n, 2) AS BIGINT) AS excess FROM h""")
 def tile_histogram_clip(spark, d):
