@@ -766,7 +766,7 @@ def svm_scores(spark, d):
 c AS (SELECT count(*) FILTER (WHERE label < '5') AS n1, count(*) FILTER (WHERE label >= '5') AS n0 FROM sc),
 r AS (SELECT s, ln((n0 + 1) / (n1 + 1)) AS b, CASE WHEN label < '5' THEN (n1 + 1) / (n1 + 2) ELSE 1 / (n0 + 2) END AS t, 1 / (1 + exp(ln((n0 + 1) / (n1 + 1)))) AS p FROM sc, c),
 ab AS (SELECT any_value(b) AS b, sum(s * (t - p)) AS g1, sum(t - p) AS g2, sum(s * s * p * (1 - p)) + 1e-12 AS h11, sum(s * p * (1 - p)) AS h12, sum(p * (1 - p)) + 1e-12 AS h22 FROM r)
-SELECT round(-(h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), 5) AS slope, round(b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12), 5) AS offset_ FROM ab""")
+SELECT round(-(h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), 3) AS slope, round(b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12), 3) AS offset_ FROM ab""")
 def sigmoid_step(spark, d):
     """The first Newton step of a sigmoid on the scores of ``svm_scores``, classes 0 to 4 against the rest."""
 
@@ -777,7 +777,7 @@ def sigmoid_step(spark, d):
         return pd.DataFrame({"slope": [move[0]], "offset_": [b + move[1]]})
 
     rows = _machine_scores(spark, d).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "slope double, offset_ double")  # one task, as a fit is
-    return rows.select(F.round("slope", 5).alias("slope"), F.round("offset_", 5).alias("offset_"))
+    return rows.select(F.round("slope", 3).alias("slope"), F.round("offset_", 3).alias("offset_"))
 
 
 _NET = f"""{V}, l AS (SELECT id, label, unnest(range(64)) AS i, unnest(features) AS x FROM v), n AS (SELECT count(*) AS n FROM v),
@@ -873,7 +873,7 @@ def classification_report(spark, d):
     return _rounded(metrics.report(centroid_predict(spark, d)), ("precision", "recall", "f1"))
 
 
-@query(f"WITH {_SCORES} SELECT id, cls, round(p / sum(p) OVER (PARTITION BY id), 6) AS p FROM sc")
+@query(f"WITH {_SCORES} SELECT id, cls, round(p / sum(p) OVER (PARTITION BY id) + 5e-10, 6) AS p FROM sc")
 def pair_coupling(spark, d):
     """Probabilities recovered from those of each pair of classes: the pairs are consistent, so what they came from is the answer."""
 
@@ -886,7 +886,7 @@ def pair_coupling(spark, d):
 
     rows = _scored(spark, d).withColumn("p", coupled("probs"))
     names = F.array(*[F.lit(c) for c in LABELS])
-    return rows.select("id", F.explode(F.arrays_zip(names.alias("cls"), F.col("p"))).alias("z")).select("id", "z.cls", F.round("z.p", 6).alias("p"))
+    return rows.select("id", F.explode(F.arrays_zip(names.alias("cls"), F.col("p"))).alias("z")).select("id", "z.cls", F.round(F.col("z.p") + 5e-10, 6).alias("p"))  # scores have nine digits: no exact halves
 
 
 def _two_stage(spark, d) -> DataFrame:
