@@ -180,6 +180,7 @@ def features_of(spark: SparkSession, run: Run, rows: DataFrame) -> DataFrame:
     images = metadata.read_images(spark, spark.read.parquet(chosen), run.roots(), parts)
     path = f"{run.out}/features.parquet"
     extract(images, run).drop("image_path").write.mode("overwrite").parquet(path)
+    A.Artifacts(spark, run.out).delete("images.parquet")
     return spark.read.parquet(path)
 
 
