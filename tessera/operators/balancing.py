@@ -1,8 +1,7 @@
 """Nearest neighbours in blocks, oversampling by interpolation, and cleaning by neighbours' votes.
 
-Rows are ``id, label, features``. Neighbours are exact: rows are packed into blocks and pairs of blocks compared as
-matrices; a pair of blocks gives the k nearest of each query only, which are merged. Ties go to the smaller id, with
-squared distances rounded to nine digits."""
+Rows are ``id, label, features``. Neighbours are exact: rows are packed into blocks, a block of queries passes by the blocks of
+candidates and keeps the k nearest of each query. Ties go to the smaller id, with squared distances rounded to nine digits."""
 
 from __future__ import annotations
 
@@ -10,51 +9,101 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import defaults
 from ..defaults import record
+from ..functions.neighbours import Block, Nearest
 from .sampling import SEED, class_counts, ranked
 
-BLOCK = 2048
+#: Rows of a block at most, and numbers in it; blocks that a task holds of the candidates; tasks a core.
+BLOCK, CELLS, HELD, TASKS = 8192, 1 << 19, 16, 3
 STRATEGIES = ("paper_balanced_subset", "none", "smote", "smoteenn")
 
 Balancing = record("Balancing", defaults.BALANCING, "How training rows are balanced, and the neighbours that takes.")
 
 
-def _blocks(df: DataFrame, key: list[str], rows: int) -> DataFrame:
-    """``key..., block, blocks, ids, xs``: at most about ``rows`` rows in a block."""
-    sizes = df.groupBy(*key).agg(F.ceil(F.count("*") / rows).alias("blocks")) if key else df.agg(F.ceil(F.count("*") / rows).alias("blocks"))
-    numbered = df.join(sizes, key) if key else df.withColumn("blocks", F.lit(max(1, sizes.first()["blocks"])))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    return numbered.groupBy(*key, block.alias("block"), "blocks").agg(F.collect_list(F.struct("id", "features", "label")).alias("rows"))
-
-
-def nearest(df: DataFrame, k: int, same_label: bool = True, block: int = BLOCK) -> DataFrame:
-    """``id, nn_id, nn_label, d2, rank`` of the ``k`` nearest other rows, of the same label or of all."""
-    packed = _blocks(df.select("id", "label", "features"), ["label"] if same_label else [], block)
-    key = ["label"] if same_label else []
-    one = packed.select(*key, F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    pairs = one.join(packed.select(*key, "block", F.col("rows").alias("b")), [*key, "block"])
+def _packed(df: DataFrame, rows: int, parts: int, same_label: bool) -> DataFrame:
+    """``num, low, high, ids, labels, xs``: blocks of at most ``rows`` rows, of labels that follow each other or of any."""
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    order = ["label", "id"] if same_label else ["id"]
+    dealt = (df.repartitionByRange(parts, *order) if same_label else df.repartition(parts)).sortWithinPartitions(*order)
+
+    def pack(held: list[pa.RecordBatch], num: int) -> pa.RecordBatch:
+        ids, labels, xs = (pa.concat_arrays([b.column(name) for b in held]) for name in ("id", "label", "features"))
+        sizes = pc.unique(pc.list_value_length(xs))
+        if len(sizes) != 1 or sizes.null_count:
+            raise ValueError("features must have one length in all rows")
+        flat = xs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        whole = pa.array([0, len(ids)], pa.int32())
+        low, high = labels.slice(0, 1), labels.slice(len(labels) - 1)
+        return pa.RecordBatch.from_arrays([pa.array([num], pa.int64()), low, high, pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, labels), pa.array([flat.tobytes()], pa.binary())], ["num", "low", "high", "ids", "labels", "xs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, num = [], 0, 0
         for batch in batches:
-            for q, c in zip(batch.column("a"), batch.column("b"), strict=True):
-                (qi, qx, _), (ci, cx, cl) = ((np.asarray(s.values.field("id")), np.stack(s.values.field("features").to_numpy(zero_copy_only=False)).astype(np.float64), s.values.field("label")) for s in (q, c))
-                d2 = np.round(np.maximum((qx**2).sum(axis=1)[:, None] + (cx**2).sum(axis=1)[None] - 2 * qx @ cx.T, 0), 9)
-                d2[qi[:, None] == ci[None]] = np.inf
-                order = np.lexsort((np.broadcast_to(ci, d2.shape), d2), axis=1)[:, :k]
-                best = np.take_along_axis(d2, order, axis=1)
-                ok = np.isfinite(best)
-                rows, picked = np.nonzero(ok)[0], order[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[rows]), pa.array(ci[picked]), cl.take(pa.array(picked)), pa.array(best[ok])], ["id", "nn_id", "nn_label", "d2"])
+            while batch.num_rows:
+                held.append(batch.slice(0, rows - n))
+                n, batch = n + held[-1].num_rows, batch.slice(held[-1].num_rows)
+                if n == rows:
+                    yield pack(held, num)
+                    held, n, num = [], 0, num + 1
+        if held:
+            yield pack(held, num)
+
+    return dealt.mapInArrow(run, f"num long, low {kind['label']}, high {kind['label']}, ids array<{kind['id']}>, labels array<{kind['label']}>, xs binary")
+
+
+def nearest(df: DataFrame, k: int, same_label: bool = True, block: int = BLOCK, queries: DataFrame | None = None) -> DataFrame:
+    """``id, nn_id, nn_label, d2, rank`` of the ``k`` nearest other rows, of the same label or of all, for each row or for
+    those of ``queries`` only."""
+    df = df.select("id", "label", "features")
+    queries = df if queries is None else queries.select("id", "label", "features")
+    if same_label:
+        df, queries = (x.where(F.col("label").isNotNull()) for x in (df, queries))
+    size = df.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("dim")).first()
+    rows = max(1, min(block, CELLS // max(1, size["dim"] or 1)))
+    blocks = max(1, -(-size["n"] // rows))
+    asking = max(blocks, min(-(-size["n"] // 512), TASKS * df.sparkSession.sparkContext.defaultParallelism))
+    left = _packed(queries, rows, asking, same_label)
+    # Written once as a shuffle and read by each task; the left side is made again for each partition of it.
+    right = _packed(df, rows, blocks, same_label).repartition(-(-blocks // HELD)).toDF("b_num", "b_low", "b_high", "b_ids", "b_labels", "b_xs")
+    overlap = (F.col("low") <= F.col("b_high")) & (F.col("b_low") <= F.col("high")) if same_label else None
+    pairs = left.hint("shuffle_replicate_nl").join(right, overlap) if same_label else left.hint("shuffle_replicate_nl").crossJoin(right)
+
+    def block_of(batch: pa.RecordBatch, row: int, side: str) -> Block:
+        ids, labels = (batch.column(side + name)[row].values.to_numpy(zero_copy_only=False) for name in ("ids", "labels"))
+        return Block(ids, labels, np.frombuffer(batch.column(side + "xs")[row].as_buffer(), np.float64).reshape(len(ids), -1))
 
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
-    found = pairs.select("a", "b").mapInArrow(run, f"id {kind['id']}, nn_id {kind['id']}, nn_label {kind['label']}, d2 double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, seen = None, None
+
+        def found(types: list[pa.DataType]) -> pa.RecordBatch:
+            ok = np.isfinite(best.d2)
+            columns = (np.repeat(best.queries.ids, ok.sum(axis=1)), best.ids[ok], best.labels[ok])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(best.d2[ok])], ["id", "nn_id", "nn_label", "d2"])
+
+        for batch in batches:
+            types = [batch.schema.field(name).type.value_type for name in ("ids", "ids", "labels")]
+            for row, num in enumerate(batch.column("num").to_pylist()):
+                if num != seen:
+                    if best:
+                        yield found(types)
+                    mine = block_of(batch, row, "")
+                    mine.x = mine.x.copy()
+                    best, seen = Nearest(mine, k), num
+                best.see(block_of(batch, row, "b_"), same_label)
+        if best:
+            yield found(types)
+
+    got = pairs.select("num", "ids", "labels", "xs", "b_ids", "b_labels", "b_xs").mapInArrow(run, f"id {kind['id']}, nn_id {kind['id']}, nn_label {kind['label']}, d2 double")
     top = Window.partitionBy("id").orderBy("d2", "nn_id")
-    return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    return got.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
 
 def targets(df: DataFrame) -> DataFrame:
@@ -87,27 +136,51 @@ def smote(df: DataFrame, k: int = 5, seed: int = SEED, block: int = BLOCK) -> Da
     return picked.select("label", "slot", "base_id", "nn_id", "u", mix.alias("features"))
 
 
+def _votes(df: DataFrame, k: int, block: int, queries: DataFrame | None = None) -> DataFrame:
+    """``id, vote``: the most frequent label of the ``k`` nearest rows (the smallest of equals)."""
+    counts = nearest(df, k, False, block, queries).groupBy("id", "nn_label").agg(F.count("*").alias("n"))
+    least_first = Window.partitionBy("id").orderBy(F.desc("n"), "nn_label")
+    return counts.withColumn("r", F.row_number().over(least_first)).where("r = 1").select("id", F.col("nn_label").alias("vote"))
+
+
+def _smallest(df: DataFrame) -> F.Column:
+    smallest = class_counts(df, "label").orderBy("count", "class").first()
+    return F.lit(smallest["class"] if smallest else None)
+
+
 def vote_keeps(df: DataFrame, k: int = 3, block: int = BLOCK) -> DataFrame:
     """``id, label, vote, keep``: the most frequent label of the ``k`` nearest rows (the smallest of equals); rows of all
     classes but the smallest go if it isn't theirs."""
-    counts = nearest(df, k, False, block).groupBy("id", "nn_label").agg(F.count("*").alias("n"))
-    least_first = Window.partitionBy("id").orderBy(F.desc("n"), "nn_label")
-    votes = counts.withColumn("r", F.row_number().over(least_first)).where("r = 1").select("id", F.col("nn_label").alias("vote"))
-    smallest = class_counts(df, "label").orderBy("count", "class").first()
-    keep = (F.col("label") == F.lit(smallest["class"] if smallest else None)) | (F.col("vote") == F.col("label"))
-    return df.select("id", "label").join(votes, "id", "left").select("id", "label", "vote", F.coalesce(keep, F.lit(True)).alias("keep"))
+    keep = (F.col("label") == _smallest(df)) | (F.col("vote") == F.col("label"))
+    return df.select("id", "label").join(_votes(df, k, block), "id", "left").select("id", "label", "vote", F.coalesce(keep, F.lit(True)).alias("keep"))
+
+
+def cleaned(df: DataFrame, k: int = 3, block: int = BLOCK) -> DataFrame:
+    """The rows that ``vote_keeps`` keeps. Rows of the smallest class stay in any case, so their votes aren't taken."""
+    asked = df.where(F.col("label") != _smallest(df))
+    gone = asked.select("id", "label").join(_votes(df, k, block, asked), "id").where("vote <> label").select("id", "label")
+    return df.join(gone, ["id", "label"], "left_anti")
 
 
 def balance(df: DataFrame, strategy: str, smote_k: int = 5, enn_k: int = 3, seed: int = SEED) -> DataFrame:
-    """``id, label, features`` after ``strategy``; ids are text, synthetic rows are named after their slot."""
+    """``id, label, features`` after ``strategy``; ids are text, synthetic rows are named after their slot. Oversampling and
+    cleaning pass over their rows several times and so cache them; ``release`` frees the result's cache."""
     plain = df.where(F.col("label").isNotNull()).select(F.col("id").cast("string").alias("id"), "label", F.transform("features", lambda v: v.cast("double")).alias("features"))
     if strategy in ("none", "paper_balanced_subset"):
         return plain
     if strategy not in ("smote", "smoteenn"):
         raise ValueError(f"unsupported strategy {strategy!r}")
+    held = [plain.persist()]
     new = smote(plain, smote_k, seed).select(F.concat_ws(":", F.lit("new"), F.col("label").cast("string"), F.col("slot").cast("string")).alias("id"), "label", "features")
     out = plain.unionByName(new)
     if strategy == "smoteenn":
-        kept = vote_keeps(out, enn_k).where("keep").select("id")
-        out = out.join(kept, "id", "left_semi")
+        held.append(out.persist())
+        out = cleaned(out, enn_k)
+    out._held = held
     return out
+
+
+def release(balanced: DataFrame) -> None:
+    """Free what ``balance`` cached for a result that nothing will read any more."""
+    for held in getattr(balanced, "_held", []):
+        held.unpersist()

@@ -20,7 +20,7 @@ from ..functions import learners as L
 from ..functions.features import extract, feature_columns
 from ..operators import metrics as M
 from ..operators import sampling, thresholds
-from ..operators.balancing import balance
+from ..operators.balancing import balance, release
 from ..sources import artifacts as A
 from ..sources import metadata
 from .settings import Run
@@ -79,7 +79,9 @@ def fit_mlp(df: DataFrame, learner: L.Learner, seed: int = 42) -> L.MlpModel:
 def _balanced(df: DataFrame, strategy: str, run: Run, out: A.Artifacts, name: str) -> DataFrame:
     """``df`` after ``strategy``, written to the run's folder for as long as its fit takes."""
     path = f"{out.folder}/balanced_{name}.parquet"
-    balance(df, strategy, run.balancing.smote_k, run.balancing.enn_k, run.samples.seed).write.mode("overwrite").parquet(path)
+    rows = balance(df, strategy, run.balancing.smote_k, run.balancing.enn_k, run.samples.seed)
+    rows.write.mode("overwrite").parquet(path)
+    release(rows)
     return df.sparkSession.read.parquet(path)
 
 
