@@ -668,6 +668,11 @@ def class_weights(spark, d):
     return scaling.class_weights(langs(spark, d)).select("class", F.round("weight", 6).alias("weight"))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB or one row, so that a kernel gets pairs of blocks one by one. It says nothing about results."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def _near(source: str, same: bool, k: int) -> str:
     on = " AND a.label = b.label" if same else ""
     return f"""dist AS (SELECT a.id, b.id AS nn_id, b.label AS nn_label, round(pow(array_distance(CAST(a.features AS DOUBLE[64]), CAST(b.features AS DOUBLE[64])), 2), 9) AS d2 FROM {source} a JOIN {source} b ON a.id <> b.id{on}),
@@ -728,6 +733,7 @@ m AS (SELECT label FROM whole GROUP BY label ORDER BY count(*), label LIMIT 1)
 SELECT x.id, x.label FROM whole x JOIN w USING (id) WHERE x.label = (SELECT label FROM m) OR w.vote = x.label""")
 def smoteenn_rows(spark, d):
     """Oversampling, then cleaning: the chain as a run takes it."""
+    _small_batches(spark)
     return balancing.balance(lang_vectors(spark, d), "smoteenn").select("id", "label")
 
 
